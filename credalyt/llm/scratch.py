@@ -61,10 +61,23 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
-def column_name(df: DataFrame, base: str) -> str:
-    """A column name that ``df`` does not have yet (Spark compares names without case)."""
-    taken = {c.lower() for c in df.columns}
-    name = base
-    while name.lower() in taken:
-        name += "_"
-    return name
+class Plain:
+    """A table under neutral column names, so that no input name can clash with ours."""
+
+    def __init__(self, df: DataFrame):
+        self.names = df.columns
+        self.df = df.toDF(*self.cols())
+
+    def cols(self) -> list[str]:
+        return [f"c{i}" for i in range(len(self.names))]
+
+    def __getitem__(self, name: str) -> str:
+        """The neutral name of an input column."""
+        at = self.names.index(name) if name in self.names else [x.lower() for x in self.names].index(name.lower())
+        return f"c{at}"
+
+    def back(self, out: DataFrame, keep: list[str], results: list[str]) -> DataFrame:
+        """Input columns ``keep`` under their own names, then ``results``; where both have a name, the result's column stays."""
+        new = {r.lower() for r in results}
+        held = [n for n in keep if n.lower() not in new]
+        return out.select(*(self[n] for n in held), *results).toDF(*held, *results)

@@ -21,8 +21,8 @@ Nulls and empty texts have no words and the fingerprint zero, linked like any
 other.  Repeated rows and repeated ids keep one result row each.  Rows with a null
 id take part in links but never name a component (it is null if all its ids are);
 of such a component ``representatives`` keeps one row for each fingerprint.
-Extra columns of the input pass through ``near_duplicates`` under their own names;
-an input column that has the name of a result column raises ValueError.
+Extra columns of the input pass through under their own names; where an input column
+has the name of a result column, the result's stays.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from credalyt.llm.components import components
-from credalyt.llm.scratch import Scratch, column_name
+from credalyt.llm.scratch import Plain, Scratch
 from credalyt.llm.textkernel import NON_SPACE, chunks, joined, words
 
 SEED = 42
@@ -127,31 +127,30 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``fingerprint_links``.
     """
     keep = df.columns if keep is None else keep
-    if clash := {c.lower() for c in keep} & {"fingerprint", "component_id", "links"}:
-        raise ValueError(f"columns {sorted(clash)} clash with the result's")
-    spark = df.sparkSession
-    scratch = Scratch(spark, "simhash")
-    fp = column_name(df, "simhash")
-    found = with_fingerprint(df.select(*dict.fromkeys([id_col, text_col, *keep])), text_col, fp, shingle)
-    small = scratch.save(found.select(F.col(id_col).alias("id"), F.col(fp).alias("fp")).groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("links")))
-    edges = fingerprint_links(small.select("fp"), scratch, max_bits, list_limit)
-    roots = components(edges, scratch)
+    plain = Plain(df)
+    found = with_fingerprint(plain.df.select(*dict.fromkeys(plain[c] for c in [id_col, text_col, *keep])), plain[text_col], "fp", shingle)
+    classes = _classes(found.select(F.col(plain[id_col]).alias("id"), "fp"), max_bits, list_limit)
+    out = found.drop(*([plain[text_col]] if text_col not in keep else [])).join(classes, "fp")
+    return plain.back(out.withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0"))), keep, ["fingerprint", "component_id", "links"])
+
+
+def _classes(ids: DataFrame, max_bits: int, list_limit: int) -> DataFrame:
+    """(fp, component_id, links) of rows (id, fp)."""
+    scratch = Scratch(ids.sparkSession, "simhash")
+    small = scratch.save(ids.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("links")))
+    roots = components(fingerprint_links(small.select("fp"), scratch, max_bits, list_limit), scratch)
     named = small.join(roots, small["fp"] == roots["node"], "left").select("fp", "least", "links", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = scratch.save(named.join(least, "root").select(F.col("fp").alias(fp), "component_id", "links"))
-    return found.select(*keep, fp).join(classes, fp).select(*keep, F.lower(F.lpad(F.hex(fp), 16, "0")).alias("fingerprint"), "component_id", "links")
-
-
-def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """One row of each component of ``df``, with the columns of ``df``: that with the
-    smallest id (nulls only if there is no other; among rows of one id the least text hash)."""
-    ids = near_duplicates(df, id_col, text_col, shingle, max_bits, keep=[id_col])
-    null_part = F.col(id_col).isNull() & F.col("component_id").isNull()
-    stay = ids.where((F.col(id_col) == F.col("component_id")) | null_part).select(F.col(id_col).alias("stay_id"), F.when(null_part, F.col("fingerprint")).alias("stay_fp")).distinct()
-    spark_fp = column_name(df, "simhash")
-    hexed = F.lower(F.lpad(F.hex(spark_fp), 16, "0"))
-    known = df.where(F.col(id_col).isNotNull()).join(stay.where("stay_id is not null").select("stay_id"), F.col(id_col) == F.col("stay_id"), "left_semi")
-    # rows without an id stand for a component only if none of its rows has one
-    loose = with_fingerprint(df.where(F.col(id_col).isNull()), text_col, spark_fp, shingle)
-    loose = loose.join(stay.where("stay_id is null").select("stay_fp"), hexed == F.col("stay_fp"), "left_semi").dropDuplicates([spark_fp]).drop(spark_fp)
-    return known.dropDuplicates([id_col]).unionByName(loose)
+    return scratch.save(named.join(least, "root").select("fp", "component_id", "links"))
+
+
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2, list_limit: int = 32) -> DataFrame:
+    """One row of each component of ``df``, with the columns of ``df``: that with the smallest id."""
+    plain = Plain(df)
+    key, text = plain[id_col], plain[text_col]
+    fps = with_fingerprint(plain.df.select(key, text), text, "fp", shingle).select(F.col(key).alias("id"), "fp")
+    classes = _classes(fps, max_bits, list_limit)
+    named = plain.df.where(F.col(key).isNotNull()).join(classes.select(F.col("component_id").alias(key)).distinct(), key, "left_semi").dropDuplicates([key])
+    # rows without an id stand only for components of such rows
+    loose = with_fingerprint(plain.df.where(F.col(key).isNull()), text, "fp", shingle).join(classes.where("component_id is null").select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
+    return named.select(*plain.cols()).unionByName(loose.select(*plain.cols())).toDF(*plain.names)

@@ -102,7 +102,7 @@ class Rolling:
     def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
         self.values = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.base = int(rng.integers(1, 1 << 62)) * 8 + 5
+        self.base = (int(rng.integers(1, 1 << 62)) * 8 + 5) % (1 << 64)
         self.inverse = pow(self.base, -1, 1 << 64)
         self.up = self.down = np.ones(1, np.uint64)
 
