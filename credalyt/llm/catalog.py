@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credalyt.llm import decontaminate, simhash
+from credalyt.llm import decontaminate, simhash, suffixdedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,10 +55,16 @@ FROM ascii_words LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (d
 """
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents that a 100-byte string seen earlier covers."""
+    found = suffixdedup.repeated_substrings(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("removed_spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash near-duplicates of all documents: fingerprint and component of each."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, keep=["doc_id"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontaminate": op1_decontaminate, "op8_simhash": op8_simhash}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontaminate": op1_decontaminate, "op3_suffix_dedup": op3_suffix_dedup, "op8_simhash": op8_simhash}
 ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL}

@@ -47,13 +47,13 @@ class Scratch:
 
     def drop(self, *tables: DataFrame | None) -> None:
         """Delete tables that no later step reads."""
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for table in tables:
-            path = getattr(table, "_credalyt_path", None)
-            if path:
-                p = hadoop(path)
-                p.getFileSystem(conf).delete(p, True)
+            if path := getattr(table, "_credalyt_path", None):
+                self.delete(path)
+
+    def delete(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
     def release(self) -> None:
         """Let Spark's cleaner remove shuffle files that nothing refers to any more."""

@@ -127,10 +127,12 @@ class Rolling:
         return out
 
     def spans(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        self._powers(len(prefix))
         return mixed((prefix[ends] - prefix[starts]) * self.down[starts])
 
     def grams(self, prefix: np.ndarray, length: int) -> np.ndarray:
         """The hash of the substring of ``length`` at each position that has one."""
+        self._powers(len(prefix))
         n = len(prefix) - length
         return mixed((prefix[length:] - prefix[:n]) * self.down[:n]) if n > 0 else np.empty(0, np.uint64)
 
