@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credalyt.llm import decontaminate, simhash, suffixdedup
+from credalyt.llm import decontaminate, simhash, suffixdedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,10 +61,17 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("removed_spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, learned from the labelled ones that are not held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = toxicity.scored(docs, toxicity.train(docs, labels), keep=["doc_id"])
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash near-duplicates of all documents: fingerprint and component of each."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, keep=["doc_id"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontaminate": op1_decontaminate, "op3_suffix_dedup": op3_suffix_dedup, "op8_simhash": op8_simhash}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontaminate": op1_decontaminate, "op3_suffix_dedup": op3_suffix_dedup, "op5_toxicity": op5_toxicity, "op8_simhash": op8_simhash}
 ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL}
