@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,9 +57,13 @@ class Scratch:
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
     def release(self) -> None:
-        """Let Spark's cleaner remove shuffle files that nothing refers to any more."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        """Let Spark's cleaner remove shuffle files that nothing refers to any more.
+
+        What the last job holds is only found by a second collection."""
+        for _ in range(2):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.2)
 
 
 class Plain:
