@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credalyt.llm import decontaminate, simhash, suffixdedup, toxicity
+from credalyt.llm import decontaminate, langid, simhash, suffixdedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,10 +68,18 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of all documents, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    known = langid.profiles(docs.where(~langid.held_out()).select("text", "lang"))
+    found = langid.predicted(docs.select("doc_id", "text"), known, keep=["doc_id"])
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash near-duplicates of all documents: fingerprint and component of each."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, keep=["doc_id"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontaminate": op1_decontaminate, "op3_suffix_dedup": op3_suffix_dedup, "op5_toxicity": op5_toxicity, "op8_simhash": op8_simhash}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontaminate": op1_decontaminate, "op3_suffix_dedup": op3_suffix_dedup, "op5_toxicity": op5_toxicity, "op7_langid": op7_langid, "op8_simhash": op8_simhash}
 ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL}
