@@ -18,9 +18,8 @@ predicted.  Rows keep their number; extra columns pass through.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +31,9 @@ from pyspark.sql.window import Window
 from credalyt.llm.scratch import Plain
 
 SIZE = 300
-#: words that a task holds before it sends their n-grams
-FLUSH = 100_000
-LETTERS = re.compile(r"[^\W\d_]+")
+#: characters counted at a time, and different n-grams that a task holds before it sends sums
+PIECE, FLUSH = 1 << 19, 1 << 20
+MARK = ord("_")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -42,46 +41,76 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def grams(word: str) -> list[str]:
-    """The n-grams of a word, of one to three characters, ends marked."""
-    w = f"_{word}_"
-    return [*word, *(w[i : i + 2] for i in range(len(w) - 1)), *(w[i : i + 3] for i in range(len(w) - 2))]
+@cache
+def _letters() -> np.ndarray:
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+
+
+def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Different n-grams of a text and their counts.
+
+    An n-gram is a number: 21 bits for each character, from the left, so numbers sort as
+    the strings do.  Words stand between single marks; none of the n-grams has a mark inside.
+    """
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    letter = np.concatenate([[False], _letters()[points], [False]])
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]
+    keep[0] = True
+    x = np.concatenate([[MARK], points, [MARK]])
+    x[~letter] = MARK
+    x = x[keep]
+    inner = x != MARK
+    two = x[:-1] << 42 | x[1:] << 21
+    three = (two[:-1] | x[2:])[inner[1:-1]]
+    return np.unique(np.concatenate([x[inner] << 42, two[: len(two) if len(x) > 2 else 0], three]), return_counts=True)
+
+
+def gram_text(code: int) -> str:
+    return "".join(chr(c) for c in (code >> 42, code >> 21 & 0x1FFFFF, code & 0x1FFFFF) if c)
+
+
+def _pieces(texts: Iterator[str]) -> Iterator[str]:
+    """Texts, joined by spaces, in pieces of about PIECE characters; no word is cut."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size > PIECE:
+            yield " ".join(held)
+            held, size = [], 0
+    if held:
+        yield " ".join(held)
 
 
 def _sums(text: str, lang: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, Counter] = {}
-
-        def flush() -> pa.RecordBatch:
-            rows: list[tuple[str, str, int]] = []
-            for name, seen in counts.items():
-                total: Counter = Counter()
-                for w, n in seen.items():
-                    for g in grams(w):
-                        total[g] += n
-                rows.extend((name, g, n) for g, n in total.items())
-            counts.clear()
-            names, gs, ns = zip(*rows) if rows else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(gs, pa.string()), pa.array(ns, pa.int64())], names=["lang", "gram", "n"])
-
         for batch in batches:
-            for t, name in zip(batch.column(batch.schema.get_field_index(text)), batch.column(batch.schema.get_field_index(lang))):
-                counts.setdefault(name.as_py(), Counter()).update(LETTERS.findall(t.as_py().lower()))
-                if sum(map(len, counts.values())) > FLUSH:
-                    yield flush()
-        yield flush()
+            of_lang: dict[str, list[str]] = {}
+            for t, name in zip(batch.column(batch.schema.get_field_index(text)).to_pylist(), batch.column(batch.schema.get_field_index(lang)).to_pylist()):
+                of_lang.setdefault(name, []).append(t)
+            for name, texts in of_lang.items():
+                codes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+                for piece in _pieces(iter(texts)):
+                    c, n = grams(piece)
+                    codes, at = np.unique(np.concatenate([codes, c]), return_inverse=True)
+                    counts = np.bincount(at, np.concatenate([counts, n]), len(codes)).astype(np.int64)
+                    if len(codes) > FLUSH:
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes), pa.array(counts)], names=["lang", "gram", "n"])
+                        codes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes), pa.array(counts)], names=["lang", "gram", "n"])
 
     return run
 
 
-def profiles(df: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = SIZE) -> dict[str, list[str]]:
-    """The n-grams of each language in rank order."""
+def profiles(df: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = SIZE) -> dict[str, list[int]]:
+    """The n-grams of each language in rank order (``gram_text`` makes strings of them)."""
     plain = Plain(df)
     text, lang = plain[text_col], plain[lang_col]
-    sums = plain.df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(text, F.col(lang).cast("string").alias(lang)).mapInArrow(_sums(text, lang), "lang string, gram string, n long")
+    sums = plain.df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(text, F.col(lang).cast("string").alias(lang)).mapInArrow(_sums(text, lang), "lang string, gram long, n long")
     by_rank = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = sums.groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= size)
-    out: dict[str, list[str]] = {}
+    out: dict[str, list[int]] = {}
     for r in sorted(top.collect(), key=lambda r: (r.lang, r["rank"])):
         out.setdefault(r.lang, []).append(r.gram)
     return out
@@ -90,43 +119,27 @@ def profiles(df: DataFrame, text_col: str = "text", lang_col: str = "lang", size
 class Ranker:
     """Out-of-place distances to every profile at once."""
 
-    def __init__(self, known: dict[str, list[str]], size: int = SIZE):
+    def __init__(self, known: dict[str, list[int]], size: int = SIZE):
         self.size, self.names = size, sorted(known)
-        vocabulary = sorted({g for p in known.values() for g in p})
-        self.slot = {g: i for i, g in enumerate(vocabulary)}
-        self.rank = np.full((len(vocabulary) + 1, len(self.names)), -1, np.int32)
+        self.codes = np.unique(np.array([g for p in known.values() for g in p], np.int64))
+        self.rank = np.full((len(self.codes) + 1, len(self.names)), -1, np.int32)
         for k, name in enumerate(self.names):
-            for r, g in enumerate(known[name]):
-                self.rank[self.slot[g], k] = r
-        self.cache: dict[str, list[str]] = {}
+            self.rank[np.searchsorted(self.codes, known[name]), k] = np.arange(len(known[name]))
 
     def of(self, text: str | None) -> tuple[str, float]:
-        seen = Counter(LETTERS.findall((text or "").lower()))
-        if not seen or not self.names:
+        codes, counts = grams(text or "")
+        if not len(codes) or not self.names:
             return "und", 0.0
-        total: dict[str, int] = {}
-        for w, n in seen.items():
-            gs = self.cache.get(w)
-            if gs is None:
-                if len(self.cache) > 50_000:
-                    self.cache.clear()
-                gs = self.cache[w] = grams(w)
-            for g in gs:
-                total[g] = total.get(g, 0) + n
-        keys, counts = list(total), np.fromiter(total.values(), np.int64, len(total))
-        if len(keys) > self.size:  # all that may be among the first, ties included
-            least = np.partition(counts, len(keys) - self.size)[len(keys) - self.size]
-            keys, counts = [keys[i] for i in np.flatnonzero(counts >= least)], counts[counts >= least]
-        order = sorted(range(len(keys)), key=lambda i: (-counts[i], keys[i]))[: self.size]
-        slots = [self.slot.get(keys[i], -1) for i in order]
-        ranks = self.rank[slots]
-        place = np.arange(len(slots))[:, None]
-        distance = np.where(ranks < 0, self.size, np.minimum(np.abs(ranks - place), self.size)).sum(axis=0)
+        codes = codes[np.argsort(-counts, kind="stable")[: self.size]]
+        at = np.searchsorted(self.codes, codes)
+        at[self.codes[np.minimum(at, len(self.codes) - 1)] != codes] = len(self.codes)
+        ranks, place = self.rank[at], np.arange(len(codes))[:, None]
+        distance = np.where(ranks < 0, self.size, np.abs(ranks - place)).sum(axis=0)
         best = int(np.argmin(distance))
-        return self.names[best], 1 - float(distance[best]) / (self.size * len(slots))
+        return self.names[best], 1 - float(distance[best]) / (self.size * len(codes))
 
 
-def predicted(df: DataFrame, known: dict[str, list[str]], text_col: str = "text", keep: list[str] | None = None, size: int = SIZE) -> DataFrame:
+def predicted(df: DataFrame, known: dict[str, list[int]], text_col: str = "text", keep: list[str] | None = None, size: int = SIZE) -> DataFrame:
     """``df`` (or its columns ``keep``) with lang_pred and score."""
     keep = df.columns if keep is None else keep
     plain = Plain(df)
