@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credalyt.llm import decontaminate, langid, simhash, suffixdedup, toxicity
+from credalyt.llm import decontaminate, langid, mixing, sharding, simhash, suffixdedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,50 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents: words taken of each, and where the curriculum first takes it."""
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), keep=["doc_id"])
+
+
+OP6_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS spread FROM documents),
+named AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rn FROM docs GROUP BY source),
+weighed AS (SELECT *, CAST((rn - 1) % 3 + 1 AS BIGINT) AS weight, 3 * source_size AS cap FROM named),
+sorted AS (
+  SELECT *, row_number() OVER o AS k,
+    CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+      / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS level
+  FROM weighed WINDOW o AS (ORDER BY CAST(cap AS DOUBLE) / weight, rn)),
+lowest AS (SELECT k AS first, level AS common FROM sorted WHERE level * weight <= cap ORDER BY k LIMIT 1),
+goals AS (
+  SELECT source, source_size, CASE WHEN k < first THEN CAST(cap AS DOUBLE) ELSE common * weight END AS target,
+    CASE weight WHEN 1 THEN -0.5::DOUBLE WHEN 2 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS slope FROM sorted, lowest),
+asked AS (
+  SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS demand FROM goals),
+total AS (SELECT CAST(sum(demand) AS BIGINT) AS all_demand, sum(slope * demand) AS sloped FROM asked),
+placed AS (
+  SELECT d.doc_id, d.size, a.*, t.*,
+    CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.spread, d.size ROWS UNBOUNDED PRECEDING) - d.size AS BIGINT) AS before
+  FROM docs d JOIN asked a ON d.source IS NOT DISTINCT FROM a.source, total t),
+taken AS (
+  SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE demand // source_size * size + greatest(0, least(size, demand % source_size - before)) END AS words,
+    CAST(before AS DOUBLE) / CAST(demand AS DOUBLE) AS f FROM placed),
+timed AS (
+  SELECT *, CASE WHEN slope = 0 THEN f ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * f) - (1 - slope)) / (2 * slope) END AS t FROM taken)
+SELECT doc_id, size, source_size, target, CAST(words AS BIGINT) AS taken,
+  CASE WHEN words > 0 THEN CAST(floor(all_demand * t + sloped * (t * t - t)) AS BIGINT) END AS first_position
+FROM timed
+"""
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of equal row counts, uniformly shuffled."""
+    return sharding.shards(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of all documents, learned from those that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -81,5 +125,5 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, keep=["doc_id"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontaminate": op1_decontaminate, "op3_suffix_dedup": op3_suffix_dedup, "op5_toxicity": op5_toxicity, "op7_langid": op7_langid, "op8_simhash": op8_simhash}
-ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontaminate": op1_decontaminate, "op3_suffix_dedup": op3_suffix_dedup, "op5_toxicity": op5_toxicity, "op6_mixing": op6_mixing, "op7_langid": op7_langid, "op8_simhash": op8_simhash, "op9_sharding": op9_sharding}
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op6_mixing": OP6_SQL}
