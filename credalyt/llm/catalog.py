@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credalyt.llm import ann, decontaminate, langid, mixing, sharding, simhash, suffixdedup, toxicity
+from credalyt.llm import ann, decontaminate, langid, linededup, mixing, sharding, simhash, suffixdedup, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,62 @@ FROM ascii_words LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (d
 """
 
 
+#: Dated entries of the lists that op2 applies: list, verdict, kind, pattern, action, since (days from 2024-01-01).
+LIST_ENTRIES = (
+    ("spam-hosts", "block", "domain", "spam-farm.example.org", "add", 20),
+    ("spam-hosts", "block", "domain", "spam-farm.example.org", "remove", 200),
+    ("spam-hosts", "block", "domain", "spam-farm.example.org", "add", 260),
+    ("spam-hosts", "block", "domain", "spam-farm.example.com", "add", 45),
+    ("spam-hosts", "block", "domain", "spam-farm.example.net", "add", 0),
+    ("spam-hosts", "block", "domain", "cheap-pills.example.com", "add", 90),
+    ("spam-hosts", "block", "domain", "cheap-pills.example.net", "add", 30),
+    ("spam-hosts", "block", "domain", "cheap-pills.example.net", "remove", 150),
+    ("gambling", "block", "word", "casino", "add", 60),
+    ("gambling", "block", "word", "casino", "remove", 300),
+    ("pharmacy", "block", "word", "pills", "add", 120),
+    ("languages", "block", "prefix", "tionsh.example.net/es/", "add", 180),
+    ("reviewed", "allow", "domain", "blog.cheap-pills.example.net", "add", 100),
+    ("reviewed", "allow", "domain", "casino-win.example.org", "add", 10),
+    ("reviewed", "allow", "domain", "casino-win.example.org", "remove", 250),
+)
+_VALUES = ", ".join(f"('{a}', '{b}', '{c}', '{d}', '{e}', {1704067200 + 86400 * f})" for a, b, c, d, e, f in LIST_ENTRIES)
+#: The table of pages has no fetch time: seconds of 2024 that follow from the page's id stand for it.
+_FETCHED = "1704067200 + (page_id * 7919) % 31622400"
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL against the list entries that were active when it was fetched."""
+    entries = spark.sql(f"SELECT list_name, verdict, kind, pattern, action, CAST(since AS BIGINT) AS since FROM VALUES {_VALUES} AS e(list_name, verdict, kind, pattern, action, since)")
+    pages = table(spark, sf_dir, "pages").selectExpr("page_id", "url", f"{_FETCHED} AS fetched_at")
+    return urlfilter.evaluate(pages, entries, keep=["page_id", "fetched_at"])
+
+
+OP2_SQL = rf"""
+WITH entries(list_name, verdict, kind, pattern, action, since) AS (VALUES {_VALUES}),
+valid AS (
+  SELECT * FROM (SELECT *, lead(since) OVER (PARTITION BY list_name, kind, pattern ORDER BY since, action, verdict) AS valid_to FROM entries)
+  WHERE action = 'add' AND (valid_to IS NULL OR valid_to > since)),
+captures AS (
+  SELECT page_id, {_FETCHED} AS fetched_at, lower(url) AS url,
+    nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '.'), '') AS host,
+    regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)), '/+$', '') || '/' AS path FROM pages),
+active AS (
+  SELECT page_id, list_name, verdict FROM captures JOIN valid ON since <= fetched_at AND (valid_to IS NULL OR fetched_at < valid_to)
+    AND CASE kind WHEN 'domain' THEN host = pattern OR ends_with(host, '.' || pattern)
+      WHEN 'prefix' THEN starts_with(host || path, pattern)
+      ELSE list_contains(regexp_extract_all(url, '[a-z0-9]+'), pattern) END)
+SELECT page_id, fetched_at, host, count(list_name) AS n_active, coalesce(string_agg(DISTINCT list_name, ',' ORDER BY list_name), '') AS lists,
+  coalesce(max(CASE WHEN verdict = 'block' THEN 1 ELSE 0 END), 0) > coalesce(max(CASE WHEN verdict = 'allow' THEN 1 ELSE 0 END), 0) AS blocked
+FROM captures LEFT JOIN active USING (page_id) GROUP BY page_id, fetched_at, host
+"""
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Later copies of repeated lines in all documents."""
+    found = linededup.without_copies(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return found.select("doc_id", "n_lines", "n_removed", "n_runs", "longest_copy", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of all documents that a 100-byte string seen earlier covers."""
     found = suffixdedup.repeated_substrings(table(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -130,5 +186,5 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontaminate": op1_decontaminate, "op3_suffix_dedup": op3_suffix_dedup, "op5_toxicity": op5_toxicity, "op6_mixing": op6_mixing, "op7_langid": op7_langid, "op8_simhash": op8_simhash, "op9_sharding": op9_sharding, "op10_ann": op10_ann}
-ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op6_mixing": OP6_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontaminate": op1_decontaminate, "op2_url_filter": op2_url_filter, "op3_suffix_dedup": op3_suffix_dedup, "op4_line_dedup": op4_line_dedup, "op5_toxicity": op5_toxicity, "op6_mixing": op6_mixing, "op7_langid": op7_langid, "op8_simhash": op8_simhash, "op9_sharding": op9_sharding, "op10_ann": op10_ann}
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op2_url_filter": OP2_SQL, "op6_mixing": OP6_SQL}

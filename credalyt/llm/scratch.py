@@ -14,6 +14,7 @@ import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 
@@ -86,3 +87,28 @@ class Plain:
         new = {r.lower() for r in results}
         held = [n for n in keep if n.lower() not in new]
         return out.select(*(self[n] for n in held), *results).toDF(*held, *results)
+
+
+def numbered(df: DataFrame, id_col: str, text: str, scratch: Scratch) -> tuple[DataFrame, int]:
+    """``df`` with a long ``key`` that orders its rows, and the bits that a place in a text takes.
+
+    The key is the id where ids are unique non-negative integers that leave room for a
+    place in one long; other tables are sorted (nulls first, then by text) and numbered.
+    """
+    s = df.agg(F.count("*").alias("n"), F.count_distinct(id_col).alias("ids"), F.min(id_col).alias("lo"), F.max(id_col).alias("hi"), F.max(F.octet_length(text)).alias("most")).first()
+    bits = max(7, int(s.most or 0).bit_length() + 1)
+    whole = df.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    if whole and s.n == s.ids and (not s.n or (s.lo >= 0 and int(s.hi).bit_length() + bits <= 62)):
+        return df.withColumn("key", F.col(id_col).cast("long")), bits
+    order = [F.col(id_col).asc_nulls_first(), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    put = scratch.save(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()))
+    part = F.shiftright("place", 33)
+    offset, before = 0, []
+    for row in put.groupBy(part.alias("p")).count().orderBy("p").collect():  # a number for each partition
+        before.append(F.struct(F.lit(row.p).alias("p"), F.lit(offset).cast("long").alias("o")))
+        offset += row["count"]
+    if not before:
+        return df.withColumn("key", F.lit(0).cast("long")), bits
+    known = F.map_from_entries(F.array(*before))
+    return put.withColumn("key", F.element_at(known, part) + F.col("place").bitwiseAND((1 << 33) - 1)).drop("place"), bits

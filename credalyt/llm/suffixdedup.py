@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credalyt.llm.scratch import Plain, Scratch
+from credalyt.llm.scratch import Plain, Scratch, numbered
 from credalyt.llm.textkernel import Rolling, chunks, mixed
 
 WIDTH, GRAM = 100, 32
@@ -248,27 +248,6 @@ def _kept(keep: list[str], text: str):
     return run
 
 
-def _numbered(df: DataFrame, id_col: str, text: str, scratch: Scratch) -> tuple[DataFrame, int]:
-    """``df`` with a long ``key`` that orders its rows, and the bits that a place in a text takes."""
-    s = df.agg(F.count("*").alias("n"), F.count_distinct(id_col).alias("ids"), F.min(id_col).alias("lo"), F.max(id_col).alias("hi"), F.max(F.octet_length(text)).alias("most")).first()
-    bits = max(7, int(s.most or 0).bit_length() + 1)
-    whole = df.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
-    if whole and s.n == s.ids and (not s.n or (s.lo >= 0 and int(s.hi).bit_length() + bits <= 62)):
-        return df.withColumn("key", F.col(id_col).cast("long")), bits
-    order = [F.col(id_col).asc_nulls_first(), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))]
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    put = scratch.save(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()))
-    part = F.shiftright("place", 33)
-    offset, before = 0, []
-    for row in put.groupBy(part.alias("p")).count().orderBy("p").collect():  # a number for each partition
-        before.append(F.struct(F.lit(row.p).alias("p"), F.lit(offset).cast("long").alias("o")))
-        offset += row["count"]
-    if not before:
-        return df.withColumn("key", F.lit(0).cast("long")), bits
-    known = F.map_from_entries(F.array(*before))
-    return put.withColumn("key", F.element_at(known, part) + F.col("place").bitwiseAND((1 << 33) - 1)).drop("place"), bits
-
-
 def _as_lists(positions: DataFrame, bits: int, name: str) -> DataFrame:
     place = F.col("pos").bitwiseAND((1 << bits) - 1).cast("int")
     return positions.select(F.shiftright("pos", bits).alias("key"), place.alias("x")).groupBy("key").agg(F.collect_list("x").alias(name))
@@ -281,7 +260,7 @@ def repeated_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     plain = Plain(df)
     scratch = Scratch(df.sparkSession, "suffix")
     text = plain[text_col]
-    docs, bits = _numbered(plain.df.select(*dict.fromkeys([plain[id_col], text, *(plain[c] for c in keep)])), plain[id_col], text, scratch)
+    docs, bits = numbered(plain.df.select(*dict.fromkeys([plain[id_col], text, *(plain[c] for c in keep)])), plain[id_col], text, scratch)
     texts = docs.select("key", text)
 
     family = IndexFamily(scratch)
