@@ -55,7 +55,7 @@ def train(df: DataFrame, name: str, features: list[str] | str, label: str = "lab
         rows = rows.withColumn("features", array_to_vector(F.col(features)))
     else:
         stages.append(VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"))
-    if balance and model.hasParam("weightCol"):
+    if balance and hasattr(model, "setWeightCol"):
         rows = balanced(rows)
         model = model.setWeightCol("weight")
     return Pipeline(stages=[*stages, model]).fit(rows)

@@ -1,2 +1,122 @@
+"""Models and model calls; they have no SQL form."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from credalyt.operators import batch, ml, prep, udf
+from credalyt.plans import retrieval
+from credalyt.sources.tables import applicants, card_transactions, table
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors, with one of two classes to tell apart, and the rows to test on."""
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding", (F.col("label") < 5).cast("int").alias("label"))
+    return prep.split(rows, "vec_id", 0.2, 42, "label")
+
+
+def _scores(spark: SparkSession, d: str, name: str, **settings) -> DataFrame:
+    rows = vectors(spark, d)
+    model = ml.train(rows.where("not in_test"), name, "embedding", **settings)
+    return ml.predict(model, rows.where("in_test"), "embedding").select("vec_id", "label", F.round("score", 6).alias("score"), "pred")
+
+
+@query
+def lr_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Logistic regression."""
+    return _scores(spark, d, "lr")
+
+
+@query
+def rf_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Random forest."""
+    return _scores(spark, d, "rf", numTrees=20, maxDepth=5)
+
+
+@query
+def gbt_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Gradient-boosted trees."""
+    return _scores(spark, d, "gbt", maxIter=5, maxDepth=3)
+
+
+@query
+def fm_scores(spark: SparkSession, d: str) -> DataFrame:
+    """A factorization machine."""
+    return _scores(spark, d, "fm", maxIter=20)
+
+
+@query
+def mlp_scores(spark: SparkSession, d: str) -> DataFrame:
+    """A small neural network."""
+    return _scores(spark, d, "mlp", layers=[64, 16, 2], maxIter=20)
+
+
+@query
+def mock_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The reproducible stand-in for a model."""
+    return table(spark, d, "customer").select("c_custkey", udf.mock_prediction("c_custkey").alias("p")).select("c_custkey", "p.*")
+
+
+@query
+def udf_embed(spark: SparkSession, d: str) -> DataFrame:
+    """Embeddings of conversations by the stand-in, through a cache."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    cache = spark.createDataFrame([], "cache_key string, embedding array<float>")
+    return udf.embed_with_cache(c, cache, udf.HashingEmbedder()).select("conv_id", "turn", "cache_key", F.size("embedding").alias("dim"))
+
+
+@query
+def udf_generate(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of the stand-in."""
+    return table(spark, d, "conversations").select("conv_id", "turn", udf.generate(F.col("text"), udf.EchoGenerator()).alias("a")).select("conv_id", "turn", "a.*")
+
+
+COLUMNS = ["checking_status", "duration", "credit_history", "purpose", "credit_amount", "savings_status", "employment", "age", "housing", "job"]
+
+
+def knowledge(spark: SparkSession, d: str) -> DataFrame:
+    """Pages' hosts and documents stand for three knowledge collections."""
+    docs = table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"), F.left("text", F.lit(500)).alias("content"), F.element_at(F.array(F.lit("risk_cases"), F.lit("regulations"), F.lit("industry_knowledge")), (F.col("doc_id") % 3 + 1).cast("int")).alias("collection"), F.create_map(F.lit("source"), F.col("source")).alias("metadata"))
+    return docs.withColumn("embedding", udf.embed(F.col("content"), udf.HashingEmbedder()))
+
+
+def customers(spark: SparkSession, n: int = 20) -> DataFrame:
+    return applicants(spark, n).withColumnRenamed("customer_id", "query_id").withColumnRenamed("true_risk_level", "true_level")
+
+
+@query
+def rag_analyze(spark: SparkSession, d: str) -> DataFrame:
+    """Retrieval, prompt, answer and fields for synthetic applicants."""
+    rows = retrieval.analyze(customers(spark), knowledge(spark, d), COLUMNS, udf.HashingEmbedder(), udf.EchoGenerator())
+    return rows.select("query_id", "true_level", F.length("prompt").alias("prompt_length"), "analysis.risk_level", "analysis.risk_score", "analysis.approval")
+
+
+@query
+def rag_ablation(spark: SparkSession, d: str) -> DataFrame:
+    """The variants of the system, summarised."""
+    configs = retrieval.ABLATION
+    return batch.ablation_summary(retrieval.ablation(customers(spark), knowledge(spark, d), COLUMNS, udf.HashingEmbedder(), udf.EchoGenerator(), configs))
+
+
+@query
+def synthetic_card(spark: SparkSession, d: str) -> DataFrame:
+    """Prepared synthetic card transactions."""
+    rows = prep.prepare_card(card_transactions(spark, 2000, share=0.01).withColumnRenamed("id", "row_id"), ["Amount", "Time"])
+    return rows.groupBy("Class", "in_test").agg(F.count("*").alias("n"), F.round(F.avg("Amount"), 4).alias("amount"))
+
+
+@query
+def synthetic_german(spark: SparkSession, d: str) -> DataFrame:
+    """Prepared synthetic applicants."""
+    rows = applicants(spark, 500).withColumn("class", (F.col("true_risk_level") == 2).cast("int") + 1).withColumnRenamed("customer_id", "row_id")
+    out = prep.prepare_german(rows, ["purpose", "job"], ["duration", "credit_amount", "age"])
+    return out.groupBy("class", "in_test").agg(F.count("*").alias("n"), F.max("purpose").alias("purposes"))
