@@ -144,7 +144,7 @@ def favorable_factors(answer: Column) -> Column:
 
 
 def _listed(part: Column, heading: str) -> Column:
-    text = F.regexp_extract(part, rf"(?:{heading})[：:\s]*([\s\S]*?)(?:\n\n|\n[-•*]|\n\d+\.|\z)", 1)
+    text = F.regexp_extract(part, rf"(?:{heading})[：:\s]*([\s\S]*?)(?:\n\n|\n[-•*]|\n\d+\.|\n(?:授信额度|监控指标|关注指标|风险缓释|缓释措施|其他措施)|\z)", 1)
     return F.slice(F.filter(F.transform(F.split(text, "[,，、\n]"), lambda x: strip(x)), lambda x: F.length(x) > 2), 1, 10)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from credalyt.functions.decode import CODES
 
 #: The 21 fields of the German credit file, in order (it has no header).
-GERMAN = T.StructType.fromDDL(
+GERMAN = (
     "checking_status string, duration int, credit_history string, purpose string, credit_amount int, savings_status string, employment string, "
     "installment_commitment int, personal_status string, other_parties string, residence_since int, property_magnitude string, age int, "
     "other_payment_plans string, housing string, existing_credits int, job string, num_dependents int, own_telephone string, foreign_worker string, class int"
