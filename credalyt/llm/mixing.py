@@ -117,9 +117,10 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     taken = _rounds() * F.col("size") + _rest()
     rows = _placed(plain, id_col, text_col, source_col, most_repeats).withColumn("taken", taken)
     rows = rows.withColumn("first_position", F.when(F.col("taken") > 0, _position(F.col("before"))))
-    out = plain.back(rows, keep, RESULT)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return out.repartitionByRange(n, F.col("first_position")).sortWithinPartitions("first_position")
+    # what is not taken has no position: its MD5 spreads it over ranges
+    rows = rows.select(*(plain[c] for c in keep), *RESULT, "spread").repartitionByRange(n, F.col("first_position"), F.col("spread")).sortWithinPartitions("first_position", "spread")
+    return plain.back(rows, keep, RESULT)
 
 
 def draws(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most_repeats: int = MOST_REPEATS) -> DataFrame:

@@ -27,6 +27,7 @@ has the name of a result column, the result's stays.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -38,38 +39,59 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from credalyt.llm.components import components
-from credalyt.llm.scratch import Plain, Scratch
+from credalyt.llm.scratch import Plain, Scratch, numbered
 from credalyt.llm.textkernel import NON_SPACE, chunks, joined, words
 
 SEED = 42
+#: a long fingerprint, for similarities: 1,024 bits, 128 positional bytes
+SKETCH_WORDS = 16
+#: index lists of long fingerprints, the positional bytes that each fixes, and neighbours compared in a list
+LISTS, LIST_BYTES, NEAR = 160, 3, 8
 #: pairs of two-byte blocks: positional bytes that a list fixes
 BLOCK_PAIRS = tuple(combinations(range(4), 2))
 
 
-def fingerprints_of(raw: np.ndarray, offs: np.ndarray, shingle: int) -> np.ndarray:
-    """The fingerprint of each text of a chunk."""
+def _shingles(raw: np.ndarray, offs: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of every shingle of a chunk, and how many each row has."""
     starts, ends, of_row = words(raw, offs, NON_SPACE)
     text, ws, we = joined(raw, starts, ends, of_row)
     n_words = np.diff(of_row)
     n = np.where(n_words >= shingle, n_words - shingle + 1, (n_words > 0).astype(np.int64))
     total = int(n.sum())
-    out = np.zeros(len(n), np.uint64)
-    if not total:
-        return out
-    begins = np.cumsum(n) - n
     row = np.repeat(np.arange(len(n)), n)
-    first = of_row[:-1][row] + np.arange(total) - begins[row]
+    first = of_row[:-1][row] + np.arange(total) - (np.cumsum(n) - n)[row]
     last = np.minimum(first + shingle, of_row[1:][row]) - 1
     data, digest = text.tobytes(), xxhash.xxh64_intdigest
-    h = np.fromiter((digest(data[a:b], SEED) for a, b in zip(ws[first].tolist(), we[last].tolist())), np.uint64, total)
-    bits = np.unpackbits(h.view(np.uint8).reshape(total, 8), axis=1)
-    some = n > 0
-    ones = np.add.reduceat(bits, begins[some], axis=0, dtype=np.int32)
-    major = np.packbits(ones * 2 > n[some, None], axis=1)
-    out[some] = np.ascontiguousarray(major).view(np.uint64).ravel()
+    return np.fromiter((digest(data[a:b], SEED) for a, b in zip(ws[first].tolist(), we[last].tolist())), np.uint64, total), n
+
+
+def _majority(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Bits set in over half of each row's values, eight bytes a row."""
+    out, some = np.zeros((len(n), 8), np.uint8), n > 0
+    if len(h):
+        bits = np.unpackbits(h.view(np.uint8).reshape(len(h), 8), axis=1)
+        ones = np.add.reduceat(bits, (np.cumsum(n) - n)[some], axis=0, dtype=np.int32)
+        out[some] = np.packbits(ones * 2 > n[some, None], axis=1)
     return out
 
 
+def fingerprints_of(raw: np.ndarray, offs: np.ndarray, shingle: int) -> np.ndarray:
+    """The fingerprint of each text of a chunk."""
+    return _majority(*_shingles(raw, offs, shingle)).view(np.uint64).ravel()
+
+
+def sketches_of(raw: np.ndarray, offs: np.ndarray, shingle: int, n_words: int = SKETCH_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of ``n_words`` times 64 bits, as bytes, and the rows' numbers of shingles."""
+    h, n = _shingles(raw, offs, shingle)
+    parts = []
+    for j in range(n_words):
+        x = h + np.uint64((j + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        parts.append(_majority(x ^ (x >> np.uint64(31)), n))
+    return np.concatenate(parts, axis=1), n
+
+
 def with_fingerprint(df: DataFrame, text_col: str = "text", out_col: str = "simhash", shingle: int = 3) -> DataFrame:
     """``df`` and a long column with the fingerprint's 64 bits."""
     schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.LongType(), False)])
@@ -144,13 +166,138 @@ def _classes(ids: DataFrame, max_bits: int, list_limit: int) -> DataFrame:
     return scratch.save(named.join(least, "root").select("fp", "component_id", "links"))
 
 
-def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2, list_limit: int = 32) -> DataFrame:
-    """One row of each component of ``df``, with the columns of ``df``: that with the smallest id."""
+def bit_bounds(similarity: float, bits: int, sure: float = 3.0) -> tuple[int, int]:
+    """Differing bits up to which fingerprints are surely that similar, and from which surely not.
+
+    Sets of Jaccard similarity J have the cosine 2J / (1 + J), and a bit differs with
+    probability acos(cosine) / pi; the bounds are ``sure`` standard deviations away."""
+    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    spread = sure * math.sqrt(bits * p * (1 - p))
+    return int(bits * p - spread), int(math.ceil(bits * p + spread))
+
+
+def list_positions(lists: int = LISTS, width: int = LIST_BYTES, n_bytes: int = 8 * SKETCH_WORDS, seed: int = 1) -> np.ndarray:
+    """The positional bytes of each index list: rounds of disjoint sets, shuffled for each round."""
+    rng = np.random.default_rng(seed)
+    rounds = [rng.permutation(n_bytes)[: n_bytes // width * width].reshape(-1, width) for _ in range(-(-lists * width // n_bytes) + 1)]
+    return np.concatenate(rounds)[:lists]
+
+
+def similar_links(sketches: DataFrame, scratch: Scratch, similarity: float, lists: int = LISTS, width: int = LIST_BYTES, near: int = NEAR) -> DataFrame:
+    """(u, v, differ): pairs of distinct sketches (node, sketch, n) that may be that similar.
+
+    Pairs that share a list's bytes are candidates if their numbers of shingles allow the
+    similarity.  A list is sorted by that number, and each member meets the ``near`` ones
+    that follow, so a list of a thousand near copies stays linear; a pair that similar has
+    many of the lists in common.  Candidates are joined with their sketches; those that
+    share too few positional bytes are dropped, and the rest compared bit by bit."""
+    places = list_positions(lists, width)
+    shifts = (np.int64(256) ** np.arange(width)).astype(np.int64)
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in (b.slice(i, 2048) for i in range(0, b.num_rows, 2048)):
+                x = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1).astype(np.int64)
+                key = (x[:, places] * shifts).sum(axis=2) + (np.arange(len(places), dtype=np.int64) << (8 * width))
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(part.column(2).to_numpy(), len(places))), pa.array(np.repeat(part.column(0).to_numpy(), len(places)))], names=["list", "n", "node"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64)] * 3
+        for b in batches:
+            key, n, node = (np.concatenate([h, c.to_numpy()]) for h, c in zip(held, b.columns))
+            fresh = len(held[0])
+            for d in range(1, near + 1):
+                later = np.arange(max(d, fresh), len(key))
+                same = later[key[later] == key[later - d]]
+                if not len(same):
+                    if d > fresh:
+                        break
+                    continue
+                pair = same[n[same - d] >= similarity * n[same]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[pair], node[pair - d])), pa.array(np.maximum(node[pair], node[pair - d]))], names=["u", "v"])
+            held = [key[-near:], n[-near:], node[-near:]]
+
+    p = int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    posted = sketches.select("node", "sketch", "n").mapInArrow(post, "list long, n long, node long")
+    sorted_lists = posted.repartitionByRange(p, "list", "n", "node").sortWithinPartitions("list", "n", "node")
+    pairs = scratch.save(sorted_lists.mapInArrow(meet, "u long, v long").distinct())
+    bits = 64 * SKETCH_WORDS
+    bound = bit_bounds(similarity, bits)[1]
+    # a byte is shared unless one of its bits differs: what a pair within the bound has at least, but for chance
+    share = (1 - bound / bits) ** 8
+    least = int(bits / 8 * share - 4 * math.sqrt(bits / 8 * share * (1 - share)))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(b.num_rows, -1) for i in (2, 3))
+            enough = np.flatnonzero((x == y).sum(axis=1) >= least)
+            differ = np.bitwise_count(x[enough] ^ y[enough]).sum(axis=1, dtype=np.int64)
+            close = differ <= bound
+            keep = pa.array(enough[close])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep), pa.array(differ[close])], names=["u", "v", "differ"])
+
+    s = sketches.select("node", "sketch")
+    both = pairs.join(s.select(F.col("node").alias("u"), F.col("sketch").alias("a")), "u").join(s.select(F.col("node").alias("v"), F.col("sketch").alias("b")), "v")
+    return both.select("u", "v", "a", "b").mapInArrow(verify, "u long, v long, differ long")
+
+
+def _truly_similar(similarity: float, shingle: int):
+    """Pairs of texts whose sets of shingles have the similarity."""
+
+    def sets(column: pa.Array) -> list[np.ndarray]:
+        out = []
+        for _, raw, offs in chunks(iter([pa.RecordBatch.from_arrays([column], names=["t"])]), "t"):
+            h, n = _shingles(raw, offs, shingle)
+            out.extend(np.unique(x) for x in np.split(h, np.cumsum(n)[:-1]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for i, (x, y) in enumerate(zip(sets(b.column(2)), sets(b.column(3)))):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both >= similarity * (len(x) + len(y) - both):
+                    keep.append(i)
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], names=["u", "v"])
+
+    return run
+
+
+def dissimilar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each group of near duplicates of ``df``, with the columns of ``df``: that with
+    the smallest id (null before others; among rows of one id the least text hash).
+
+    Rows are linked if their sets of word shingles have a Jaccard similarity of
+    ``similarity`` or more; copies always are.  Long fingerprints find the pairs and decide
+    those that are surely similar or surely not; texts are compared for the pairs between."""
     plain = Plain(df)
-    key, text = plain[id_col], plain[text_col]
-    fps = with_fingerprint(plain.df.select(key, text), text, "fp", shingle).select(F.col(key).alias("id"), "fp")
-    classes = _classes(fps, max_bits, list_limit)
-    named = plain.df.where(F.col(key).isNotNull()).join(classes.select(F.col("component_id").alias(key)).distinct(), key, "left_semi").dropDuplicates([key])
-    # rows without an id stand only for components of such rows
-    loose = with_fingerprint(plain.df.where(F.col(key).isNull()), text, "fp", shingle).join(classes.where("component_id is null").select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
-    return named.select(*plain.cols()).unionByName(loose.select(*plain.cols())).toDF(*plain.names)
+    text = plain[text_col]
+    scratch = Scratch(df.sparkSession, "similar")
+    docs, _ = numbered(plain.df, plain[id_col], text, scratch)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, raw, offs in chunks(batches, text):
+            sketch, n = sketches_of(raw, offs, shingle)
+            binary = pa.FixedSizeBinaryArray.from_buffers(pa.binary(sketch.shape[1]), len(sketch), [None, pa.py_buffer(np.ascontiguousarray(sketch))]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("key")), binary, pa.array(n)], names=["key", "sketch", "n"])
+
+    found = docs.select("key", text).mapInArrow(run, "key long, sketch binary, n long")
+    # equal fingerprints are one node, named by its smallest key
+    nodes = scratch.save(found.groupBy("sketch").agg(F.min("key").alias("node"), F.max("n").alias("n")))
+    links = scratch.save(similar_links(nodes, scratch, similarity))
+    surely = F.col("differ") <= bit_bounds(similarity, 64 * SKETCH_WORDS)[0]
+    roots = scratch.save(components(links.where(surely), scratch))
+    open_links = links.where(~surely)
+    for side in "uv":  # pairs that are linked anyway need no look
+        open_links = open_links.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
+    open_links = scratch.save(open_links.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v"))
+    asked = open_links.select(F.explode(F.array("u", "v")).alias("key")).distinct()
+    texts = scratch.save(docs.select("key", F.coalesce(F.col(text), F.lit("")).alias("t")).join(asked, "key", "left_semi"))
+    pairs = open_links.join(texts.select(F.col("key").alias("u"), F.col("t").alias("a")), "u").join(texts.select(F.col("key").alias("v"), F.col("t").alias("b")), "v")
+    more = pairs.select("u", "v", "a", "b").mapInArrow(_truly_similar(similarity, shingle), "u long, v long")
+    all_links = more.unionByName(roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
+    gone = components(all_links, scratch).where("node <> root").select("node")
+    stay = scratch.save(nodes.select("node").join(gone, "node", "left_anti").select(F.col("node").alias("key")))
+    scratch.drop(nodes, links, roots, open_links, texts)
+    return docs.join(stay, "key", "left_semi").select(*plain.cols()).toDF(*plain.names)

@@ -25,6 +25,7 @@ their number; extra columns pass through.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,7 +42,7 @@ BITS = 20
 #: bytes at the start of a longer word that are terms too: compounds share them
 STEMS = (4, 5, 6, 7)
 FACTORS = 4
-MAX_ROWS = 6000
+MAX_ROWS = 4000
 MAX_TERMS = 20000
 _TERMS = Rolling(11)
 
@@ -185,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     slots = [np.frombuffer(x, np.int32) for x in rows["slots"].to_pylist()]
     y, w = (rows[c].to_numpy().astype(float) for c in ("y", "w"))
     # the cluster may return rows in any order: sums in floating point want one
-    order = sorted(range(len(slots)), key=lambda i: (y[i], len(slots[i]), slots[i].tobytes()))
+    order = sorted(range(len(slots)), key=lambda i: (y[i], len(slots[i]), hashlib.md5(slots[i]).digest()))
     slots = [slots[i] for i in order]
     offs = np.concatenate([[0], np.cumsum([len(s) for s in slots])]).astype(np.int64)
     flat = np.concatenate(slots) if slots else np.empty(0, np.int32)
