@@ -17,7 +17,15 @@ LEVEL_NAMES = {0: "低风险", 1: "中风险", 2: "高风险", -1: "未知"}
 APPROVED, REJECTED, REVIEW, PENDING = "批准", "拒绝", "人工复核", "待定"
 # Headings that end a section.
 _ENDS = {"risk": "有利因素|综合|风险评分|审批建议|管理建议|决策建议|知识来源", "favorable": "综合|风险评分|审批建议|管理建议|决策建议|知识来源", "approval": "知识来源"}
+# The forms in which answers state their fields.
 _BULLET = r"(?:^|\n)\s*(?:\d+\.|[-•*])\s*"
+_LEVEL = r"(?:风险等级|风险判定)[：:\s]*[*]*([低中高]+风险?)[*]*"
+_SCORE = r"(?:风险评分|综合评分|评分)[：:\s]*(\d{1,3})\s*(?:分)?"
+_LOOSE_SCORE = r"(\d{1,3})\s*(?:分|/100)"
+_PLAIN_SCORES = (r"风险评分[：:]\s*(\d+)", r"评分[：:]\s*(\d+)", r"(\d+)\s*分")
+_CITATION = r"\[(\d+)\]\s*(风险案例|监管法规|行业知识|参考资料)"
+_LIMIT = r"(?:授信额度|额度)[：:\s]*([^\n]+)"
+_OBJECT = r"\{[^}]+\}"
 
 
 def _any(text: Column, *parts: str) -> Column:
@@ -34,7 +42,7 @@ def level_of(text: Column) -> Column:
 
 def risk_level(answer: Column) -> Column:
     """The labelled level, else the first that the text speaks of."""
-    labelled = F.regexp_extract(answer, r"(?:风险等级|风险判定)[：:\s]*[*]*([低中高]+风险?)[*]*", 1)
+    labelled = F.regexp_extract(answer, _LEVEL, 1)
     spoken = F.when(_any(answer, "低风险", "风险较低"), 0).when(_any(answer, "高风险", "风险较高"), 2).when(_any(answer, "中风险", "风险中等"), 1)
     return F.when(labelled != "", level_of(labelled)).otherwise(spoken)
 
@@ -57,13 +65,13 @@ def _digits(text: Column, pattern: str) -> Column:
 
 def risk_score(answer: Column) -> Column:
     """The labelled score up to 100, else the first number of points up to 100."""
-    loose = F.filter(F.transform(F.regexp_extract_all(answer, F.lit(r"(\d{1,3})\s*(?:分|/100)"), 1), lambda d: d.cast("int")), lambda n: n <= 100)
-    return F.coalesce(_digits(answer, r"(?:风险评分|综合评分|评分)[：:\s]*(\d{1,3})\s*(?:分)?"), F.get(loose, F.lit(0)))
+    loose = F.filter(F.transform(F.regexp_extract_all(answer, F.lit(_LOOSE_SCORE), 1), lambda d: d.cast("int")), lambda n: n <= 100)
+    return F.coalesce(_digits(answer, _SCORE), F.get(loose, F.lit(0)))
 
 
 def risk_score_plain(text: Column) -> Column:
     """The plain variant: three patterns in order."""
-    return F.coalesce(_digits(text, r"风险评分[：:]\s*(\d+)"), _digits(text, r"评分[：:]\s*(\d+)"), _digits(text, r"(\d+)\s*分"))
+    return F.coalesce(*[_digits(text, p) for p in _PLAIN_SCORES])
 
 
 def approval_of(text: Column) -> Column:
@@ -151,21 +159,20 @@ def _listed(part: Column, heading: str) -> Column:
 def suggestions(answer: Column) -> Column:
     """struct<credit_limit, monitoring, mitigation> of the section on approval."""
     part = section(answer, "(?:审批|决策|管理)建议", _ENDS["approval"])
-    limit = F.left(strip(F.regexp_extract(part, r"(?:授信额度|额度)[：:\s]*([^\n]+)", 1)), F.lit(200))
+    limit = F.left(strip(F.regexp_extract(part, _LIMIT, 1)), F.lit(200))
     return F.struct(limit.alias("credit_limit"), _listed(part, "监控指标|关注指标").alias("monitoring"), _listed(part, "风险缓释|缓释措施|其他措施").alias("mitigation"))
 
 
 def citations(answer: Column) -> Column:
     """array<struct<source_id, source_type>>, the first of each id."""
-    pattern = r"\[(\d+)\]\s*(风险案例|监管法规|行业知识|参考资料)"
-    both = F.arrays_zip(F.regexp_extract_all(answer, F.lit(pattern), 1).alias("source_id"), F.regexp_extract_all(answer, F.lit(pattern), 2).alias("source_type"))
+    both = F.arrays_zip(F.regexp_extract_all(answer, F.lit(_CITATION), 1).alias("source_id"), F.regexp_extract_all(answer, F.lit(_CITATION), 2).alias("source_type"))
     return F.aggregate(both, F.array().cast("array<struct<source_id:string,source_type:string>>"), lambda acc, c: F.when(F.exists(acc, lambda a: a["source_id"] == c["source_id"]), acc).otherwise(F.concat(acc, F.array(c))))
 
 
 def json_answer(answer: Column) -> Column:
     """struct<risk_score, label, ok> of the first JSON object in a text; (0.5, 0, false) if there is none."""
-    found = F.from_json(F.regexp_extract(answer, r"\{[^}]+\}", 0), "risk_score double, recommendation string, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    ok = found.isNotNull() & found["_bad"].isNull() & (F.regexp_extract(answer, r"\{[^}]+\}", 0) != "")
+    found = F.from_json(F.regexp_extract(answer, _OBJECT, 0), "risk_score double, recommendation string, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    ok = found.isNotNull() & found["_bad"].isNull() & (F.regexp_extract(answer, _OBJECT, 0) != "")
     label = F.when(F.coalesce(found["recommendation"], F.lit(APPROVED)) == APPROVED, 0).otherwise(1)
     return F.struct(
         F.when(ok, F.coalesce(found["risk_score"], F.lit(0.5))).otherwise(F.lit(0.5)).alias("risk_score"),

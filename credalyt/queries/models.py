@@ -1,4 +1,4 @@
-"""Models and model calls; they have no SQL form."""
+"""Models, model calls and experiments; most have no SQL form."""
 
 from __future__ import annotations
 
@@ -6,16 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credalyt.operators import batch, ml, prep, udf
-from credalyt.plans import retrieval
+from credalyt.operators.vector import max_sim, sparse_dot
+from credalyt.plans import experiments, retrieval
 from credalyt.sources.tables import applicants, card_transactions, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(f):
-    QUERIES[f.__name__] = f
-    return f
+def query(f=None, oracle: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return put(f) if f else put
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -120,3 +126,80 @@ def synthetic_german(spark: SparkSession, d: str) -> DataFrame:
     rows = applicants(spark, 500).withColumn("class", (F.col("true_risk_level") == 2).cast("int") + 1).withColumnRenamed("customer_id", "row_id")
     out = prep.prepare_german(rows, ["purpose", "job"], ["duration", "credit_amount", "age"])
     return out.groupBy("class", "in_test").agg(F.count("*").alias("n"), F.max("purpose").alias("purposes"))
+
+
+@query
+def experiment_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Two models, two repeats, all metrics."""
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding", (F.col("label") < 5).cast("int").alias("label"))
+    return experiments.run({"vectors": rows}, ["lr", "rf"], {"vectors": "embedding"}, "vec_id", repeats=2, settings={"rf": {"numTrees": 5, "maxDepth": 3}})
+
+
+@query
+def text_classifier(spark: SparkSession, d: str) -> DataFrame:
+    """TF-IDF features and a forest, for the quality of documents."""
+    docs = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+    rows = experiments.text_features(docs, 100).join(docs.select("doc_id", "label"), "doc_id")
+    parts = prep.split(rows, "doc_id", 0.3, 42, "label")
+    model = ml.train(parts.where("not in_test"), "rf", "features", numTrees=10, maxDepth=5)
+    return ml.predict(model, parts.where("in_test"), "features").select("doc_id", "label", F.round("score", 6).alias("score"), "pred")
+
+
+@query
+def rerank_udf(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs scored by a stand-in for a cross-encoder."""
+    pairs = table(spark, d, "benchmark").select("item_id", "text")
+
+    def scorer(rows: list[tuple[str, str]]) -> list[float]:
+        return [float(len(set(a.split()) & set(b.split()))) for a, b in rows]
+
+    return pairs.select("item_id", F.round(udf.rerank(F.lit("the of and"), F.col("text"), scorer, sigmoid=True), 6).alias("score"))
+
+
+_DENSITY = r"""
+WITH docs AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: len(x) >= 2) AS w FROM documents),
+grams AS (SELECT doc_id, unnest(list_concat(w, CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END)) AS term FROM docs),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM grams GROUP BY doc_id, term),
+voc AS (SELECT term FROM tf, (SELECT count(*) AS n FROM docs) GROUP BY term, n HAVING count(*) <= 0.95 * n ORDER BY sum(tf) DESC, term LIMIT 200)
+SELECT count(*)::DOUBLE / (count(DISTINCT term) * (SELECT count(*) FROM docs)) AS density FROM tf JOIN voc USING (term)"""
+
+
+@query(oracle=_DENSITY)
+def tfidf_density(spark: SparkSession, d: str) -> DataFrame:
+    """The share of TF-IDF cells in use."""
+    return experiments.density(table(spark, d, "documents"), 200)
+
+
+@query(oracle="SELECT x.p_partkey AS i, CAST(x.p_size * y.p_size AS DOUBLE) AS s FROM part x JOIN part y ON y.p_partkey = x.p_partkey + 1 AND y.p_brand = x.p_brand")
+def sparse_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """Inner products of term weights of neighbouring parts."""
+    p = table(spark, d, "part").select("p_partkey", F.create_map(F.col("p_brand"), F.col("p_size").cast("double")).alias("m"))
+    q = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("m").alias("n"))
+    return p.join(q, "p_partkey").select(F.col("p_partkey").alias("i"), sparse_dot(F.col("m"), F.col("n")).alias("s")).where("s > 0")
+
+
+@query(oracle="""
+WITH v AS (SELECT vec_id, [embedding[k:k + 15] FOR k IN [1, 17, 33, 49]] AS p FROM embeddings),
+q AS (SELECT p FROM v WHERE vec_id = 0),
+x AS (SELECT v.vec_id, unnest(q.p) AS a, v.p AS b FROM v, q),
+y AS (SELECT vec_id, list_max(list_transform(b, lambda w: list_sum(list_transform(range(1, 17), lambda i: a[i]::DOUBLE * w[i]::DOUBLE)))) AS m FROM x)
+SELECT vec_id, round(sum(m), 6) AS s FROM y GROUP BY vec_id""")
+def late_interaction(spark: SparkSession, d: str) -> DataFrame:
+    """Sums of best matches between the quarters of vectors."""
+    quarters = F.array(*[F.slice("embedding", 1 + 16 * k, 16) for k in range(4)])
+    v = table(spark, d, "embeddings").select("vec_id", quarters.alias("p"))
+    asked = v.where("vec_id = 0").select(F.col("p").alias("q"))
+    return v.crossJoin(F.broadcast(asked)).select("vec_id", F.round(max_sim(F.col("q"), F.col("p")), 6).alias("s"))
+
+
+@query(oracle="""
+WITH c AS (SELECT o_orderkey AS case_id, o_orderkey % 3 AS t, o_orderkey % 2 AS a, o_orderkey % 5 % 3 AS b, o_orderkey % 4 AS n FROM orders)
+SELECT case_id FROM c WHERE (a = t) <> (b = t) OR t = 2 OR n >= 3 ORDER BY case_id LIMIT 10""")
+def interesting_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Cases for a report: methods differ, high level, or many factors."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"))
+    k = F.col("case_id")
+    cases = o.select("case_id", (k % 3).alias("true_level"))
+    first = o.select("case_id", (k % 2).alias("level"))
+    second = o.select("case_id", (k % 5 % 3).alias("level"), (k % 4).alias("n_factors"))
+    return experiments.interesting_cases(cases, first, second).select("case_id")
