@@ -45,8 +45,8 @@ from credalyt.llm.textkernel import NON_SPACE, chunks, joined, words
 SEED = 42
 #: a long fingerprint, for similarities: 1,024 bits, 128 positional bytes
 SKETCH_WORDS = 16
-#: index lists of long fingerprints, the positional bytes that each fixes, and neighbours compared in a list
-LISTS, LIST_BYTES, NEAR = 160, 3, 8
+#: index lists of long fingerprints, the positional bytes that each fixes, and the length up to which all of a list meet
+LISTS, LIST_BYTES, SHORT = 160, 3, 8
 #: pairs of two-byte blocks: positional bytes that a list fixes
 BLOCK_PAIRS = tuple(combinations(range(4), 2))
 
@@ -183,13 +183,13 @@ def list_positions(lists: int = LISTS, width: int = LIST_BYTES, n_bytes: int = 8
     return np.concatenate(rounds)[:lists]
 
 
-def similar_links(sketches: DataFrame, scratch: Scratch, similarity: float, lists: int = LISTS, width: int = LIST_BYTES, near: int = NEAR) -> DataFrame:
+def similar_links(sketches: DataFrame, scratch: Scratch, similarity: float, lists: int = LISTS, width: int = LIST_BYTES, short: int = SHORT) -> DataFrame:
     """(u, v, differ): pairs of distinct sketches (node, sketch, n) that may be that similar.
 
     Pairs that share a list's bytes are candidates if their numbers of shingles allow the
-    similarity.  A list is sorted by that number, and each member meets the ``near`` ones
-    that follow, so a list of a thousand near copies stays linear; a pair that similar has
-    many of the lists in common.  Candidates are joined with their sketches; those that
+    similarity.  All of a list of up to ``short`` members meet.  A longer one is sorted by
+    that number and each member meets the next, so a list of a thousand near copies stays
+    linear; copies of one group meet others in each of their many lists.  Candidates are joined with their sketches; those that
     share too few positional bytes are dropped, and the rest compared bit by bit."""
     places = list_positions(lists, width)
     shifts = (np.int64(256) ** np.arange(width)).astype(np.int64)
@@ -205,17 +205,15 @@ def similar_links(sketches: DataFrame, scratch: Scratch, similarity: float, list
         held = [np.empty(0, np.int64)] * 3
         for b in batches:
             key, n, node = (np.concatenate([h, c.to_numpy()]) for h, c in zip(held, b.columns))
-            fresh = len(held[0])
-            for d in range(1, near + 1):
-                later = np.arange(max(d, fresh), len(key))
-                same = later[key[later] == key[later - d]]
-                if not len(same):
-                    if d > fresh:
-                        break
-                    continue
-                pair = same[n[same - d] >= similarity * n[same]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[pair], node[pair - d])), pa.array(np.maximum(node[pair], node[pair - d]))], names=["u", "v"])
-            held = [key[-near:], n[-near:], node[-near:]]
+            cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+            long = np.repeat(np.diff(cuts) > short, np.diff(cuts))
+            for d in range(1, short):
+                later = np.arange(max(d, len(held[0])), len(key))
+                pair = later[(key[later] == key[later - d]) & (n[later - d] >= similarity * n[later])]
+                pair = pair if d == 1 else pair[~long[pair]]
+                if len(pair):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[pair], node[pair - d])), pa.array(np.maximum(node[pair], node[pair - d]))], names=["u", "v"])
+            held = [key[-short:], n[-short:], node[-short:]]
 
     p = int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     posted = sketches.select("node", "sketch", "n").mapInArrow(post, "list long, n long, node long")
