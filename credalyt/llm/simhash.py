@@ -27,7 +27,7 @@ has the name of a result column, the result's stays.
 
 from __future__ import annotations
 
-import math
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -43,10 +43,12 @@ from credalyt.llm.scratch import Plain, Scratch, numbered
 from credalyt.llm.textkernel import NON_SPACE, chunks, joined, words
 
 SEED = 42
-#: a long fingerprint, for similarities: 1,024 bits, 128 positional bytes
-SKETCH_WORDS = 16
-#: index lists of long fingerprints, the positional bytes that each fixes, and the length up to which all of a list meet
-LISTS, LIST_BYTES, SHORT = 160, 3, 8
+#: documents sampled for common shingles, and the most of these that are kept
+SAMPLE, COMMON = 4096, 1 << 17
+#: lists up to this length are compared lag by lag, longer ones member by member
+LAGS = 64
+#: products of a similarity and a whole number are rounded
+SLACK = 1e-9
 #: pairs of two-byte blocks: positional bytes that a list fixes
 BLOCK_PAIRS = tuple(combinations(range(4), 2))
 
@@ -80,16 +82,15 @@ def fingerprints_of(raw: np.ndarray, offs: np.ndarray, shingle: int) -> np.ndarr
     return _majority(*_shingles(raw, offs, shingle)).view(np.uint64).ravel()
 
 
-def sketches_of(raw: np.ndarray, offs: np.ndarray, shingle: int, n_words: int = SKETCH_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of ``n_words`` times 64 bits, as bytes, and the rows' numbers of shingles."""
+def shingle_sets(raw: np.ndarray, offs: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles' hashes of each text of a chunk, sorted, and the texts' offsets in them."""
     h, n = _shingles(raw, offs, shingle)
-    parts = []
-    for j in range(n_words):
-        x = h + np.uint64((j + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        parts.append(_majority(x ^ (x >> np.uint64(31)), n))
-    return np.concatenate(parts, axis=1), n
+    row = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return h[new].view(np.int64), np.concatenate([[0], np.cumsum(np.bincount(row[new], minlength=len(n)))])
 
 
 def with_fingerprint(df: DataFrame, text_col: str = "text", out_col: str = "simhash", shingle: int = 3) -> DataFrame:
@@ -166,95 +167,101 @@ def _classes(ids: DataFrame, max_bits: int, list_limit: int) -> DataFrame:
     return scratch.save(named.join(least, "root").select("fp", "component_id", "links"))
 
 
-def bit_bounds(similarity: float, bits: int, sure: float = 3.0) -> tuple[int, int]:
-    """Differing bits up to which fingerprints are surely that similar, and from which surely not.
-
-    Sets of Jaccard similarity J have the cosine 2J / (1 + J), and a bit differs with
-    probability acos(cosine) / pi; the bounds are ``sure`` standard deviations away."""
-    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-    spread = sure * math.sqrt(bits * p * (1 - p))
-    return int(bits * p - spread), int(math.ceil(bits * p + spread))
-
-
-def list_positions(lists: int = LISTS, width: int = LIST_BYTES, n_bytes: int = 8 * SKETCH_WORDS, seed: int = 1) -> np.ndarray:
-    """The positional bytes of each index list: rounds of disjoint sets, shuffled for each round."""
-    rng = np.random.default_rng(seed)
-    rounds = [rng.permutation(n_bytes)[: n_bytes // width * width].reshape(-1, width) for _ in range(-(-lists * width // n_bytes) + 1)]
-    return np.concatenate(rounds)[:lists]
+def _common(docs: DataFrame, text: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) of shingles that a sample of texts repeats, and in how many of its texts each is."""
+    every = max(1, docs.count() // SAMPLE)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, raw, offs in chunks(batches, text):
+            yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(raw, offs, shingle)[0])], names=["h"])
 
-def similar_links(sketches: DataFrame, scratch: Scratch, similarity: float, lists: int = LISTS, width: int = LIST_BYTES, short: int = SHORT) -> DataFrame:
-    """(u, v, differ): pairs of distinct sketches (node, sketch, n) that may be that similar.
-
-    Pairs that share a list's bytes are candidates if their numbers of shingles allow the
-    similarity.  All of a list of up to ``short`` members meet.  A longer one is sorted by
-    that number and each member meets the next, so a list of a thousand near copies stays
-    linear; copies of one group meet others in each of their many lists.  Candidates are joined with their sketches; those that
-    share too few positional bytes are dropped, and the rest compared bit by bit."""
-    places = list_positions(lists, width)
-    shifts = (np.int64(256) ** np.arange(width)).astype(np.int64)
+    sample = docs.where(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).select(text).mapInArrow(run, "h long")
+    rows = sample.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(COMMON).orderBy("h").toArrow()
+    return rows["h"].to_numpy(), rows["n"].to_numpy()
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in (b.slice(i, 2048) for i in range(0, b.num_rows, 2048)):
-                x = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1).astype(np.int64)
-                key = (x[:, places] * shifts).sum(axis=2) + (np.arange(len(places), dtype=np.int64) << (8 * width))
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(part.column(2).to_numpy(), len(places))), pa.array(np.repeat(part.column(0).to_numpy(), len(places)))], names=["list", "n", "node"])
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64)] * 3
-        for b in batches:
-            key, n, node = (np.concatenate([h, c.to_numpy()]) for h, c in zip(held, b.columns))
-            cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-            long = np.repeat(np.diff(cuts) > short, np.diff(cuts))
-            for d in range(1, short):
-                later = np.arange(max(d, len(held[0])), len(key))
-                pair = later[(key[later] == key[later - d]) & (n[later - d] >= similarity * n[later])]
-                pair = pair if d == 1 else pair[~long[pair]]
-                if len(pair):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[pair], node[pair - d])), pa.array(np.maximum(node[pair], node[pair - d]))], names=["u", "v"])
-            held = [key[-short:], n[-short:], node[-short:]]
-
-    p = int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    posted = sketches.select("node", "sketch", "n").mapInArrow(post, "list long, n long, node long")
-    sorted_lists = posted.repartitionByRange(p, "list", "n", "node").sortWithinPartitions("list", "n", "node")
-    pairs = scratch.save(sorted_lists.mapInArrow(meet, "u long, v long").distinct())
-    bits = 64 * SKETCH_WORDS
-    bound = bit_bounds(similarity, bits)[1]
-    # a byte is shared unless one of its bits differs: what a pair within the bound has at least, but for chance
-    share = (1 - bound / bits) ** 8
-    least = int(bits / 8 * share - 4 * math.sqrt(bits / 8 * share * (1 - share)))
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(b.num_rows, -1) for i in (2, 3))
-            enough = np.flatnonzero((x == y).sum(axis=1) >= least)
-            differ = np.bitwise_count(x[enough] ^ y[enough]).sum(axis=1, dtype=np.int64)
-            close = differ <= bound
-            keep = pa.array(enough[close])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep), pa.array(differ[close])], names=["u", "v", "differ"])
+def prefixes(h: np.ndarray, offs: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set its first members in one order of all shingles (rare ones first), as many as
+    sets need for that similarity to share one, and the sets' offsets in them."""
+    known, count = common
+    n = np.diff(offs)
+    row = np.repeat(np.arange(len(n)), n)
+    often = np.zeros(len(h), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        often = np.where(known[at] == h, count[at], 0)
+    h = h[np.lexsort((h, often, row))]
+    size = np.minimum(n, n - np.ceil(similarity * n - SLACK).astype(np.int64) + 1)
+    keep = np.arange(len(h)) - offs[:-1][row] < size[row]
+    return h[keep], np.concatenate([[0], np.cumsum(size)])
+
+
+def _meeting(similarity: float, reach: int):
+    """Pairs of each list's members whose sizes and places in it allow the similarity and whose roots
+    differ: neighbours in the order of sizes (reach 1) or all (0).  Needs whole lists in a task."""
+
+    def possible(x: np.ndarray, y: np.ndarray, n: np.ndarray, place: np.ndarray, root: np.ndarray) -> np.ndarray:
+        small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+        most = 1 + np.minimum(n[x] - place[x], n[y] - place[y]) - 1  # if none before is shared; else the pair meets there
+        return (root[x] != root[y]) & (small >= similarity * large - SLACK) & (most >= similarity / (1 + similarity) * (n[x] + n[y]) - SLACK)
+
+    def pairs(h: np.ndarray, n: np.ndarray, place: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
+        size = np.diff(cuts)
+        later = np.arange(len(h)) if reach else np.flatnonzero(np.repeat(size <= LAGS, size))
+        for d in range(1, reach + 1 if reach else LAGS):
+            later = later[later >= d]
+            later = later[h[later] == h[later - d]]
+            if not len(later):
+                break
+            ok = later[possible(later, later - d, n, place, root)]
+            yield ok, ok - d
+        for i in () if reach else np.flatnonzero(size > LAGS):
+            here = np.arange(cuts[i], cuts[i + 1])
+            groups, of, members = np.unique(root[here], return_inverse=True, return_counts=True)
+            if len(groups) > 1:  # members of the largest group meet the others only
+                for x in here[of != members.argmax()]:
+                    near = here[np.searchsorted(n[here], similarity * n[x] - SLACK) : np.searchsorted(n[here], n[x] / similarity + SLACK, "right")]
+                    ok = near[possible(np.full(len(near), x), near, n, place, root)]
+                    yield np.full(len(ok), x), ok
 
-    s = sketches.select("node", "sketch")
-    both = pairs.join(s.select(F.col("node").alias("u"), F.col("sketch").alias("a")), "u").join(s.select(F.col("node").alias("v"), F.col("sketch").alias("b")), "v")
-    return both.select("u", "v", "a", "b").mapInArrow(verify, "u long, v long, differ long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = [b for b in batches if b.num_rows]
+        if not tables:
+            return
+        h, n, place, node, root = (np.concatenate([b.column(i).to_numpy() for b in tables]) for i in range(5))
+        order = np.lexsort((node, n, h))
+        h, n, place, node, root = (x[order] for x in (h, n, place, node, root))
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            uv = np.concatenate(held) if held else np.empty((0, 2), np.int64)
+            uv, times = np.unique(uv, axis=0, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(uv[:, 0].copy()), pa.array(uv[:, 1].copy()), pa.array(times)], names=["u", "v", "times"])
+
+        for x, y in pairs(h, n, place, root):
+            if len(x):
+                held.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], axis=1))
+                size += len(x)
+                if size > 500_000:
+                    yield out()
+                    held, size = [], 0
+        yield out()
 
+    return run
 
-def _truly_similar(similarity: float, shingle: int):
-    """Pairs of texts whose sets of shingles have the similarity."""
 
-    def sets(column: pa.Array) -> list[np.ndarray]:
-        out = []
-        for _, raw, offs in chunks(iter([pa.RecordBatch.from_arrays([column], names=["t"])]), "t"):
-            h, n = _shingles(raw, offs, shingle)
-            out.extend(np.unique(x) for x in np.split(h, np.cumsum(n)[:-1]))
-        return out
+def _truly_similar(similarity: float):
+    """Pairs whose sets of shingles have the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
-            for i, (x, y) in enumerate(zip(sets(b.column(2)), sets(b.column(3)))):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if both >= similarity * (len(x) + len(y) - both):
+            for i in range(b.num_rows):
+                x, y = (np.frombuffer(b.column(c)[i].as_buffer(), np.int64) for c in (2, 3))
+                z = np.sort(np.concatenate([x, y]), kind="stable")
+                both = int((z[1:] == z[:-1]).sum())
+                if both >= similarity * (len(x) + len(y) - both) - SLACK:
                     keep.append(i)
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], names=["u", "v"])
@@ -266,36 +273,68 @@ def dissimilar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """One row of each group of near duplicates of ``df``, with the columns of ``df``: that with
     the smallest id (null before others; among rows of one id the least text hash).
 
-    Rows are linked if their sets of word shingles have a Jaccard similarity of
-    ``similarity`` or more; copies always are.  Long fingerprints find the pairs and decide
-    those that are surely similar or surely not; texts are compared for the pairs between."""
+    Rows are linked exactly if their sets of word shingles have a Jaccard similarity of
+    ``similarity`` or more; copies always are, and texts without words are copies.
+    Candidates come from a lossless filter: in one order of all shingles, sets of size n that
+    are that similar share one of their first n - ceil(similarity * n) + 1, so these index
+    them.  What a sample of texts repeats comes last in the order, which keeps lists short;
+    the order decides nothing else.  All sets linked are compared.  First each member of a list
+    proposes the neighbour that it meets most often, twice, which joins large groups with a
+    number of comparisons linear in them; then all pairs of a list that are not yet in one
+    group are compared.  A list is never cut: it is read by one task, 40 bytes a member."""
     plain = Plain(df)
     text = plain[text_col]
-    scratch = Scratch(df.sparkSession, "similar")
+    spark = df.sparkSession
+    scratch = Scratch(spark, "similar")
     docs, _ = numbered(plain.df, plain[id_col], text, scratch)
+    sent = spark.sparkContext.broadcast(_common(docs, text, shingle))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, raw, offs in chunks(batches, text):
+            h, at = shingle_sets(raw, offs, shingle)
+            first, ends = prefixes(h, at, sent.value, similarity)
+            copies = [hashlib.md5(h[a:b].tobytes()).digest() for a, b in zip(at[:-1], at[1:])]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(first))
+            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("key")), pa.array(copies, pa.binary()), pa.array(np.diff(at)), lists], names=["key", "copies", "n", "first"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, raw, offs in chunks(batches, text):
-            sketch, n = sketches_of(raw, offs, shingle)
-            binary = pa.FixedSizeBinaryArray.from_buffers(pa.binary(sketch.shape[1]), len(sketch), [None, pa.py_buffer(np.ascontiguousarray(sketch))]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("key")), binary, pa.array(n)], names=["key", "sketch", "n"])
-
-    found = docs.select("key", text).mapInArrow(run, "key long, sketch binary, n long")
-    # equal fingerprints are one node, named by its smallest key
-    nodes = scratch.save(found.groupBy("sketch").agg(F.min("key").alias("node"), F.max("n").alias("n")))
-    links = scratch.save(similar_links(nodes, scratch, similarity))
-    surely = F.col("differ") <= bit_bounds(similarity, 64 * SKETCH_WORDS)[0]
-    roots = scratch.save(components(links.where(surely), scratch))
-    open_links = links.where(~surely)
-    for side in "uv":  # pairs that are linked anyway need no look
-        open_links = open_links.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
-    open_links = scratch.save(open_links.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v"))
-    asked = open_links.select(F.explode(F.array("u", "v")).alias("key")).distinct()
-    texts = scratch.save(docs.select("key", F.coalesce(F.col(text), F.lit("")).alias("t")).join(asked, "key", "left_semi"))
-    pairs = open_links.join(texts.select(F.col("key").alias("u"), F.col("t").alias("a")), "u").join(texts.select(F.col("key").alias("v"), F.col("t").alias("b")), "v")
-    more = pairs.select("u", "v", "a", "b").mapInArrow(_truly_similar(similarity, shingle), "u long, v long")
-    all_links = more.unionByName(roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
-    gone = components(all_links, scratch).where("node <> root").select("node")
-    stay = scratch.save(nodes.select("node").join(gone, "node", "left_anti").select(F.col("node").alias("key")))
-    scratch.drop(nodes, links, roots, open_links, texts)
+            h, at = shingle_sets(raw, offs, shingle)
+            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("key")), pa.array([h[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], names=["key", "hashes"])
+
+    found = scratch.save(docs.select("key", text).mapInArrow(index, "key long, copies binary, n long, first array<long>"))
+    # equal sets are one node, named by its smallest key
+    nodes = scratch.save(found.groupBy("copies").agg(F.min("key").alias("node")).select("node"))
+    p = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Lists of two members or more."""
+        tables = [b for b in batches if b.num_rows]
+        if tables:
+            h = np.concatenate([b.column(0).to_numpy() for b in tables])
+            _, of, size = np.unique(h, return_inverse=True, return_counts=True)
+            at = pa.array(np.flatnonzero(size[of] > 1))
+            yield from pa.Table.from_batches(tables).take(at).combine_chunks().to_batches(max_chunksize=50_000)
+
+    posted = found.join(nodes.select(F.col("node").alias("key")), "key", "left_semi").select(F.col("key").alias("node"), "n", F.posexplode("first").alias("place", "h")).select("h", "n", "place", "node")
+    lists = scratch.save(posted.repartition(p, "h").mapInArrow(shared, "h long, n long, place int, node long"))
+    scratch.drop(found)
+    roots = nodes.select("node", F.col("node").alias("root")).where("false")
+    for reach in (1, 1, 0):
+        rooted = lists.join(roots, "node", "left").select("h", "n", "place", "node", F.coalesce("root", "node").alias("root"))
+        met = rooted.repartition(p, "h").mapInArrow(_meeting(similarity, reach), "u long, v long, times long").groupBy("u", "v").agg(F.sum("times").alias("times"))
+        if reach:
+            met = met.groupBy("v").agg(F.max_by("u", F.struct("times", "u")).alias("u"))
+        pairs = scratch.save(met.select("u", "v"))
+        asked = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
+        known = scratch.save(docs.select("key", text).join(asked, "key", "left_semi").mapInArrow(sets, "key long, hashes binary"))
+        both = pairs.join(known.select(F.col("key").alias("u"), F.col("hashes").alias("a")), "u").join(known.select(F.col("key").alias("v"), F.col("hashes").alias("b")), "v")
+        links = scratch.save(both.select("u", "v", "a", "b").mapInArrow(_truly_similar(similarity), "u long, v long"))
+        scratch.drop(pairs, known)
+        now = scratch.save(components(links.unionByName(roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))), scratch))
+        scratch.drop(roots, links)
+        roots = now
+    gone = roots.where("node <> root").select("node")
+    stay = scratch.save(nodes.join(gone, "node", "left_anti").select(F.col("node").alias("key")))
+    scratch.drop(nodes, lists, roots)
     return docs.join(stay, "key", "left_semi").select(*plain.cols()).toDF(*plain.names)

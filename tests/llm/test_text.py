@@ -236,3 +236,43 @@ def test_empty_tables(spark, docs):
     assert mixing.mix(none).count() == 0
     assert sharding.shards(none).count() == 0
     assert langid.profiles(none.withColumn("lang", F.lit("x"))) == {}
+
+
+def _groups(texts, shingle=5, similarity=0.8):
+    """The first of each group of texts linked by the Jaccard similarity of their sets of shingles."""
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))})
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            both = len(x & sets[j])
+            if 5 * both >= 4 * (len(x) + len(sets[j]) - both):
+                a, b = top(i), top(j)
+                root[max(a, b)] = min(a, b)
+    return {top(i) for i in range(len(texts))}
+
+
+def _left(spark, texts):
+    return {r.doc_id for r in simhash.dissimilar(spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], SCHEMA).repartition(3)).collect()}
+
+
+def test_similar_large_group(spark):
+    """Hundreds of copies around the similarity: long lists lose no link."""
+    rng = random.Random(12)
+    base, texts = words(rng, 200, 5000).split(), []
+    for _ in range(400):
+        c = list(base)
+        for i in rng.sample(range(200), rng.randint(2, 8)):
+            c[i] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(c))
+    want = _groups(texts)
+    assert 1 < len(want) < 400
+    assert _left(spark, texts) == want
