@@ -276,3 +276,18 @@ def test_similar_large_group(spark):
     want = _groups(texts)
     assert 1 < len(want) < 400
     assert _left(spark, texts) == want
+
+
+def test_similar_sets_not_counts(spark):
+    """Repeats inside a text count once: boilerplate makes no copy, and more repeats no other text."""
+    rng = random.Random(13)
+    texts = []
+    for _ in range(10):
+        line = words(rng, 20, 5000)
+        texts += [" ".join([line] * 30 + [words(rng, 100, 10**6)]) for _ in range(2)]
+    for _ in range(10):
+        line = words(rng, 32, 5000)
+        texts += [" ".join([line] * k + [words(rng, 2, 5000)]) for k in (5, 4)]
+    want = _groups(texts)
+    assert len(want) == 30
+    assert _left(spark, texts) == want
