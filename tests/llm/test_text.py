@@ -291,3 +291,15 @@ def test_similar_sets_not_counts(spark):
     want = _groups(texts)
     assert len(want) == 30
     assert _left(spark, texts) == want
+
+
+def test_similar_short_texts(spark):
+    """Pairs of exactly the similarity are found in short texts as in long ones."""
+    rng = random.Random(14)
+    texts = []
+    for n in [8] * 40 + [16] * 40 + [304] * 10:  # 4 shingles of 5, 12 of 15, 300 of 375
+        t = words(rng, n, 10**6)
+        texts += [t, t + " " + words(rng, (n - 4) // 4, 10**6)]
+    want = _groups(texts)
+    assert len(want) == 90
+    assert _left(spark, texts) == want
