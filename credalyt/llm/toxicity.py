@@ -7,9 +7,10 @@ A text is the set of its terms, hashed into 2**bits slots: words
     bias + sum w_i + sum_{i<j} <v_i, v_j>,
 
 so two terms can matter together (an insult with the mention of a group) where
-neither does alone.  Both parts are learned by proximal AdaGrad on the log loss:
-L1 on w and group-lasso on the v_i keep all but telling terms at exactly zero, so
-thousands of neutral words of a long text add nothing.
+neither does alone.  Both parts are learned by AdaGrad on the log loss, relative to the
+weight of the rarer label.  L1 on w keeps all but telling terms at exactly zero, so
+thousands of neutral words of a long text add nothing; only terms that it keeps get
+a v_i (with L2), so a term that tells in a pair and never alone is not learned.
 
 Learning uses a bounded sample of labelled rows: of each label at most ``max_rows``
 ids in the order of their hash, weighted back to the label's share.  The sample's
@@ -44,6 +45,8 @@ STEMS = (4, 5, 6, 7)
 FACTORS = 4
 MAX_ROWS = 4000
 MAX_TERMS = 20000
+#: terms of the rows that are learned from at a time
+BLOCK_TERMS = 1 << 19
 _TERMS = Rolling(11)
 
 
@@ -118,6 +121,7 @@ def fit(slots: np.ndarray, offs: np.ndarray, y: np.ndarray, weight: np.ndarray,
     if not len(y) or share in (0.0, 1.0):
         p = min(max(share if len(y) else 0.5, 1e-6), 1 - 1e-6)
         return Machine(float(np.log(p / (1 - p))), np.zeros(size, np.float32), np.zeros((size, factors), np.float32))
+    weight = weight / (2 * min(share, 1 - share))  # penalties are for a rarer label that weighs a half, however rare it is
     rows = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(offs))
 
     def part(used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,6 +131,7 @@ def fit(slots: np.ndarray, offs: np.ndarray, y: np.ndarray, weight: np.ndarray,
         here = at >= 0
         return at[here], rows[here], np.concatenate([[0], np.cumsum(np.bincount(rows[here], minlength=len(y)))])
 
+    cuts = np.unique(np.concatenate([np.searchsorted(offs, np.arange(0, offs[-1], BLOCK_TERMS)), [0, len(y)]]))
     used = np.flatnonzero(np.bincount(slots, minlength=size) >= least_rows)
     at, row, ends = part(used)
     w, v = np.zeros(len(used)), np.zeros((len(used), factors))
@@ -138,24 +143,29 @@ def fit(slots: np.ndarray, offs: np.ndarray, y: np.ndarray, weight: np.ndarray,
             v = np.random.default_rng(seed).normal(0, 0.01, (len(used), factors))
             at, row, ends = part(used)
         pairs = step >= rounds
-        z = bias + _sums(w[at], ends)
-        if pairs:
-            vs = v[at]
-            total = _sums(vs, ends)
-            z = z + 0.5 * (total**2 - _sums(vs * vs, ends)).sum(axis=1)
-        e = weight * (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y)
-        g = np.bincount(at, e[row], len(used))
+        g, gf, ge = np.zeros(len(used)), l2 * v, 0.0
+        for lo, hi in zip(cuts[:-1], cuts[1:]):  # rows in blocks, so memory does not grow with living terms
+            i, r, off = at[ends[lo] : ends[hi]], row[ends[lo] : ends[hi]] - lo, ends[lo : hi + 1] - ends[lo]
+            z = bias + _sums(w[i], off)
+            if pairs:
+                vs = v[i]
+                total = _sums(vs, off)
+                z = z + 0.5 * (total**2 - _sums(vs * vs, off)).sum(axis=1)
+            e = weight[lo:hi] * (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y[lo:hi])
+            g += np.bincount(i, e[r], len(used))
+            if pairs:
+                for f in range(factors):
+                    gf[:, f] += np.bincount(i, e[r] * (total[r, f] - vs[:, f]), len(used))
+            ge += e.sum()
         gw += g * g
         lr = rate / np.sqrt(gw)
         w -= lr * g
         w = np.sign(w) * np.maximum(np.abs(w) - lr * l1, 0)
         if pairs:
-            inner = e[row][:, None] * (total[row] - vs)
-            gf = np.stack([np.bincount(at, inner[:, f], len(used)) for f in range(factors)], axis=1) + l2 * v
             gv += gf * gf
             v -= 0.05 * gf / np.sqrt(gv)
-        gb += e.sum() ** 2
-        bias -= rate * e.sum() / np.sqrt(gb)
+        gb += ge**2
+        bias -= rate * ge / np.sqrt(gb)
     out_w, out_v = np.zeros(size, np.float32), np.zeros((size, factors), np.float32)
     out_w[used], out_v[used] = w, v
     return Machine(float(bias), out_w, out_v)

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
@@ -303,3 +304,14 @@ def test_similar_short_texts(spark):
     want = _groups(texts)
     assert len(want) == 90
     assert _left(spark, texts) == want
+
+
+def test_toxicity_rare_label():
+    """Insults of one text in twenty of a label of one in a hundred are learned."""
+    rng = np.random.default_rng(15)
+    y = (np.arange(10_000) % 100 == 0).astype(float)
+    rows = [np.unique(np.concatenate([100 + rng.integers(0, 500, 20), np.flatnonzero(rng.random(60) < 0.05) if t else []])).astype(np.int64) for t in y]
+    slots, offs = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    machine = toxicity.fit(slots, offs, y, np.ones(len(y)), bits=10)
+    said = machine.score(slots, offs) >= 0.5
+    assert said[y == 1].mean() > 0.8 and said[y == 0].mean() < 0.01
