@@ -90,8 +90,8 @@ COLUMNS = ["checking_status", "duration", "credit_history", "purpose", "credit_a
 
 
 def knowledge(spark: SparkSession, d: str) -> DataFrame:
-    """Pages' hosts and documents stand for three knowledge collections."""
-    docs = table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"), F.left("text", F.lit(500)).alias("content"), F.element_at(F.array(F.lit("risk_cases"), F.lit("regulations"), F.lit("industry_knowledge")), (F.col("doc_id") % 3 + 1).cast("int")).alias("collection"), F.create_map(F.lit("source"), F.col("source")).alias("metadata"))
+    """All documents, with their whole texts, stand for three knowledge collections."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.element_at(F.array(F.lit("risk_cases"), F.lit("regulations"), F.lit("industry_knowledge")), (F.col("doc_id") % 3 + 1).cast("int")).alias("collection"), F.create_map(F.lit("source"), F.col("source")).alias("metadata"))
     return docs.withColumn("embedding", udf.embed(F.col("content"), udf.HashingEmbedder()))
 
 

@@ -152,3 +152,11 @@ def test_stream_equals_batch(spark, data, tmp_path):
     events.run_available(stream, str(tmp_path / "cp"), lambda df, _: seen.extend(tuple(r) for r in df.select("start", "event_type", "n").collect()), "update")
     last = {r[:2]: r[2] for r in seen}
     assert last == {(r.start, r.event_type): r.n for r in events.tumbling(rows).collect()}
+
+
+def test_knowledge_is_whole(spark, data):
+    from credalyt.queries.models import knowledge
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    got = {r.id: r.content for r in knowledge(spark, data).select("id", "content").collect()}
+    assert got == {r.doc_id: r.text for r in docs.collect()}
