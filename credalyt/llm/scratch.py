@@ -8,41 +8,63 @@ is missing (tests, notebooks).
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
+#: Spark deletes a query's shuffle files once the query has ended
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, as the session names it."""
+    """The cluster's shared folder, as the session names it; a local session without one gets its own."""
     named = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING, None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{SETTING} must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="credalyt-")
         spark.conf.set(SETTING, named)
     return named.rstrip("/")
 
 
+@contextmanager
+def releasing(spark: SparkSession) -> Iterator[None]:
+    """Inside, the shuffle files of each query go when the query ends."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 class Scratch:
-    """Named tables of one operator call."""
+    """Named tables of one operator call; as a context, an error inside deletes them."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
 
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, kind: type | None, *_: object) -> None:
+        if kind is not None:
+            self.delete(self.root)
+
     def save(self, df: DataFrame) -> DataFrame:
-        """Write ``df``, release what computed it and return the table that was written."""
+        """Write ``df``, release the shuffle files that it took and return the table that was written."""
         self._n += 1
         path = f"{self.root}/{self._n:04d}"
         schema = df.schema
-        df.write.parquet(path)
-        self.release()
+        with releasing(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
         out._credalyt_path = path  # type: ignore[attr-defined]
         return out
@@ -57,15 +79,6 @@ class Scratch:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
-    def release(self) -> None:
-        """Let Spark's cleaner remove shuffle files that nothing refers to any more.
-
-        What the last job holds is only found by a second collection."""
-        for _ in range(2):
-            gc.collect()
-            self.spark._jvm.System.gc()
-            time.sleep(0.2)
-
 
 class Plain:
     """A table under neutral column names, so that no input name can clash with ours."""

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credalyt.llm.scratch import Plain, Scratch, numbered
+from credalyt.llm.scratch import Plain, Scratch, numbered, releasing
 from credalyt.llm.textkernel import Rolling, chunks, mixed
 
 WIDTH, GRAM = 100, 32
@@ -126,8 +126,8 @@ class IndexFamily:
 
     def _write(self, df: DataFrame) -> str:
         name = f"credalyt_level_{uuid.uuid4().hex}"
-        df.write.bucketBy(self.buckets, "gram", "run").sortBy("gram", "run").option("path", f"{self.scratch.root}/{name}").format("parquet").saveAsTable(name)
-        self.scratch.release()
+        with releasing(self.spark):
+            df.write.bucketBy(self.buckets, "gram", "run").sortBy("gram", "run").option("path", f"{self.scratch.root}/{name}").format("parquet").saveAsTable(name)
         return name
 
     def _drop(self, name: str) -> None:
