@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by learned partitions.
 
 1. Fit, on a bounded sample (``max_sample`` rows in hash order): the exact neighbour
-   graph of the sample is cut into ``parts`` balanced parts that keep neighbours
-   together, and a small classifier (one hidden layer) learns, for a vector, the share
+   graph of the sample is cut into balanced parts that keep neighbours together (one for
+   each ``part_rows`` rows of the table, ``MIN_PARTS`` to ``MAX_PARTS``), and a small classifier (one hidden layer) learns, for a vector, the share
    of its neighbours in each part.
 2. Index, all rows: every vector belongs to the part that the classifier finds most
    probable.
@@ -32,8 +32,9 @@ from pyspark.sql.window import Window
 
 from credalyt.llm.scratch import Plain, Scratch
 
-K, PARTS, MAX_SAMPLE, TARGET_RECALL = 20, 16, 8192, 0.95
-BLOCK_ROWS, BLOCK_QUERIES, EXACT_ROWS = 16384, 4096, 2000
+K, MAX_SAMPLE, TARGET_RECALL = 20, 8192, 0.95
+PART_ROWS, MIN_PARTS, MAX_PARTS = 4096, 2, 64
+BLOCK_ROWS, BLOCK_QUERIES = 16384, 4096
 
 
 def neighbour_graph(x: np.ndarray, k: int, block: int = 1024) -> np.ndarray:
@@ -143,16 +144,16 @@ def learn_router(x: np.ndarray, share: np.ndarray, width: int = 64, rounds: int
     return Router(*p)
 
 
-def fit(x: np.ndarray, parts: int = PARTS, k: int = K, target_recall: float = TARGET_RECALL) -> Router:
+def fit(x: np.ndarray, parts: int, k: int = K, target_recall: float = TARGET_RECALL) -> Router:
     """Partition the sample's graph, learn the router on most of it, and choose the number of probes on the rest."""
     x = x.astype(np.float64)
     test = np.zeros(len(x), bool)
     test[:: max(2, len(x) // 1000)] = True
     graph = neighbour_graph(x, k)
     part = balanced_parts(graph[:, :10], x, parts)
-    share = 0.5 * np.eye(parts)[part]
-    for j in range(10):
-        share += 0.05 * np.eye(parts)[part[graph[:, j]]]
+    share, near = 0.5 * np.eye(parts)[part], min(10, graph.shape[1])
+    for j in range(near):
+        share += 0.5 / near * np.eye(parts)[part[graph[:, j]]]
     router = learn_router(x[~test], share[~test])
     own = np.argmax(router.logits(x), axis=1)
     order = np.argsort(-router.logits(x[test]), axis=1)
@@ -197,12 +198,12 @@ def _nearest(rows: pa.Table, queries: pa.Table, k: int) -> tuple[np.ndarray, np.
     return tuple(np.concatenate(c) for c in zip(*out))  # type: ignore[return-value]
 
 
-def search(df: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, parts: int = PARTS, max_sample: int = MAX_SAMPLE, target_recall: float = TARGET_RECALL, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES, exact_rows: int = EXACT_ROWS) -> DataFrame:
+def search(df: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, parts: int | None = None, max_sample: int = MAX_SAMPLE, target_recall: float = TARGET_RECALL, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES, part_rows: int = PART_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row that ``queries`` (a
     condition on column ``id``) selects, among all other rows."""
     scratch = Scratch(df.sparkSession, "ann")
     plain = Plain(df)
-    rows = plain.df.select(F.col(plain[id_col]).cast("long").alias("id"), F.col(plain[vector_col]).cast("array<double>").alias("v")).where(F.col("id").isNotNull()).where(usable(F.col("v")))
+    rows = plain.df.select(F.expr(f"try_cast({plain[id_col]} AS BIGINT)").alias("id"), F.col(plain[vector_col]).cast("array<double>").alias("v")).where(F.col("id").isNotNull()).where(usable(F.col("v")))
     rows = rows.groupBy("id").agg(F.min_by("v", F.xxhash64("v")).alias("v"))
     rows = scratch.save(rows)
     result = "query_id long, rank int, vec_id long, score double"
@@ -210,7 +211,9 @@ def search(df: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: s
     if length is None:
         return df.sparkSession.createDataFrame([], result)
     rows = rows.where(F.size("v") == length.n)
-    if length["count"] < exact_rows:
+    n = length["count"]
+    parts = 1 if n <= k + 1 else min(n, parts or max(MIN_PARTS, min(MAX_PARTS, n // part_rows)))
+    if parts == 1:
         router = None
         sorted_rows = rows.withColumns({"part": F.lit(0), "probes": F.array(F.lit(0))})
     else:

@@ -35,16 +35,25 @@ def brute(rows, k):
     return out
 
 
-def test_ann_exact_when_small(spark):
+def test_ann_small(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(60)]
     good = [(i, v) for i, v in rows if any(v)]
     odd = [(100, None), (120, [0.0] * 4), (140, [float("nan"), 1.0, 1.0, 1.0]), (160, [None, 1.0, 1.0, 1.0]), (180, [1.0, 2.0]), (200, [float("inf"), 0.0, 0.0, 0.0]), (None, [1.0] * 4)]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>")
-    got = {}
-    for r in ann.search(df, F.col("id") % 20 == 0, k=5).orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append(r.vec_id)
-    assert got == brute(good, 5)
+    def found(table, **how):
+        got = {}
+        for r in ann.search(table, F.col("id") % 20 == 0, **how).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        return got
+
+    assert found(df, k=5, target_recall=1.1) == brute(good, 5)  # the learned parts, all of them probed
+    assert found(df, k=5, target_recall=1.1, parts=6) == brute(good, 5)
+    some, want = found(df, k=5, parts=4), brute(good, 5)
+    assert all(len(some[q]) == 5 for q in want) and sum(len({*some[q]} & {*want[q]}) for q in want) >= 0.6 * 5 * len(want)
+    assert found(df.where("vec_id < 21 and vec_id >= 0"), k=20) == brute(good[:21], 20)
+    clash = df.withColumns({"id": F.lit("x"), "v": F.lit(1), "part": F.lit(None), "score": F.lit("s")}).unionByName(df.withColumns({"id": F.lit("x"), "v": F.lit(1), "part": F.lit(None), "score": F.lit("s")}))
+    assert found(clash, k=5, target_recall=1.1) == brute(good, 5)  # repeated rows are one
     assert ann.search(df.where("false"), F.col("id") % 20 == 0).count() == 0
     assert ann.search(df.where("vec_id = 20"), F.col("id") % 20 == 0).count() == 0
 
