@@ -34,7 +34,7 @@ WITH ascii_words AS (
   FROM documents),
 item_words AS (
   SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM benchmark WHERE item_id IS NOT NULL),
+  FROM benchmark),
 windows AS (
   SELECT DISTINCT item, least(13, len(w)) AS n, array_to_string(w[k : k + least(13, len(w)) - 1], ' ') AS g
   FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS k FROM item_words WHERE len(w) > 0)),
@@ -48,7 +48,7 @@ hit_words AS (
   FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM (SELECT DISTINCT doc_id, k, n FROM hits)) GROUP BY doc_id),
 hit_items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
-  FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+  FROM (SELECT DISTINCT doc_id, item FROM hits WHERE item IS NOT NULL) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM ascii_words LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
@@ -108,7 +108,27 @@ FROM captures LEFT JOIN active USING (page_id) GROUP BY page_id, fetched_at, hos
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Later copies of repeated lines in all documents."""
     found = linededup.without_copies(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
-    return found.select("doc_id", "n_lines", "n_removed", "n_runs", "longest_copy", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_lines", "n_removed", "n_runs", "longest_run", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP4_SQL = r"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id) AS d FROM documents),
+raw AS (SELECT d, i, l[i] AS line, trim(l[i], chr(32) || chr(9) || chr(13) || chr(11) || chr(12)) AS bare
+  FROM (SELECT d, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT d, string_split(text, chr(10)) AS l FROM docs))),
+lines AS (SELECT d, i, bare, row_number() OVER (PARTITION BY d ORDER BY i) AS j FROM raw WHERE bare <> ''),
+pairs AS (SELECT a.d, a.j, row_number() OVER (PARTITION BY a.bare, b.bare ORDER BY a.d, a.j) AS nth
+  FROM lines a JOIN lines b ON a.d = b.d AND b.j = a.j + 1),
+singles AS (SELECT d, j, row_number() OVER (PARTITION BY bare ORDER BY d, j) AS nth FROM lines WHERE length(bare) >= 50),
+gone AS (SELECT d, j FROM pairs WHERE nth > 1 UNION SELECT d, j + 1 FROM pairs WHERE nth > 1 UNION SELECT d, j FROM singles WHERE nth > 1),
+placed AS (SELECT d, j, i, j - row_number() OVER (PARTITION BY d ORDER BY j) AS run FROM gone JOIN lines USING (d, j)),
+runs AS (SELECT d, count(*) AS n, min(i) AS lo, max(i) AS hi FROM placed GROUP BY d, run),
+stats AS (SELECT d, sum(n) AS n_removed, count(*) AS n_runs, max(n) AS longest FROM runs GROUP BY d),
+stays AS (SELECT d, string_agg(line, chr(10) ORDER BY i) AS kept FROM raw r
+  WHERE NOT EXISTS (SELECT 1 FROM runs q WHERE q.d = r.d AND r.i BETWEEN q.lo AND q.hi) GROUP BY d)
+SELECT doc_id, coalesce((SELECT max(j) FROM lines l WHERE l.d = docs.d), 0) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  coalesce(n_runs, 0) AS n_runs, coalesce(longest, 0) AS longest_run, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN stats USING (d) LEFT JOIN stays USING (d)
+"""
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +152,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP6_SQL = r"""
 WITH docs AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-    md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS spread FROM documents),
+    md5(coalesce(CAST(doc_id AS VARCHAR), '') || ' ' || coalesce(text, '')) AS spread FROM documents),
 named AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rn FROM docs GROUP BY source),
 weighed AS (SELECT *, CAST((rn - 1) % 3 + 1 AS BIGINT) AS weight, 3 * source_size AS cap FROM named),
@@ -187,4 +207,4 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontaminate": op1_decontaminate, "op2_url_filter": op2_url_filter, "op3_suffix_dedup": op3_suffix_dedup, "op4_line_dedup": op4_line_dedup, "op5_toxicity": op5_toxicity, "op6_mixing": op6_mixing, "op7_langid": op7_langid, "op8_simhash": op8_simhash, "op9_sharding": op9_sharding, "op10_ann": op10_ann}
-ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op2_url_filter": OP2_SQL, "op6_mixing": OP6_SQL}
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op2_url_filter": OP2_SQL, "op4_line_dedup": OP4_SQL, "op6_mixing": OP6_SQL}

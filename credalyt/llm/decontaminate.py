@@ -7,26 +7,27 @@ shingle is enough to find every occurrence.  The order is by rarity: occurrences
 the items' shingles are first counted over all documents, and each window is looked
 up by its rarest.
 
-1. ``shingle_counts`` counts, over all documents, how often each shingle of the items
-   occurs.
+1. ``shingle_counts`` counts, over all documents and in one pass, how often each shingle
+   of the items occurs.
 2. Every document looks up its shingles in the windows' prefixes.  The shingle's
    place in the window gives the only possible start, which must lie inside the
    document with the whole window (positional and length bound).
 3. The bytes of the item-sized window are compared.
 
 Items are small beside documents but not bounded, so they are dealt into blocks of
-at most ``block_bytes``.  A block is sent to the executors; documents flow through
-the blocks one after another in the same tasks, with no shuffle of texts.
-
-Null or empty documents and documents without words have n_words 0 and no hits.
-Items without words have no windows; items whose id is null are ignored.  Items
-that share an id count as one.  Repeated rows give a result row each.  Extra
-columns pass through; where one has the name of a result column, the result's stays.
+about ``block_windows`` windows, kept as arrays of some 60 bytes each.  A block is sent
+to the executors; documents flow through the blocks one after another in the same
+tasks, with no shuffle of texts.
+
+Null or empty documents and documents without words have n_words 0 and no hits; very
+long ones are read whole, one chunk each.  Items without words have no windows; those of an
+item whose id is null hit words, but it has no id to list.  Items that share an id count
+as one.  Repeated rows give a result row each.  Empty tables give no hits, or no rows.
+Extra columns pass through; where one has the name of a result column, the result's stays.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,56 +37,96 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from credalyt.llm.scratch import Plain
-from credalyt.llm.textkernel import ALNUM, LOWER, Rolling, chunks, joined, words
+from credalyt.llm.textkernel import ALNUM, Rolling, chunks, joined, words
 
 WINDOW, SHINGLE = 13, 5
-BLOCK_BYTES = 8 << 20
-WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+BLOCK_WINDOWS = 1 << 21
 RESULT = ("n_words", "hit_spans", "item_ids")
 _ROLL = Rolling(20240)
 
 
-def _lower_words(text: str | None) -> list[bytes]:
-    return WORDS.findall(LOWER[np.frombuffer((text or "").encode(), np.uint8)].tobytes())
-
-
 class Block:
-    """The windows of some items, arranged for lookup by one shingle each."""
-
-    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW, shingle: int = SHINGLE):
-        self.items = sorted({i for i, _ in items})
-        at = {i: n for n, i in enumerate(self.items)}
-        of_window: dict[bytes, set[int]] = {}
-        for i, text in items:
-            w = _lower_words(text)
-            for k in range(max(1, len(w) - window + 1) if w else 0):
-                of_window.setdefault(b" ".join(w[k : k + window]), set()).add(at[i])
-        self.texts = list(of_window)
-        self.of_text = [sorted(x) for x in of_window.values()]
-        #: for each window: its number of words and its shingles as (size, hash)
-        self.n_words, self.shingles = [], []
-        for t in self.texts:
-            w = t.split(b" ")
-            s = min(shingle, len(w))
-            self.n_words.append(len(w))
-            self.shingles.append([(s, h) for h in _hashes([b" ".join(w[k : k + s]) for k in range(len(w) - s + 1)])])
-        self.sizes = sorted({s for x in self.shingles for s, _ in x})
-        self.wanted = {s: np.array(sorted({h for x in self.shingles for n, h in x if n == s}), np.uint64) for s in self.sizes}
-
-    def by_rarity(self, counts: dict[tuple[int, int], int]) -> None:
-        """Choose each window's prefix: its rarest shingle (ties: the least hash)."""
-        self.prefix: dict[int, dict[int, list[tuple[int, int]]]] = {s: {} for s in self.sizes}
-        for n, x in enumerate(self.shingles):
-            offset, (size, h) = min(enumerate(x), key=lambda e: (counts.get(e[1], 0), e[1][1], e[0]))
-            self.prefix[size].setdefault(h, []).append((n, offset))
-        self.keys = {s: np.array(sorted(x), np.uint64) for s, x in self.prefix.items()}
-
-
-def _hashes(texts: list[bytes]) -> list[int]:
-    raw = np.frombuffer(b"".join(texts), np.uint8)
-    ends = np.cumsum([len(t) for t in texts])
-    starts = ends - [len(t) for t in texts]
-    return _ROLL.spans(_ROLL.prefix(raw), starts, ends).tolist()
+    """The windows of some items, arranged for lookup by one shingle each.
+
+    A window is the place of its first word in the items' joined text and its number of words."""
+
+    def __init__(self, items: pa.Table, window: int = WINDOW, shingle: int = SHINGLE):
+        ids = items.column(0).to_pylist()
+        self.items = sorted({i for i in ids if i is not None})
+        at = {i: n for n, i in enumerate(self.items)} | {None: -1}
+        own = np.array([at[i] for i in ids], np.int64)
+        words_, texts, done, length = 0, [], 0, 0
+        parts: dict[str, list[np.ndarray]] = {c: [] for c in ("starts", "ends", "first", "size", "item", "hash")}
+        by_size: dict[int, list[np.ndarray]] = {s: [] for s in range(1, shingle + 1)}
+        for part, raw, offs in chunks(items.to_batches(), items.schema.names[1]):  # hashing takes memory by its text
+            w = _Words(raw, offs)
+            n = np.diff(w.of_row)
+            many = np.where(n > 0, np.maximum(n - window + 1, 1), 0)
+            row = np.repeat(np.arange(len(n)), many)
+            first = w.of_row[:-1][row] + np.arange(len(row)) - (np.cumsum(many) - many)[row]
+            size = np.minimum(n[row], window)
+            found = _ROLL.spans(w.prefix, w.starts[first], w.ends[first + size - 1]) if len(row) else np.empty(0, np.uint64)
+            for name, x in zip(parts, (w.starts + length, w.ends + length, first + words_, size, own[done + row], found)):
+                parts[name].append(x)
+            for s in by_size:
+                h = w.shingles(s) if s == shingle or (n == s).any() else np.empty(0, np.uint64)
+                by_size[s].append(np.concatenate([h, np.zeros(len(w.starts) - len(h), np.uint64)]))
+            texts.append(w.text)
+            done, words_, length = done + part.num_rows, words_ + len(w.starts), length + len(w.text)
+        join = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
+        self.text = join(texts, np.uint8)
+        self.starts, self.ends, first, size, item = (join(parts[c], np.int64).astype(np.int32) for c in ("starts", "ends", "first", "size", "item"))
+        hashes = join(parts["hash"], np.uint64)
+        del parts, texts
+        order = np.argsort(hashes, kind="stable")
+        hashes, first, size, item = hashes[order], first[order], size[order], item[order]
+        new, text = np.ones(len(order), bool), memoryview(self.text.tobytes())
+        for k in (np.flatnonzero(hashes[1:] == hashes[:-1]) + 1).tolist():  # windows that occur again
+            a, b = k - 1, k
+            new[k] = text[self.starts[first[a]] : self.ends[first[a] + size[a] - 1]] != text[self.starts[first[b]] : self.ends[first[b] + size[b] - 1]]
+        of = np.cumsum(new) - 1
+        self.first, self.size = first[new], size[new]
+        #: items of window k: of_item[cuts[k] : cuts[k + 1]]
+        pairs = np.unique(of[item >= 0] * (len(self.items) + 1) + item[item >= 0])
+        self.of_item = (pairs % (len(self.items) + 1)).astype(np.int32)
+        self.cuts = np.searchsorted(pairs // (len(self.items) + 1), np.arange(len(self.first) + 1))
+        self.shingle = np.minimum(shingle, self.size)
+        self.hashes = {s: join(by_size[s], np.uint64) for s in np.unique(self.shingle).tolist()}
+        self.wanted = {s: np.unique(np.concatenate([h[a : a + k - s + 1] for a, k in self._places(s)])) for s, h in self.hashes.items()}
+
+    def _places(self, s: int) -> Iterator[tuple[int, int]]:
+        """Disjoint stretches (first word, words) that windows with shingles of ``s`` words cover."""
+        mine = np.flatnonzero(self.shingle == s)
+        a, b = self.first[mine].astype(np.int64), (self.first[mine] + self.size[mine]).astype(np.int64)
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], np.maximum.accumulate(b[order])
+        cut = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1] - s]))  # beyond: no shingle is shared
+        return zip(a[cut].tolist(), (b[np.append(cut[1:], len(a)) - 1] - a[cut]).tolist())
+
+    def by_rarity(self, counts: dict[int, tuple[np.ndarray, np.ndarray]]) -> None:
+        """Choose each window's prefix: its rarest shingle (ties: the least hash, then the first)."""
+        self.offset = np.zeros(len(self.first), np.int32)
+        #: for each size of shingles: sorted prefixes, and the windows of each
+        self.keys, self.windows, self.at = {}, {}, {}
+        for s, h in self.hashes.items():
+            known, n = counts.get(s, (np.empty(0, np.uint64), np.empty(0, np.int64)))
+            mine = np.flatnonzero(self.shingle == s)
+            rare, least = np.full(len(mine), np.iinfo(np.int64).max), np.full(len(mine), np.iinfo(np.uint64).max, np.uint64)
+            for k in range(int((self.size[mine] - s).max()) + 1):
+                inside = self.size[mine] - s >= k
+                x = h[np.minimum(self.first[mine] + k, len(h) - 1)]
+                c = np.zeros(len(mine), np.int64)
+                if len(known):
+                    p = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                    c = np.where(known[p] == x, n[p], 0)
+                better = inside & ((c < rare) | ((c == rare) & (x < least)))
+                rare, least = np.where(better, c, rare), np.where(better, x, least)
+                self.offset[mine[better]] = k
+            order = np.argsort(least, kind="stable")
+            self.windows[s] = mine[order].astype(np.int32)
+            self.keys[s], self.at[s] = np.unique(least[order], return_index=True)
+            self.at[s] = np.append(self.at[s], len(mine))
+        del self.hashes, self.wanted  # not needed to match
 
 
 def _among(h: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -115,27 +156,31 @@ class _Words:
         return _ROLL.spans(self.prefix, self.starts[:n], self.ends[size - 1 :]) if n > 0 else np.empty(0, np.uint64)
 
 
-def _count(block: Block, text_col: str):
+def shingle_counts(docs: DataFrame, wanted: dict[int, np.ndarray], text_col: str = "text") -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Occurrences over all documents of shingles (sorted hashes by size): at most one number for each."""
+    sent = docs.sparkSession.sparkContext.broadcast(wanted)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {s: np.zeros(len(k), np.int64) for s, k in block.wanted.items()}
+        total = {s: np.zeros(len(k), np.int64) for s, k in sent.value.items()}
         for _, raw, offs in chunks(batches, text_col):
             w = _Words(raw, offs)
-            for s, keys in block.wanted.items():
+            for s, keys in sent.value.items():
                 h = w.shingles(s)
                 hit = _among(h, keys)
                 hit = hit[hit + s <= w.row_end[hit]]
-                total[s] += np.bincount(np.searchsorted(keys, h[hit]), minlength=len(keys))
+                np.add.at(total[s], np.searchsorted(keys, h[hit]), 1)
         for s, n in total.items():
             some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), s, np.int32)), pa.array(block.wanted[s][some].view(np.int64)), pa.array(n[some])], names=["size", "hash", "n"])
-
-    return run
-
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), s, np.int32)), pa.array(sent.value[s][some].view(np.int64)), pa.array(n[some])], names=["size", "hash", "n"])
 
-def shingle_counts(docs: DataFrame, block: Block, text_col: str = "text") -> dict[tuple[int, int], int]:
-    """Occurrences of the block's shingles over all documents: one number for each shingle of the block."""
-    rows = docs.select(text_col).mapInArrow(_count(block, text_col), "size int, hash long, n long").groupBy("size", "hash").agg(F.sum("n").alias("n"))
-    return {(r.size, r.hash % (1 << 64)): r.n for r in rows.collect()}
+    found = docs.select(text_col).mapInArrow(run, "size int, hash long, n long").groupBy("size", "hash").agg(F.sum("n").alias("n")).toArrow()
+    size, h, n = (found[c].to_numpy() for c in ("size", "hash", "n"))
+    out = {}
+    for s in wanted:
+        mine = size == s
+        order = np.argsort(h[mine].view(np.uint64))
+        out[s] = (h[mine].view(np.uint64)[order], n[mine][order])
+    return out
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -148,10 +193,13 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _match(block: Block, text_col: str, keep: list[str]):
+def _match(sent, text_col: str, keep: list[str]):
+    """``sent``: the broadcast block."""
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = sent.value
+        known = block.text.tobytes()
         for part, raw, offs in chunks(batches, text_col):
             w = _Words(raw, offs)
             text, of_row = None, w.of_row
@@ -161,15 +209,17 @@ def _match(block: Block, text_col: str, keep: list[str]):
                 h = w.shingles(s)
                 for p in _among(h, keys).tolist():
                     row = int(np.searchsorted(of_row, p, "right")) - 1
-                    for n, offset in block.prefix[s][int(h[p])]:
-                        a = p - offset
-                        b = a + block.n_words[n]
+                    at = int(np.searchsorted(keys, h[p]))
+                    for n in block.windows[s][block.at[s][at] : block.at[s][at + 1]].tolist():
+                        a = p - int(block.offset[n])
+                        b = a + int(block.size[n])
                         if a < of_row[row] or b > of_row[row + 1]:
                             continue
                         text = w.text.tobytes() if text is None else text
-                        if text[w.starts[a] : w.ends[b - 1]] == block.texts[n]:
+                        first = int(block.first[n])
+                        if text[w.starts[a] : w.ends[b - 1]] == known[block.starts[first] : block.ends[first + b - a - 1]]:
                             spans.setdefault(row, []).append((a - int(of_row[row]), b - int(of_row[row])))
-                            items.setdefault(row, set()).update(block.items[i] for i in block.of_text[n])
+                            items.setdefault(row, set()).update(block.items[i] for i in block.of_item[block.cuts[n] : block.cuts[n + 1]])
             n = part.num_rows
             merged = [_merge(spans[i]) if i in spans else [] for i in range(n)]
             yield pa.RecordBatch.from_arrays(
@@ -185,39 +235,43 @@ def _match(block: Block, text_col: str, keep: list[str]):
     return run
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[DataFrame]:
-    """The items (i, t), dealt into tables of about ``block_bytes`` each."""
-    rows = items.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"))
-    total = rows.agg(F.sum(F.coalesce(F.octet_length("t"), F.lit(0)) + 16)).first()[0] or 0
-    n = max(1, -(-total // block_bytes))
-    return [rows.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k) for k in range(n)]
+def item_blocks(items: DataFrame, id_col: str, text_col: str, block_windows: int, window: int, shingle: int) -> Iterator[Block]:
+    """The items, dealt into blocks of about ``block_windows`` windows; each is read and built when it is asked for."""
+    plain = Plain(items)
+    rows = plain.df.select(F.col(plain[id_col]).cast("string").alias("i"), F.col(plain[text_col]).alias("t"))
+    total = rows.agg(F.sum(F.regexp_count("t", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))).first()[0] or 0
+    n = max(1, -(-total // block_windows))
+    for k in range(n):
+        yield Block(rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).toArrow(), window, shingle)
 
 
-def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, block_windows: int = BLOCK_WINDOWS, keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with n_words (long), hit_spans (disjoint word
     ranges covered by windows, start inclusive and end exclusive) and item_ids (sorted
     ids, as strings, of the items with a window in the text)."""
     keep = docs.columns if keep is None else keep
     plain = Plain(docs)
-    found = _found(plain.df, plain[text_col], [plain[c] for c in keep], item_blocks(items, item_id, item_text, block_bytes), window, shingle)
+    found = _found(plain.df, plain[text_col], [plain[c] for c in keep], list(item_blocks(items, item_id, item_text, block_windows, window, shingle)))
     return plain.back(found, keep, [*RESULT])
 
 
-def _found(docs: DataFrame, text: str, keep: list[str], blocks: list[DataFrame], window: int, shingle: int) -> DataFrame:
+def _found(docs: DataFrame, text: str, keep: list[str], blocks: list[Block]) -> DataFrame:
     result = [T.StructField("n_words", T.LongType()), T.StructField("hit_spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))), T.StructField("item_ids", T.ArrayType(T.StringType()))]
     out = docs.select(*dict.fromkeys([*keep, text]))
     before: list[str] = []
-    for rows in blocks:
-        block = Block([(r.i, r.t) for r in rows.collect()], window, shingle)
-        block.by_rarity(shingle_counts(docs, block, text) if block.texts else {})
+    sizes = sorted({s for b in blocks for s in b.wanted})
+    counts = shingle_counts(docs, {s: np.unique(np.concatenate([b.wanted[s] for b in blocks if s in b.wanted])) for s in sizes}, text) if sizes else {}
+    for block in blocks:
+        block.by_rarity(counts)
+        sent = docs.sparkSession.sparkContext.broadcast(block)
         passed = [*keep, *before]
-        if rows is not blocks[-1] and text not in keep:
+        if block is not blocks[-1] and text not in keep:
             passed.append(text)
-        out = out.mapInArrow(_match(block, text, passed), T.StructType([*(out.schema[c] for c in passed), *result]))
+        out = out.mapInArrow(_match(sent, text, passed), T.StructType([*(out.schema[c] for c in passed), *result]))
         if before:
             spans, ids = F.sort_array(F.concat("old_hit_spans", "hit_spans")), F.array_sort(F.array_union("old_item_ids", "item_ids"))
             out = out.withColumns({"hit_spans": spans, "item_ids": ids}).drop(*before)
-        if rows is not blocks[-1]:
+        if block is not blocks[-1]:
             before = [f"old_{c}" for c in RESULT]
             out = out.withColumnsRenamed(dict(zip(RESULT, before)))
     if len(blocks) > 1:  # spans of several blocks may overlap
@@ -246,8 +300,8 @@ def contaminated():
     return (n_hit() > 0) & (20 * n_hit() >= F.col("n_words"))
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def decontaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with the columns of ``docs``."""
     plain = Plain(docs)
-    found = _found(plain.df, plain[text_col], plain.cols(), item_blocks(items, item_id, item_text, block_bytes), window, shingle)
+    found = _found(plain.df, plain[text_col], plain.cols(), list(item_blocks(items, item_id, item_text, block_windows, window, shingle)))
     return found.where(~contaminated()).select(*plain.cols()).toDF(*plain.names)
