@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import FMClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Settings of the compared models, by name and data set.
@@ -81,9 +81,10 @@ def save(model: PipelineModel, path: str) -> None:
 
 def load_or_train(path: str, fit) -> PipelineModel:
     """The saved model, or a new one that is then saved."""
-    try:
+    from credalyt.sources.folders import exists
+
+    if exists(SparkSession.active(), path):
         return PipelineModel.load(path)
-    except Exception:
-        model = fit()
-        save(model, path)
-        return model
+    model = fit()
+    save(model, path)
+    return model

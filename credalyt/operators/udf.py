@@ -74,12 +74,24 @@ def with_retries(client: Callable, tries: int = 3, delay: float = 1.0, factor: f
 
 
 def embed(text: Column, client: Embedder) -> Column:
-    """array<float> of each text; an error gives null."""
+    """array<float> of each text; where a call fails its texts are asked one by one, and one that fails gives null."""
+
+    def one(t: str):
+        try:
+            return client([t])[0]
+        except Exception:
+            return None
+
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield pd.Series(client(s.fillna("").tolist()))
+            texts = s.fillna("").tolist()
+            try:
+                found = list(client(texts))
+            except Exception:
+                found = [one(t) for t in texts]
+            yield pd.Series(found, dtype=object)
 
     return run(text)
 

@@ -236,8 +236,8 @@ def ext_sliding(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 WITH o AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new, event_id FROM events),
 s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM o)
-SELECT user_id, epoch_ms(min(ts)) AS start, epoch_ms(max(ts)) + 43200000 AS "end", count(*) AS n FROM s GROUP BY user_id, k""")
+SELECT user_id, epoch_us(min(ts)) AS start, epoch_us(max(ts)) + 43200000000 AS "end", count(*) AS n FROM s GROUP BY user_id, k""")
 def ext_session(spark: SparkSession, d: str) -> DataFrame:
     """Sessions of users with gaps of twelve hours."""
     s = streams.sessions(table(spark, d, "events"))
-    return s.select("user_id", F.unix_millis("start").alias("start"), F.unix_millis("end").alias("end"), "n")
+    return s.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n")

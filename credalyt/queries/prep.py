@@ -138,15 +138,15 @@ def positional_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 _NEAR = """
-m AS (SELECT vec_id, embedding FROM embeddings WHERE label = 7 AND vec_id < 400),
+m AS (SELECT vec_id, embedding FROM embeddings WHERE label = 7),
 pairs AS (SELECT x.vec_id AS id, y.vec_id AS neighbour, sqrt(list_sum(list_transform(range(1, len(x.embedding) + 1), lambda i: (x.embedding[i]::DOUBLE - y.embedding[i]::DOUBLE) * (x.embedding[i]::DOUBLE - y.embedding[i]::DOUBLE)))) AS d
   FROM m x JOIN m y ON x.vec_id <> y.vec_id),
 near AS (SELECT id, neighbour, d, row_number() OVER (PARTITION BY id ORDER BY d, neighbour) AS rank FROM pairs)"""
 
 
 def _minority(spark: SparkSession, d: str) -> DataFrame:
-    """The class to oversample: one label's first vectors."""
-    return table(spark, d, "embeddings").where("label = 7 AND vec_id < 400").select("vec_id", "embedding")
+    """The class to oversample: one label's vectors."""
+    return table(spark, d, "embeddings").where("label = 7").select("vec_id", "embedding")
 
 
 @query(f"WITH {_NEAR} SELECT id, neighbour, CAST(rank AS INT) AS rank, round(d, 6) AS d FROM near WHERE rank <= 5")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from credalyt.sources.folders import exists
+
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).csv(path)
@@ -40,6 +42,18 @@ def write_matrix(df: DataFrame, path: str, info: dict) -> None:
     spark.createDataFrame([(str(k), str(v)) for k, v in info.items()], "key string, value string").coalesce(1).write.mode("overwrite").json(f"{path}/info")
 
 
+def numbered(df: DataFrame, start: int = 0) -> DataFrame:
+    """``df`` with _place: its rows counted on from ``start``, partition by partition (one count for each)."""
+    rows = df.withColumn("_place", F.monotonically_increasing_id())
+    part, offset, offsets = F.shiftright("_place", 33), start, []
+    for r in rows.groupBy(part.alias("p")).count().orderBy("p").collect():
+        offsets.append(F.struct(F.lit(r.p).alias("p"), F.lit(offset).cast("long").alias("o")))
+        offset += r["count"]
+    if not offsets:
+        return rows
+    return rows.withColumn("_place", F.element_at(F.map_from_entries(F.array(*offsets)), part) + F.col("_place").bitwiseAND((1 << 33) - 1))
+
+
 class Collections:
     """Knowledge collections as one table (collection, id, content, metadata, embedding) partitioned by collection."""
 
@@ -49,10 +63,11 @@ class Collections:
         self.spark, self.path = spark, path
 
     def add(self, df: DataFrame, collection: str, failed: str = "drop", dim: int = 64, replace: bool = False) -> None:
-        """Documents (id, content, metadata, embedding); a missing id is the position.
+        """Documents (id, content, metadata, embedding); missing ids are numbered on from the number of documents.
 
         failed: documents without embedding are dropped, or stored with zeros."""
-        rows = df.withColumn("id", F.coalesce(F.col("id").cast("string"), F.concat(F.lit("doc_"), F.monotonically_increasing_id().cast("string"))))
+        before = 0 if replace else self.read(collection).count()
+        rows = numbered(df, before).withColumn("id", F.coalesce(F.col("id").cast("string"), F.concat(F.lit("doc_"), F.col("_place").cast("string"))))
         rows = rows.withColumn("metadata", F.coalesce("metadata", F.create_map().cast("map<string,string>")))
         if failed == "zeros":
             rows = rows.withColumn("embedding", F.when(F.size(F.coalesce("embedding", F.array().cast("array<float>"))) > 0, F.col("embedding")).otherwise(F.array_repeat(F.lit(0.0).cast("float"), dim)))
@@ -63,9 +78,9 @@ class Collections:
 
     def read(self, *names: str) -> DataFrame:
         """Documents of all or some collections; an empty store gives no rows."""
-        try:
+        if exists(self.spark, self.path):
             rows = self.spark.read.schema(self.SCHEMA).parquet(self.path)
-        except Exception:
+        else:
             rows = self.spark.createDataFrame([], self.SCHEMA)
         return rows.where(F.col("collection").isin(*names)) if names else rows
 

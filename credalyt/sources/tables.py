@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from credalyt.functions.decode import CODES
+from credalyt.sources.folders import exists
 
 #: The 21 fields of the German credit file, in order (it has no header).
 GERMAN = (
@@ -74,11 +75,9 @@ def read_batch(spark: SparkSession, path: str, record: str) -> DataFrame:
 
 def scan_or_build(spark: SparkSession, path: str, build) -> DataFrame:
     """The stored table; it is built and stored where it is missing."""
-    try:
-        return spark.read.parquet(path)
-    except Exception:
-        build().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    if not exists(spark, path):
+        build().write.parquet(path)
+    return spark.read.parquet(path)
 
 
 class Datasets:

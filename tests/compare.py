@@ -1,6 +1,7 @@
 """A Spark result against DuckDB: columns, rows, values in any order."""
 
 import math
+from decimal import Decimal
 
 import duckdb
 
@@ -14,8 +15,12 @@ def _plain(v):
         return str(bool(v))
     if isinstance(v, (list, tuple)) or type(v).__name__ == "ndarray":
         return str([_plain(x) for x in v])
+    if isinstance(v, str):
+        return v
+    if isinstance(v, int) or type(v).__module__ == "numpy" and "int" in type(v).__name__ or isinstance(v, Decimal) and v == int(v):
+        return str(int(v))  # whole numbers are compared exactly
     try:
-        return f"{float(v):.9g}"
+        return str(int(v)) if float(v).is_integer() and abs(float(v)) < 2**53 else f"{float(v):.9g}"
     except (TypeError, ValueError):
         return str(v)
 
