@@ -27,7 +27,6 @@ has the name of a result column, the result's stays.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -38,17 +37,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from credalyt.llm import setlinks
 from credalyt.llm.components import components
 from credalyt.llm.scratch import Plain, Scratch, numbered
 from credalyt.llm.textkernel import NON_SPACE, chunks, joined, words
 
 SEED = 42
-#: documents sampled for common shingles, and the most of these that are kept
-SAMPLE, COMMON = 4096, 1 << 17
-#: lists up to this length are compared lag by lag, longer ones member by member
-LAGS = 64
-#: products of a similarity and a whole number are rounded
-SLACK = 1e-9
 #: pairs of two-byte blocks: positional bytes that a list fixes
 BLOCK_PAIRS = tuple(combinations(range(4), 2))
 
@@ -82,17 +76,6 @@ def fingerprints_of(raw: np.ndarray, offs: np.ndarray, shingle: int) -> np.ndarr
     return _majority(*_shingles(raw, offs, shingle)).view(np.uint64).ravel()
 
 
-def shingle_sets(raw: np.ndarray, offs: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingles' hashes of each text of a chunk, sorted, and the texts' offsets in them."""
-    h, n = _shingles(raw, offs, shingle)
-    row = np.repeat(np.arange(len(n)), n)
-    order = np.lexsort((h, row))
-    h, row = h[order], row[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    return h[new].view(np.int64), np.concatenate([[0], np.cumsum(np.bincount(row[new], minlength=len(n)))])
-
-
 def with_fingerprint(df: DataFrame, text_col: str = "text", out_col: str = "simhash", shingle: int = 3) -> DataFrame:
     """``df`` and a long column with the fingerprint's 64 bits."""
     schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.LongType(), False)])
@@ -151,15 +134,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     keep = df.columns if keep is None else keep
     plain = Plain(df)
-    found = with_fingerprint(plain.df.select(*dict.fromkeys(plain[c] for c in [id_col, text_col, *keep])), plain[text_col], "fp", shingle)
-    classes = _classes(found.select(F.col(plain[id_col]).alias("id"), "fp"), max_bits, list_limit)
-    out = found.drop(*([plain[text_col]] if text_col not in keep else [])).join(classes, "fp")
-    return plain.back(out.withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0"))), keep, ["fingerprint", "component_id", "links"])
+    with Scratch(df.sparkSession, "simhash") as scratch:
+        found = with_fingerprint(plain.df.select(*dict.fromkeys(plain[c] for c in [id_col, text_col, *keep])), plain[text_col], "fp", shingle)
+        found = scratch.save(found.select(*dict.fromkeys(plain[c] for c in [id_col, *keep]), "fp"))  # texts are hashed once
+        classes = _classes(found.select(F.col(plain[id_col]).alias("id"), "fp"), scratch, max_bits, list_limit)
+    out = found.join(classes, "fp").withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0")))
+    return plain.back(out, keep, ["fingerprint", "component_id", "links"])
 
 
-def _classes(ids: DataFrame, max_bits: int, list_limit: int) -> DataFrame:
+def _classes(ids: DataFrame, scratch: Scratch, max_bits: int, list_limit: int) -> DataFrame:
     """(fp, component_id, links) of rows (id, fp)."""
-    scratch = Scratch(ids.sparkSession, "simhash")
     small = scratch.save(ids.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("links")))
     roots = components(fingerprint_links(small.select("fp"), scratch, max_bits, list_limit), scratch)
     named = small.join(roots, small["fp"] == roots["node"], "left").select("fp", "least", "links", F.coalesce("root", "fp").alias("root"))
@@ -167,106 +151,14 @@ def _classes(ids: DataFrame, max_bits: int, list_limit: int) -> DataFrame:
     return scratch.save(named.join(least, "root").select("fp", "component_id", "links"))
 
 
-def _common(docs: DataFrame, text: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) of shingles that a sample of texts repeats, and in how many of its texts each is."""
-    every = max(1, docs.count() // SAMPLE)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, raw, offs in chunks(batches, text):
-            yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(raw, offs, shingle)[0])], names=["h"])
-
-    sample = docs.where(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).select(text).mapInArrow(run, "h long")
-    rows = sample.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(COMMON).orderBy("h").toArrow()
-    return rows["h"].to_numpy(), rows["n"].to_numpy()
-
-
-def prefixes(h: np.ndarray, offs: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Of each set its first members in one order of all shingles (rare ones first), as many as
-    sets need for that similarity to share one, and the sets' offsets in them."""
-    known, count = common
-    n = np.diff(offs)
-    row = np.repeat(np.arange(len(n)), n)
-    often = np.zeros(len(h), np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-        often = np.where(known[at] == h, count[at], 0)
-    h = h[np.lexsort((h, often, row))]
-    size = np.minimum(n, n - np.ceil(similarity * n - SLACK).astype(np.int64) + 1)
-    keep = np.arange(len(h)) - offs[:-1][row] < size[row]
-    return h[keep], np.concatenate([[0], np.cumsum(size)])
-
-
-def _meeting(similarity: float, reach: int):
-    """Pairs of each list's members whose sizes and places in it allow the similarity and whose roots
-    differ: neighbours in the order of sizes (reach 1) or all (0).  Needs whole lists in a task."""
-
-    def possible(x: np.ndarray, y: np.ndarray, n: np.ndarray, place: np.ndarray, root: np.ndarray) -> np.ndarray:
-        small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
-        most = 1 + np.minimum(n[x] - place[x], n[y] - place[y]) - 1  # if none before is shared; else the pair meets there
-        return (root[x] != root[y]) & (small >= similarity * large - SLACK) & (most >= similarity / (1 + similarity) * (n[x] + n[y]) - SLACK)
-
-    def pairs(h: np.ndarray, n: np.ndarray, place: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
-        size = np.diff(cuts)
-        later = np.arange(len(h)) if reach else np.flatnonzero(np.repeat(size <= LAGS, size))
-        for d in range(1, reach + 1 if reach else LAGS):
-            later = later[later >= d]
-            later = later[h[later] == h[later - d]]
-            if not len(later):
-                break
-            ok = later[possible(later, later - d, n, place, root)]
-            yield ok, ok - d
-        for i in () if reach else np.flatnonzero(size > LAGS):
-            here = np.arange(cuts[i], cuts[i + 1])
-            groups, of, members = np.unique(root[here], return_inverse=True, return_counts=True)
-            if len(groups) > 1:  # members of the largest group meet the others only
-                for x in here[of != members.argmax()]:
-                    near = here[np.searchsorted(n[here], similarity * n[x] - SLACK) : np.searchsorted(n[here], n[x] / similarity + SLACK, "right")]
-                    ok = near[possible(np.full(len(near), x), near, n, place, root)]
-                    yield np.full(len(ok), x), ok
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [b for b in batches if b.num_rows]
-        if not tables:
-            return
-        h, n, place, node, root = (np.concatenate([b.column(i).to_numpy() for b in tables]) for i in range(5))
-        order = np.lexsort((node, n, h))
-        h, n, place, node, root = (x[order] for x in (h, n, place, node, root))
-        held, size = [], 0
-
-        def out() -> pa.RecordBatch:
-            uv = np.concatenate(held) if held else np.empty((0, 2), np.int64)
-            uv, times = np.unique(uv, axis=0, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(uv[:, 0].copy()), pa.array(uv[:, 1].copy()), pa.array(times)], names=["u", "v", "times"])
-
-        for x, y in pairs(h, n, place, root):
-            if len(x):
-                held.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], axis=1))
-                size += len(x)
-                if size > 500_000:
-                    yield out()
-                    held, size = [], 0
-        yield out()
-
-    return run
-
-
-def _truly_similar(similarity: float):
-    """Pairs whose sets of shingles have the similarity."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for i in range(b.num_rows):
-                x, y = (np.frombuffer(b.column(c)[i].as_buffer(), np.int64) for c in (2, 3))
-                z = np.sort(np.concatenate([x, y]), kind="stable")
-                both = int((z[1:] == z[:-1]).sum())
-                if both >= similarity * (len(x) + len(y) - both) - SLACK:
-                    keep.append(i)
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], names=["u", "v"])
-
-    return run
+def fingerprint_pairs(nodes: DataFrame, scratch: Scratch, max_bits: int = 2) -> DataFrame:
+    """(u, v): nodes (node, fp) of one fingerprint, each with their least, and these for linked fingerprints."""
+    least = scratch.save(nodes.groupBy("fp").agg(F.min("node").alias("top")))
+    same = nodes.join(least, "fp").where("node <> top").select(F.col("top").alias("u"), F.col("node").alias("v"))
+    links = fingerprint_links(least.select("fp"), scratch, max_bits)
+    side = lambda c: least.select(F.col("fp").alias(c), F.col("top").alias(f"top_{c}"))
+    near = links.join(side("u"), "u").join(side("v"), "v").select(F.least("top_u", "top_v").alias("u"), F.greatest("top_u", "top_v").alias("v"))
+    return same.unionByName(near)
 
 
 def dissimilar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -274,67 +166,29 @@ def dissimilar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     the smallest id (null before others; among rows of one id the least text hash).
 
     Rows are linked exactly if their sets of word shingles have a Jaccard similarity of
-    ``similarity`` or more; copies always are, and texts without words are copies.
-    Candidates come from a lossless filter: in one order of all shingles, sets of size n that
-    are that similar share one of their first n - ceil(similarity * n) + 1, so these index
-    them.  What a sample of texts repeats comes last in the order, which keeps lists short;
-    the order decides nothing else.  All sets linked are compared.  First each member of a list
-    proposes the neighbour that it meets most often, twice, which joins large groups with a
-    number of comparisons linear in them; then all pairs of a list that are not yet in one
-    group are compared.  A list is never cut: it is read by one task, 40 bytes a member."""
+    ``similarity`` or more; copies always are, and null texts, empty ones and others without
+    words are copies of each other.  Very long texts are compared whole, one chunk each.
+
+    Sets that are equal are one node.  The byte-position index proposes the nodes whose SimHash
+    fingerprints link, and as two bits of 64 are far less than the similarity allows, the index
+    of prefixes (``setlinks``) proposes every other pair that could have it.  All that is linked
+    is decided on the texts."""
     plain = Plain(df)
     text = plain[text_col]
-    spark = df.sparkSession
-    scratch = Scratch(spark, "similar")
-    docs, _ = numbered(plain.df, plain[id_col], text, scratch)
-    sent = spark.sparkContext.broadcast(_common(docs, text, shingle))
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, raw, offs in chunks(batches, text):
-            h, at = shingle_sets(raw, offs, shingle)
-            first, ends = prefixes(h, at, sent.value, similarity)
-            copies = [hashlib.md5(h[a:b].tobytes()).digest() for a, b in zip(at[:-1], at[1:])]
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(first))
-            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("key")), pa.array(copies, pa.binary()), pa.array(np.diff(at)), lists], names=["key", "copies", "n", "first"])
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, raw, offs in chunks(batches, text):
-            h, at = shingle_sets(raw, offs, shingle)
-            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("key")), pa.array([h[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], names=["key", "hashes"])
-
-    found = scratch.save(docs.select("key", text).mapInArrow(index, "key long, copies binary, n long, first array<long>"))
-    # equal sets are one node, named by its smallest key
-    nodes = scratch.save(found.groupBy("copies").agg(F.min("key").alias("node")).select("node"))
-    p = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Lists of two members or more."""
-        tables = [b for b in batches if b.num_rows]
-        if tables:
-            h = np.concatenate([b.column(0).to_numpy() for b in tables])
-            _, of, size = np.unique(h, return_inverse=True, return_counts=True)
-            at = pa.array(np.flatnonzero(size[of] > 1))
-            yield from pa.Table.from_batches(tables).take(at).combine_chunks().to_batches(max_chunksize=50_000)
-
-    posted = found.join(nodes.select(F.col("node").alias("key")), "key", "left_semi").select(F.col("key").alias("node"), "n", F.posexplode("first").alias("place", "h")).select("h", "n", "place", "node")
-    lists = scratch.save(posted.repartition(p, "h").mapInArrow(shared, "h long, n long, place int, node long"))
-    scratch.drop(found)
-    roots = nodes.select("node", F.col("node").alias("root")).where("false")
-    for reach in (1, 1, 0):
-        rooted = lists.join(roots, "node", "left").select("h", "n", "place", "node", F.coalesce("root", "node").alias("root"))
-        met = rooted.repartition(p, "h").mapInArrow(_meeting(similarity, reach), "u long, v long, times long").groupBy("u", "v").agg(F.sum("times").alias("times"))
-        if reach:
-            met = met.groupBy("v").agg(F.max_by("u", F.struct("times", "u")).alias("u"))
-        pairs = scratch.save(met.select("u", "v"))
-        asked = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
-        known = scratch.save(docs.select("key", text).join(asked, "key", "left_semi").mapInArrow(sets, "key long, hashes binary"))
-        both = pairs.join(known.select(F.col("key").alias("u"), F.col("hashes").alias("a")), "u").join(known.select(F.col("key").alias("v"), F.col("hashes").alias("b")), "v")
-        links = scratch.save(both.select("u", "v", "a", "b").mapInArrow(_truly_similar(similarity), "u long, v long"))
-        scratch.drop(pairs, known)
-        now = scratch.save(components(links.unionByName(roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))), scratch))
-        scratch.drop(roots, links)
-        roots = now
-    gone = roots.where("node <> root").select("node")
-    stay = scratch.save(nodes.join(gone, "node", "left_anti").select(F.col("node").alias("key")))
-    scratch.drop(nodes, lists, roots)
-    return docs.join(stay, "key", "left_semi").select(*plain.cols()).toDF(*plain.names)
+    with Scratch(df.sparkSession, "similar") as scratch:
+        docs, _ = numbered(plain.df, plain[id_col], text, scratch)
+        found = scratch.save(setlinks.indexed(docs, text, shingle, similarity, lambda h, n: _majority(h, n).view(np.uint64).ravel()))
+        nodes = scratch.save(found.groupBy("copies").agg(F.min("key").alias("node"), F.min("fp").alias("fp")).select("node", "fp"))
+        listed = scratch.save(setlinks.lists(found, nodes, similarity))
+        short, members = listed.where("u is not null").select("u", "v"), listed.where("u is null").drop("u", "v")
+        likely = fingerprint_pairs(nodes, scratch).unionByName(short).unionByName(setlinks.long_pairs(members, found, None, similarity))
+        pairs = scratch.save(setlinks.plausible(likely.distinct(), found, similarity))
+        tested = scratch.save(setlinks.similar(pairs, docs, text, shingle, similarity))
+        roots = components(tested.where("alike").select("u", "v"), scratch)
+        rest = scratch.save(setlinks.long_pairs(members, found, roots, similarity).join(tested, ["u", "v"], "left_anti"))
+        links = scratch.save(setlinks.similar(rest, docs, text, shingle, similarity).where("alike").select("u", "v"))
+        joined = components(links.unionByName(roots.where("node <> root").select(F.col("root").alias("u"), F.col("node").alias("v"))), scratch)
+        copies = found.select("key").join(nodes.select(F.col("node").alias("key")), "key", "left_anti")
+        gone = scratch.save(copies.unionByName(joined.where("node <> root").select(F.col("node").alias("key"))))
+        scratch.drop(found, nodes, listed, pairs, tested, rest, links)
+    return docs.join(gone, "key", "left_anti").select(*plain.cols()).toDF(*plain.names)
