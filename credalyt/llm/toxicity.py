@@ -8,20 +8,32 @@ A text is the set of its terms, hashed into 2**bits slots: words
 
 so two terms can matter together (an insult with the mention of a group) where
 neither does alone.  Both parts are learned by AdaGrad on the log loss, relative to the
-weight of the rarer label.  L1 on w keeps all but telling terms at exactly zero, so
-thousands of neutral words of a long text add nothing; only terms that it keeps get
-a v_i (with L2), so a term that tells in a pair and never alone is not learned.
+weight of the rarer label.  Terms whose first gradient is within what chance gives a
+neutral one, and those that L1 does not keep, stay at exactly zero in w, so thousands of
+neutral words of a long text add nothing.
+
+Factors v_i (with L2) go to the terms that L1 keeps and to every other term whose row of
+
+    M_ij = sum over rows of residual * x_i * x_j
+
+is longer than independent residuals would make it (``SURPRISE`` times its expected
+square, and that of the terms beside it, as copied texts raise all their terms; estimated
+for all terms at once by random projections of the rows): such a term tells in a pair even
+if it says nothing alone.
 
 Learning uses a bounded sample of labelled rows: of each label at most ``max_rows``
-ids in the order of their hash, weighted back to the label's share.  The sample's
-ids are broadcast (bounded), so texts are not shuffled for it; its hashed terms go to
-the driver (bounded by rows and by ``max_terms`` = most terms of one training text, in
-hash order).  Scoring reads every term of every text, and needs no shuffle.
-
-Null and empty texts have no terms and the score of the bias.  Labels that are
-null or without id are ignored; if an id has both labels the larger counts.  Without
-any labelled row of either label the score is that label's share or 0.5.  Rows keep
-their number; extra columns pass through.
+ids in the order of their hash, weighted back to the label's share.  The sample's ids are
+broadcast (bounded), so texts are not shuffled for it; its texts are set aside once, terms
+in fewer than ``LEAST_ROWS`` of them are dropped on the cluster, and all others go to the
+driver, of whole texts (bounded by rows and the vocabulary that they share).  Rows of
+equal terms are one.  Scoring reads every term of every text, and needs no shuffle.
+
+Null and empty texts have no terms and the score of the bias.  Very long texts are scored
+whole, one chunk each.  Labels that are null or without id are ignored; if an id has both
+labels the larger counts, and rows that share an id are learned from each.  Without any
+labelled row of either label the score is that label's share or 0.5.  An empty table of
+documents gives an empty result.  Rows keep their number; extra columns pass through, and
+where one has the name of a result column, the result's stays.
 """
 
 from __future__ import annotations
@@ -36,7 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from credalyt.llm.scratch import Plain
+from credalyt.llm.scratch import Plain, Scratch
 from credalyt.llm.textkernel import ALNUM, Rolling, chunks, joined, mixed, words
 
 BITS = 20
@@ -44,7 +56,11 @@ BITS = 20
 STEMS = (4, 5, 6, 7)
 FACTORS = 4
 MAX_ROWS = 4000
-MAX_TERMS = 20000
+LEAST_ROWS = 4
+#: random projections, and the ratio of squares from which a term gets factors
+PROJECTIONS, SURPRISE = 32, 4.0
+#: standard deviations of a neutral term's gradient that a term must exceed to tell alone
+CHANCE = 4.0
 #: terms of the rows that are learned from at a time
 BLOCK_TERMS = 1 << 19
 _TERMS = Rolling(11)
@@ -108,12 +124,28 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.margin(slots, offs), -35, 35)))
 
 
-def fit(slots: np.ndarray, offs: np.ndarray, y: np.ndarray, weight: np.ndarray, bits: int = BITS, factors: int = FACTORS, rounds: int = 60, l1: float = 1e-3, l2: float = 1e-3, rate: float = 1.0, least_rows: int = 4, seed: int = 7) -> Machine:
+def in_pairs(at: np.ndarray, row: np.ndarray, residual: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """Of each of ``n`` terms (``at``, in rows ``row``) the square of its row of residual-weighted
+    co-occurrences, relative to what independent residuals give and, where that is more, to
+    the mean of the terms in its rows."""
+    rng, found = np.random.default_rng(seed), np.zeros(n)
+    length = np.bincount(row, minlength=len(residual))
+    for _ in range(PROJECTIONS):
+        g = rng.normal(size=n)
+        z = np.bincount(row, g[at], len(residual))
+        found += (np.bincount(at, (residual * z)[row], n) - g * np.bincount(at, residual[row], n)) ** 2
+    chance = np.bincount(at, (residual**2 * np.maximum(length - 1, 0))[row], n)
+    ratio = found / PROJECTIONS / np.maximum(chance, 1e-300)
+    beside = np.bincount(row, ratio[at], len(residual)) / np.maximum(length, 1)
+    usual = np.bincount(at, beside[row], n) / np.maximum(np.bincount(at, minlength=n), 1)
+    return ratio / np.maximum(usual, 1)
+
+
+def fit(slots: np.ndarray, offs: np.ndarray, y: np.ndarray, weight: np.ndarray, bits: int = BITS, factors: int = FACTORS, rounds: int = 60, l1: float = 1e-3, l2: float = 1e-3, rate: float = 1.0, least_rows: int = LEAST_ROWS, seed: int = 7) -> Machine:
     """Learn from rows of slots; slots in fewer than ``least_rows`` rows stay zero.
 
-    The linear part learns alone first; then its living slots get factors, and both
-    learn on.  (A pair can only tell something about terms that vary with the label
-    at all, or, in a tie of exact cancellation, about none that this finds.)
+    The linear part learns alone first; then its living slots, and those that tell in
+    pairs (``in_pairs``), get factors, and both learn on.
     """
     size = 1 << bits
     weight = weight / max(weight.sum(), 1e-12)
@@ -135,11 +167,16 @@ def fit(slots: np.ndarray, offs: np.ndarray, y: np.ndarray, weight: np.ndarray,
     used = np.flatnonzero(np.bincount(slots, minlength=size) >= least_rows)
     at, row, ends = part(used)
     w, v = np.zeros(len(used)), np.zeros((len(used), factors))
+    # neutral terms: their gradients at the start are no more than chance gives
+    start = weight * (share - y)
+    chance = np.sqrt(np.bincount(at, minlength=len(used)) * np.mean(start**2))
+    telling = np.abs(np.bincount(at, start[row], len(used))) >= CHANCE * chance
     bias, gb, gw, gv = float(np.log(share / (1 - share))), 1e-8, np.full(len(used), 1e-8), np.full(v.shape, 1e-8)
-    for step in range(2 * rounds):
-        if step == rounds:  # factors for what the linear part has kept
-            alive = np.flatnonzero(w)
-            used, w, gw, gv = used[alive], w[alive], gw[alive], np.full((len(alive), factors), 1e-8)
+    for step in range(5 * rounds):  # factors are few, and start near a saddle
+        if step == rounds:
+            z = bias + _sums(w[at], ends)
+            alive = np.flatnonzero((w != 0) | (in_pairs(at, row, weight * (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y), len(used), seed) >= SURPRISE))
+            used, w, gw, telling, gv = used[alive], w[alive], gw[alive], np.ones(len(alive), bool), np.full((len(alive), factors), 1e-8)
             v = np.random.default_rng(seed).normal(0, 0.01, (len(used), factors))
             at, row, ends = part(used)
         pairs = step >= rounds
@@ -160,7 +197,7 @@ def fit(slots: np.ndarray, offs: np.ndarray, y: np.ndarray, weight: np.ndarray,
         gw += g * g
         lr = rate / np.sqrt(gw)
         w -= lr * g
-        w = np.sign(w) * np.maximum(np.abs(w) - lr * l1, 0)
+        w = np.sign(w) * np.maximum(np.abs(w) - lr * l1, 0) * telling
         if pairs:
             gv += gf * gf
             v -= 0.05 * gf / np.sqrt(gv)
@@ -171,17 +208,26 @@ def fit(slots: np.ndarray, offs: np.ndarray, y: np.ndarray, weight: np.ndarray,
     return Machine(float(bias), out_w, out_v)
 
 
-def _sampled_terms(text: str, label: str, weight: str, bits: int, most: int):
+def _sampled_terms(text: str, label: str, weight: str, bits: int, among: np.ndarray | None):
+    """Terms (those true in ``among``) of each row; without it, how many rows each term is in."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << bits, np.int64)
         for part, raw, offs in chunks(batches, text):
-            slots, at = terms(raw, offs, bits)
-            rows = [slots[a : min(b, a + most)].astype(np.int32) for a, b in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary()), *(part.column(part.schema.get_field_index(c)) for c in (label, weight))], names=["slots", "y", "w"])
+            slots, at = terms(raw, offs, bits, among)
+            if among is None:
+                total += np.bincount(slots, minlength=1 << bits)
+                continue
+            rows = [slots[a:b].astype(np.int32).tobytes() for a, b in zip(at[:-1], at[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), *(part.column(part.schema.get_field_index(c)) for c in (label, weight))], names=["slots", "y", "w"])
+        if among is None:
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["slot", "n"])
 
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS, bits: int = BITS) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, bits: int = BITS) -> Machine:
     """A machine learned from a bounded sample of the labelled rows that are not held out."""
     d, lab = Plain(docs), Plain(labels)
     known = lab.df.select(F.col(lab[id_col]).alias("id"), F.col(lab[label_col]).cast("int").alias("y")).where("id is not null and y in (0, 1)").where(~held_out("id"))
@@ -192,15 +238,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return fit(np.empty(0, np.int64), np.zeros(1, np.int64), np.empty(0), np.empty(0), bits)
     sample = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     texts = d.df.select(F.col(d[id_col]).alias("id"), F.col(d[text_col]).alias("text")).where("id is not null")
-    rows = texts.join(F.broadcast(sample), "id").select("text", "y", "w").mapInArrow(_sampled_terms("text", "y", "w", bits, max_terms), "slots binary, y int, w double").toArrow()
-    slots = [np.frombuffer(x, np.int32) for x in rows["slots"].to_pylist()]
-    y, w = (rows[c].to_numpy().astype(float) for c in ("y", "w"))
-    # the cluster may return rows in any order: sums in floating point want one
-    order = sorted(range(len(slots)), key=lambda i: (y[i], len(slots[i]), hashlib.md5(slots[i]).digest()))
-    slots = [slots[i] for i in order]
+    with Scratch(docs.sparkSession, "toxic") as scratch:
+        chosen = scratch.save(texts.join(F.broadcast(sample), "id").select("text", "y", "w"))
+        seen = chosen.mapInArrow(_sampled_terms("text", "y", "w", bits, None), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+        among = np.zeros(1 << bits, bool)
+        among[seen.where(F.col("n") >= LEAST_ROWS).select("slot").toArrow()["slot"].to_numpy()] = True  # at most 2**bits
+        rows = chosen.mapInArrow(_sampled_terms("text", "y", "w", bits, among), "slots binary, y int, w double").toArrow()
+        scratch.drop(chosen)
+    # equal rows are one; the cluster may return rows in any order, and sums in floating point want one
+    weights: dict[tuple[int, bytes], float] = {}
+    for x, y, w in zip(rows["slots"].to_pylist(), rows["y"].to_pylist(), rows["w"].to_pylist()):
+        weights[y, x] = weights.get((y, x), 0.0) + w
+    order = sorted(weights, key=lambda k: (k[0], len(k[1]), hashlib.md5(k[1]).digest()))
+    slots = [np.frombuffer(x, np.int32) for _, x in order]
     offs = np.concatenate([[0], np.cumsum([len(s) for s in slots])]).astype(np.int64)
     flat = np.concatenate(slots) if slots else np.empty(0, np.int32)
-    return fit(flat, offs, y[order], w[order], bits)
+    return fit(flat, offs, np.array([y for y, _ in order], float), np.array([weights[k] for k in order]), bits)
 
 
 def scored(df: DataFrame, machine: Machine, text_col: str = "text", keep: list[str] | None = None, bits: int = BITS) -> DataFrame:
