@@ -7,7 +7,7 @@ sources sorted by cap over weight the capped ones come first, so running sums gi
 common level in closed form.
 
 Takes.  The documents of a source stand in a fixed pseudo-random order (MD5 of the
-id).  A source's demand runs over that order, again and again: each whole round takes
+id and the text).  A source's demand runs over that order, again and again: each whole round takes
 every document, the last round takes words until the demand is met.  So a source's
 taken words are its target, rounded, and no document exceeds the cap.
 
@@ -22,8 +22,10 @@ Running sums inside a source go by bucket (the first three hex digits of the MD5
 bucket totals first, then within buckets, so a source with a third of all rows is
 dealt to 4,096 groups.
 
-Null or empty texts have size 0 and are taken 0 words.  Rows that share an id follow
-each other by size; equal rows are interchangeable.  Empty tables give empty results.
+Null or empty texts have size 0 and are taken 0 words; long texts are read whole.  Rows
+that share an id, or have none, stand where their texts' hashes put them; rows of one id
+and text follow a hash of all their columns, so reruns agree whatever the order of the
+input, and rows that are left are equal.  Empty tables give empty results.
 Extra columns pass through; where one has the name of a result column, the result's stays.
 """
 
@@ -33,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from credalyt.llm.scratch import Plain
+from credalyt.llm.scratch import Plain, Scratch
 
 MOST_REPEATS = 3
 WEIGHTS = (1, 2, 3)
@@ -75,12 +77,18 @@ def _met(share: Column, slope: Column) -> Column:
     return F.when(slope == 0, share).otherwise((F.sqrt(b * b + 4 * slope * share) - b) / (2 * slope))
 
 
-def _placed(plain: Plain, id_col: str, text_col: str, source_col: str, most_repeats: int) -> DataFrame:
-    """Every row with its source's numbers and where its first draw starts (before)."""
-    spread = F.md5(F.coalesce(F.col(plain[id_col]).cast("string"), F.lit("")).cast("binary"))
+def _sized(plain: Plain, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """Every row with size, source, its place in the pseudo-random order and what decides ties."""
+    text = F.coalesce(F.col(plain[text_col]), F.lit(""))
+    spread = F.md5(F.concat(F.coalesce(F.col(plain[id_col]).cast("string"), F.lit("")), F.lit(" "), text).cast("binary"))
     src = F.col(plain[source_col]).cast("string")
     rows = plain.df.withColumns({"size": text_size(plain[text_col]), "source": F.coalesce(F.concat(F.lit("s"), src), F.lit("~")), "spread": spread})
-    rows = rows.withColumn("bucket", F.substring("spread", 1, 3))
+    hashed = [c for c in plain.cols() if "map<" not in plain.df.schema[c].dataType.simpleString() and "variant" not in plain.df.schema[c].dataType.simpleString()]
+    return rows.withColumns({"bucket": F.substring("spread", 1, 3), "tie": F.xxhash64(*hashed)})
+
+
+def _placed(rows: DataFrame, most_repeats: int) -> DataFrame:
+    """Sized rows with their source's numbers and where their first draw starts (before)."""
     buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     sizes = buckets.groupBy("source").agg(F.sum("n").alias("source_size"))
     goals = targets(sizes.withColumn("source", F.when(F.col("source") != "~", F.col("source"))), most_repeats)
@@ -88,7 +96,7 @@ def _placed(plain: Plain, id_col: str, text_col: str, source_col: str, most_repe
     every = Window.partitionBy()
     goals = goals.withColumns({"all_demand": F.sum("demand").over(every), "sloped": F.sum(F.col("slope") * F.col("demand")).over(every)})
     offsets = buckets.withColumn("offset", F.sum("n").over(Window.partitionBy("source").orderBy("bucket")) - F.col("n")).drop("n").join(goals, "source")
-    inside = Window.partitionBy("source", "bucket").orderBy("spread", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("source", "bucket").orderBy("spread", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("upto", F.sum("size").over(inside)).join(offsets, ["source", "bucket"])
     return rows.withColumn("before", F.col("offset") + F.col("upto") - F.col("size"))
 
@@ -115,7 +123,11 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     keep = df.columns if keep is None else keep
     plain = Plain(df)
     taken = _rounds() * F.col("size") + _rest()
-    rows = _placed(plain, id_col, text_col, source_col, most_repeats).withColumn("taken", taken)
+    rows = _sized(plain, id_col, text_col, source_col)
+    if text_col not in keep:  # texts are read once
+        held = [plain[c] for c in keep]
+        rows = Scratch(df.sparkSession, "mix").save(rows.select(*held, "size", "source", "spread", "bucket", "tie"))
+    rows = _placed(rows, most_repeats).withColumn("taken", taken)
     rows = rows.withColumn("first_position", F.when(F.col("taken") > 0, _position(F.col("before"))))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # what is not taken has no position: its MD5 spreads it over ranges
@@ -129,7 +141,7 @@ def draws(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Documents stay whole: the one that the last round cuts counts if at least half of it is taken."""
     plain = Plain(df)
-    rows = _placed(plain, id_col, text_col, source_col, most_repeats)
+    rows = _placed(_sized(plain, id_col, text_col, source_col), most_repeats)
     times = (_rounds() + (2 * _rest() >= F.col("size")).cast("long")) * (F.col("size") > 0).cast("long")
     rows = rows.withColumn("round", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(most_repeats).cast("long")))).where(F.col("round") <= times)
     rows = rows.withColumn("position", _position(F.col("before") + (F.col("round") - 1) * F.col("source_size")))
