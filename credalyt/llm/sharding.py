@@ -1,22 +1,24 @@
 """A uniform shuffle into shards of exact size by a hypergeometric communication matrix.
 
-1. Rows are dealt into logical blocks by a hash of the id.
+1. Rows are dealt into logical blocks by a hash of id, size and checksum; their number
+   grows with the rows (``block_rows`` on average, at least ``MIN_BLOCKS`` blocks).
 2. For blocks of n_p rows and shards of m_s rows a matrix of counts is drawn: block
    after block takes its n_p places from all places that are left, a multivariate
    hypergeometric draw, so every assignment of rows to places is equally likely and
-   every shard gets exactly its m_s rows.  It needs one count for each block (bounded
-   by ``blocks``) on the driver.
+   every shard gets exactly its m_s rows.  It needs one count for each block on the
+   driver; the matrix goes back as a table of one row a block.
 3. Each block is permuted (by a hash with a second seed) and cut as its row of the
    matrix says; the rows travel to their shards.
 4. Each shard is permuted again (third seed); ``slot`` is a row's place in it.
 
-A shard is never sorted in one task: its rows are dealt into ``buckets`` ranges of the
-third hash, and places are offsets of ranges plus ranks inside them.
+A shard is never sorted in one task: its rows are dealt into ranges of the third hash,
+as many as ``block_rows`` asks for, and places are offsets of ranges plus ranks inside them.
 
 Law ``rows``: counts of shards are at most one apart.  Given the same rows and seed the
 result is the same on every cluster; rows that are equal in id, length and checksum are
-interchangeable.  A null text has size 8 and checksum 0, as the empty text.  With fewer
-rows than shards some shards are empty.  Extra columns pass through; where one has the
+interchangeable.  A null text has size 8 and checksum 0, as the empty text; long texts
+count whole.  Rows without id and repeated rows are dealt like others.  With fewer rows
+than shards some shards are empty, and an empty table gives an empty result.  Extra columns pass through; where one has the
 name of a result column, the result's stays.  DataFrame functions only.
 """
 
@@ -29,9 +31,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from credalyt.llm.scratch import Plain
+from credalyt.llm.scratch import Plain, Scratch
 
-SHARDS, BLOCKS, BUCKETS, SEED = 24, 256, 64, 20240
+SHARDS, SEED = 24, 20240
+#: rows of a block or a range of a shard, the least number of blocks and of ranges, and blocks whose matrix is broadcast
+BLOCK_ROWS, MIN_BLOCKS, MIN_RANGES, BROADCAST_BLOCKS = 200_000, 256, 64, 1 << 16
 RESULT = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
 
 
@@ -80,34 +84,43 @@ def _spread(seed: int) -> Column:
     return F.xxhash64("key", "size", "text_crc32", F.lit(seed))
 
 
-def shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shards: int = SHARDS, blocks: int = BLOCKS, buckets: int = BUCKETS, seed: int = SEED, keep: list[str] | None = None) -> DataFrame:
+def _power(n: int, least: int) -> int:
+    return max(least, 1 << (max(1, n) - 1).bit_length())
+
+
+def shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shards: int = SHARDS, block_rows: int = BLOCK_ROWS, seed: int = SEED, keep: list[str] | None = None) -> DataFrame:
     """``df`` (or its columns ``keep``) with size (UTF-8 bytes and 8), text_crc32, law, shard,
     slot (from 0, without gaps) and grown_shard (null: the law is not ``key``)."""
     keep = df.columns if keep is None else keep
     plain = Plain(df)
+    spark = df.sparkSession
     held = [plain[c] for c in keep]
     text = F.coalesce(F.col(plain[text_col]).cast("string"), F.lit(""))
     rows = plain.df.select(*held, F.col(plain[id_col]).cast("string").alias("key"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    if text_col not in keep:  # texts are read once
+        rows = Scratch(spark, "shards").save(rows)
+    total = rows.count()
+    blocks, ranges = _power(total // block_rows, MIN_BLOCKS), _power(total // n_shards // block_rows, MIN_RANGES)
     rows = rows.withColumn("block", F.pmod(_spread(seed), F.lit(blocks)).cast("int"))
 
-    counted = {r.block: r["count"] for r in rows.groupBy("block").count().collect()}  # at most ``blocks`` numbers
+    counted = {r.block: r["count"] for r in rows.groupBy("block").count().collect()}  # one number for each block
     n = [counted.get(b, 0) for b in range(blocks)]
-    total = sum(n)
     wanted = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
     ends = []
     for row in communication_matrix(n, wanted, seed):
         at = 0
-        ends.append([at := at + x for x in row])
-    literal = F.array(*[F.array(*[F.lit(x).cast("long") for x in e]) for e in ends])
+        ends.append(",".join(str(at := at + x) for x in row))
+    matrix = spark.range(1).select(F.posexplode(F.split(F.lit(";".join(ends)), ";")).alias("block", "ends")).select("block", F.split("ends", ",").cast("array<bigint>").alias("cuts"))
+    matrix = F.broadcast(matrix) if blocks <= BROADCAST_BLOCKS else matrix
     local = Window.partitionBy("block").orderBy(_spread(seed + 1), "key", "size", "text_crc32")
-    sent = rows.withColumn("rank", F.row_number().over(local)).withColumn("cuts", F.element_at(literal, F.col("block") + 1))
+    sent = rows.withColumn("rank", F.row_number().over(local)).join(matrix, "block")
     sent = sent.withColumn("shard", F.size(F.filter("cuts", lambda c: c < F.col("rank"))).cast("int")).drop("cuts", "rank", "block")
 
     sent = sent.withColumn("mix", _spread(seed + 2))
-    sent = sent.withColumn("bucket", F.shiftrightunsigned("mix", 64 - int(math.log2(buckets))).cast("int"))
-    sizes = sent.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
-    offsets = sizes.withColumn("offset", F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).drop("n")
-    final = Window.partitionBy("shard", "bucket").orderBy(F.shiftrightunsigned("mix", 1), "mix", "key", "size", "text_crc32")
-    placed = sent.withColumn("place", F.row_number().over(final)).join(offsets, ["shard", "bucket"])
+    sent = sent.withColumn("range", F.shiftrightunsigned("mix", 64 - int(math.log2(ranges))).cast("int"))
+    sizes = sent.groupBy("shard", "range").agg(F.count("*").alias("n"))
+    offsets = sizes.withColumn("offset", F.sum("n").over(Window.partitionBy("shard").orderBy("range")) - F.col("n")).drop("n")
+    final = Window.partitionBy("shard", "range").orderBy(F.shiftrightunsigned("mix", 1), "mix", "key", "size", "text_crc32")
+    placed = sent.withColumn("place", F.row_number().over(final)).join(offsets, ["shard", "range"])
     out = placed.withColumns({"slot": (F.col("offset") + F.col("place") - 1).cast("long"), "law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
     return plain.back(out, keep, RESULT)
