@@ -13,7 +13,9 @@ and sends n-gram sums, which are added up by n-gram.  What reaches the driver is
 
 A text that is null or has no letter is ``und`` with score 0; without any learned
 language every text is.  Documents whose lang is null are not learned from, only
-predicted.  Rows keep their number; extra columns pass through.
+predicted.  Very long texts are counted whole, in pieces between words.  Repeated rows get
+the same prediction each, and an empty table gives an empty result.  Extra columns pass
+through; where one has the name of a result column, the result's stays.
 """
 
 from __future__ import annotations
@@ -70,19 +72,49 @@ def gram_text(code: int) -> str:
     return "".join(chr(c) for c in (code >> 42, code >> 21 & 0x1FFFFF, code & 0x1FFFFF) if c)
 
 
+def _cut(text: str) -> Iterator[str]:
+    """A text in pieces of about PIECE characters; no word is cut."""
+    at = 0
+    while len(text) - at > PIECE:
+        end = at + PIECE
+        while end > at and text[end - 1].isalpha():
+            end -= 1
+        if end == at:  # one word is longer than a piece
+            end = at + PIECE
+            while end < len(text) and text[end].isalpha():
+                end += 1
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
 def _pieces(texts: Iterator[str]) -> Iterator[str]:
-    """Texts, joined by spaces, in pieces of about PIECE characters; no word is cut."""
+    """Texts, cut or joined by spaces to pieces of about PIECE characters."""
     held, size = [], 0
     for t in texts:
-        held.append(t)
-        size += len(t)
-        if size > PIECE:
-            yield " ".join(held)
-            held, size = [], 0
+        for piece in _cut(t):
+            held.append(piece)
+            size += len(piece)
+            if size > PIECE:
+                yield " ".join(held)
+                held, size = [], 0
     if held:
         yield " ".join(held)
 
 
+def counted(texts: Iterator[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """N-grams of all texts and their counts, summed; sums go out early where they are many."""
+    codes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+    for piece in _pieces(texts):
+        c, n = grams(piece)
+        codes, at = np.unique(np.concatenate([codes, c]), return_inverse=True)
+        counts = np.bincount(at, np.concatenate([counts, n]), len(codes)).astype(np.int64)
+        if len(codes) > FLUSH:
+            yield codes, counts
+            codes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+    yield codes, counts
+
+
 def _sums(text: str, lang: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,15 +122,8 @@ def _sums(text: str, lang: str):
             for t, name in zip(batch.column(batch.schema.get_field_index(text)).to_pylist(), batch.column(batch.schema.get_field_index(lang)).to_pylist()):
                 of_lang.setdefault(name, []).append(t)
             for name, texts in of_lang.items():
-                codes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-                for piece in _pieces(iter(texts)):
-                    c, n = grams(piece)
-                    codes, at = np.unique(np.concatenate([codes, c]), return_inverse=True)
-                    counts = np.bincount(at, np.concatenate([counts, n]), len(codes)).astype(np.int64)
-                    if len(codes) > FLUSH:
-                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes), pa.array(counts)], names=["lang", "gram", "n"])
-                        codes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes), pa.array(counts)], names=["lang", "gram", "n"])
+                for codes, counts in counted(iter(texts)):
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes), pa.array(counts)], names=["lang", "gram", "n"])
 
     return run
 
@@ -127,7 +152,7 @@ class Ranker:
             self.rank[np.searchsorted(self.codes, known[name]), k] = np.arange(len(known[name]))
 
     def of(self, text: str | None) -> tuple[str, float]:
-        codes, counts = grams(text or "")
+        codes, counts = grams(text or "") if len(text or "") <= PIECE else self._long(text or "")
         if not len(codes) or not self.names:
             return "und", 0.0
         codes = codes[np.argsort(-counts, kind="stable")[: self.size]]
@@ -139,6 +164,13 @@ class Ranker:
         return self.names[best], 1 - float(distance[best]) / (self.size * len(codes))
 
 
+    def _long(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """N-grams of a long text, piece by piece: memory follows its different n-grams."""
+        sums = list(counted(iter([text])))
+        codes, at = np.unique(np.concatenate([c for c, _ in sums]), return_inverse=True)
+        return codes, np.bincount(at, np.concatenate([n for _, n in sums]), len(codes)).astype(np.int64)
+
+
 def predicted(df: DataFrame, known: dict[str, list[int]], text_col: str = "text", keep: list[str] | None = None, size: int = SIZE) -> DataFrame:
     """``df`` (or its columns ``keep``) with lang_pred and score."""
     keep = df.columns if keep is None else keep

@@ -120,15 +120,17 @@ def test_suffix_dedup(spark, docs, plain):
     assert any(w[2] for w in want)
 
 
-@pytest.mark.parametrize("min_lines", [1, 2, 3])
+@pytest.mark.parametrize("min_lines", [1, 2, 3, 5])
 def test_line_dedup(spark, min_lines):
+    """Deleted lines, runs and texts against plain Python: odd blanks, null and shared ids, repeated rows, clashing names."""
     rng = random.Random(min_lines)
-    pool = ["", " ", "short", "l" * 60, *[f"line {i}" for i in range(9)]]
-    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(12)))) for i in range(40)] + [(40, None), (41, "\n\n")]
-    lines = {d: [(i, x.strip(" ")) for i, x in enumerate((t or "").split("\n")) if x.strip(" ")] for d, t in rows}
-    seen, want = [set(), set()], {}
-    for d, t in rows:
-        q, gone = lines[d], set()
+    pool = ["", " ", "\t\r", "short", "short \r", "l" * 60, *[f"line {i}" for i in range(9)]]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(12)))) for i in range(40)] + [(40, None), (41, "\n\n"), (42, "a\n" * 30 + "b"), (43, "b\n" + "a\n" * 20), (41, "line 1\nline 2\nline 3\nline 4\nline 5"), (None, "line 2\nline 3\nline 4\nline 5"), (None, None), (44, rows_text := "x\ny\nz\nx\ny\nq"), (44, rows_text)]
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5((r[1] or "").encode()).hexdigest()))
+    seen, want = [set(), set()], []
+    for d, t in order:
+        q = [(i, x.strip(" \t\r\v\f")) for i, x in enumerate((t or "").split("\n"))]
+        q, gone = [x for x in q if x[1]], set()
         for j in range(len(q)):
             g = tuple(x for _, x in q[j : j + min_lines])
             if len(g) == min_lines:
@@ -138,25 +140,76 @@ def test_line_dedup(spark, min_lines):
             if len(q[j][1]) >= 50 and q[j][1] in seen[1]:
                 gone.add(j)
             seen[1].add(q[j][1])
-        cut = {i for j in gone for i in range(q[j][0], (q[j + 1][0] if j + 1 in gone else q[j][0]) + (j + 1 not in gone))}
-        cut |= {i for j in gone if j + 1 in gone for i in range(q[j][0], q[j + 1][0])}
-        want[d] = (len(q), len(gone), "\n".join(x for i, x in enumerate((t or "").split("\n")) if i not in cut))
-    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_text) for r in linededup.without_copies(spark.createDataFrame(rows, "doc_id long, text string"), min_lines=min_lines).collect()}
-    assert got == want
+        runs = [j for j in gone if j - 1 not in gone]
+        longest = max((next(k for k in range(len(q) + 1) if j + k not in gone) for j in runs), default=0)
+        cut = {i for j in gone for i in range(q[j][0], (q[j + 1][0] if j + 1 in gone else q[j][0]) + 1)}
+        want.append((str(d), len(q), len(gone), len(runs), longest, "\n".join(x for i, x in enumerate((t or "").split("\n")) if i not in cut)))
+    df = spark.createDataFrame([(*r, "mine") for r in rows], "doc_id long, text string, n_runs string").repartition(3)
+    found = linededup.without_copies(df, min_lines=min_lines)
+    assert found.columns == ["doc_id", "text", *linededup.RESULT]
+    assert sorted((str(r.doc_id), r.n_lines, r.n_removed, r.n_runs, r.longest_run, r.kept_text) for r in found.collect()) == sorted(want)
+
+
+def test_line_runs(spark, monkeypatch):
+    """Maximal runs: their sources and lengths; classes with many places are joined alike."""
+    from credalyt.llm.scratch import Scratch
+
+    rng = random.Random(4)
+    texts = ["\n".join(f"n{rng.randrange(3)}" for _ in range(40)) for _ in range(6)] + ["\n".join(f"u{i}" for i in range(50)), "\n".join(["v", *(f"u{i}" for i in range(7, 44)), "w"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    got = []
+    for hot in (1000, 1):
+        monkeypatch.setattr(linededup, "HOT_PLACES", hot)
+        scratch = Scratch(spark, "test")
+        levels = linededup.line_classes(docs, "text", 8, scratch, 2)
+        got.append(sorted(tuple(r) for r in linededup.maximal_runs(levels, 8, scratch, 2).collect()))
+    assert got[0] == got[1]
+    lines = [(k << 8 | j, t.split("\n")[j:]) for k, t in enumerate(texts) for j in range(len(t.split("\n")))]
+    share = lambda x, y: next((i for i, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
+    best = {}
+    for n, (p, x) in enumerate(lines):
+        lcp = [(share(x, y), q) for q, y in lines[:n]]
+        level = max((1 << k for k in range(1, 7) if any(s >= 1 << k for s, _ in lcp)), default=0)
+        if level:
+            best[p] = next((q, s) for s, q in lcp if s >= level)
+    assert got[0] == sorted((p, q, s) for p, (q, s) in best.items() if best.get(p - 1, (None,))[0] != q - 1)
+    assert (7 << 8 | 1, 6 << 8 | 7, 37) in got[0]
+
+
+def test_line_dedup_sql(spark, data):
+    same(catalog.op4_line_dedup(spark, data), data, catalog.OP4_SQL)
 
 
 def test_decontamination_sql(spark, data):
     same(catalog.op1_decontaminate(spark, data), data, catalog.OP1_SQL)
 
 
-def test_decontamination_blocks(spark, docs):
-    items = spark.createDataFrame([(1, "W1 w2"), (2, None), (3, ""), (None, "w1"), (4, "w3"), (5, "no such words at all"), (1, "w5 w6")], "item_id int, text string")
-    one = sorted(map(str, decontaminate.contamination(docs, items, keep=["doc_id"]).collect()))
-    many = sorted(map(str, decontaminate.contamination(docs, items, keep=["doc_id"], block_bytes=20).collect()))
-    assert one == many
-    left = decontaminate.decontaminated(docs.withColumn("n_words", F.lit("mine")), items)
+def test_decontamination_blocks(spark, docs, plain):
+    rng = random.Random(9)
+    items = [(1, "W1 w2"), (2, None), (3, ""), (None, "w1"), (4, "w3"), (5, "no such words at all"), (1, "w5 w6"), (6, " ".join(plain[5][1].split()[20:60])), (7, words(rng, 13)), (None, "ä你好")]
+    df = spark.createDataFrame(items, "item_id int, text string")
+    split = lambda t: re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+    want = []
+    for d, t, _ in plain:
+        w, hit, ids = split(t), set(), set()
+        for i, x in items:
+            v = split(x)
+            for k in range(max(1, len(v) - 12) if v else 0):
+                g = v[k : k + 13]
+                for a in range(len(w) - len(g) + 1):
+                    if w[a : a + len(g)] == g:
+                        hit |= set(range(a, a + len(g)))
+                        ids |= {str(i)} - {"None"}
+        want.append((str(d), len(w), len(hit), sorted(ids)))
+    for size in (decontaminate.BLOCK_WINDOWS, 4):
+        found = decontaminate.contamination(docs, df, keep=["doc_id"], block_windows=size)
+        assert sorted((str(r.doc_id), r.n_words, sum(x.end - x.start for x in r.hit_spans), r.item_ids) for r in found.collect()) == sorted(want)
+    left = decontaminate.decontaminated(docs.withColumn("n_words", F.lit("mine")), df)
     assert left.columns == [*docs.columns, "n_words"] and {r.n_words for r in left.collect()} == {"mine"}
-    assert decontaminate.contamination(docs, items.where("false")).where(decontaminate.contaminated()).count() == 0
+    assert decontaminate.contamination(docs, df.where("false")).where(decontaminate.contaminated()).count() == 0
+    assert decontaminate.contamination(docs.where("false"), df).count() == 0
+    long = spark.createDataFrame([(1, "x " * 600_000 + "no such words at all")], "doc_id long, text string")
+    assert [(r.n_words, [tuple(x) for x in r.hit_spans]) for r in decontaminate.contamination(long, df).collect()] == [(600_005, [(600_000, 600_005)])]
 
 
 def test_mixing_sql(spark, data):
@@ -176,13 +229,55 @@ def test_mixing_targets(spark, docs):
     assert mixing.draws(docs).columns == docs.columns
 
 
+def test_mixing_reruns(spark):
+    """Rows without id or of one id, all of one size, in two orders: each text is taken alike."""
+    rng = random.Random(6)
+    rows = [(None if i % 2 else 7, words(rng, 10), "a" if i % 3 else None, i) for i in range(400)]
+    rows += [(8, "same text", "a", i) for i in range(9)]
+    got = []
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame(rows, SCHEMA + ", size long").repartition(5)
+        got.append(sorted((r.doc_id is None, r.text, r.taken, r.first_position or -1) for r in mixing.mix(df).collect()))
+        got.append(sorted(map(str, mixing.mix(df.withColumnRenamed("size", "n"), keep=["n"]).collect())))
+        got.append(sorted(r.text for r in mixing.draws(df).collect()))
+    assert got[:3] == got[3:]
+    assert len({x[2] for x in got[0]}) > 1
+
+
 def test_sharding(spark, docs):
     rows = sharding.shards(docs.withColumn("shard", F.lit("old")), n_shards=5, keep=["doc_id", "shard"]).collect()
     sizes = sorted(sum(r.shard == s for r in rows) for s in range(5))
     assert sum(sizes) == docs.count() and sizes[-1] - sizes[0] <= 1
     for s in range(5):
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
-    assert {r.text_crc32 for r in rows if r.doc_id == 50} == {0}
+    plain = sorted(((str(r.doc_id), len((r.text or "").encode()) + 8, binascii.crc32((r.text or "").encode())) for r in docs.collect()))
+    assert sorted((str(r.doc_id), r.size, r.text_crc32) for r in rows) == plain
+    whole = sharding.shards(docs, n_shards=5).collect()
+    assert sorted((str(r.doc_id), r.size, r.shard, r.slot) for r in whole) == sorted((str(r.doc_id), r.size, r.shard, r.slot) for r in rows)
+    long = docs.limit(1).select(F.lit(None).cast("long").alias("doc_id"), F.repeat(F.lit("é"), 3_000_000).alias("text"), "source")
+    many = sharding.shards(long.unionByName(long).unionByName(docs), n_shards=3, block_rows=1).collect()
+    assert [r.size for r in many if r.size > 10**6] == [6_000_008] * 2 and len({(r.shard, r.slot) for r in many}) == len(many) == docs.count() + 2
+
+
+def test_sharding_brute_force(spark):
+    """Shard and slot of every row against plain Python that draws from the same matrix."""
+    rows = [(i, f"text {i % 37}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spread = {s: {r.doc_id: r.h for r in df.select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), (F.octet_length("text") + 8).cast("long"), F.crc32(F.col("text").cast("binary")), F.lit(sharding.SEED + s)).alias("h")).collect()} for s in range(3)}
+    blocks = {}
+    for i, _ in rows:
+        blocks.setdefault(spread[0][i] % 256, []).append(i)
+    matrix = sharding.communication_matrix([len(blocks.get(b, ())) for b in range(256)], [60] * 5, sharding.SEED)
+    shards = {}
+    for b, own in blocks.items():
+        own.sort(key=lambda i: spread[1][i])
+        at = 0
+        for s, n in enumerate(matrix[b]):
+            shards.setdefault(s, []).extend(own[at : at + n])
+            at += n
+    want = {i: (s, k) for s, own in shards.items() for k, i in enumerate(sorted(own, key=lambda i: spread[2][i] % (1 << 64)))}
+    assert {r.doc_id: (r.shard, r.slot) for r in sharding.shards(df, n_shards=5).collect()} == want
 
 
 def test_hypergeometric_law():
@@ -207,6 +302,48 @@ def test_language(spark, data):
     assert {r.lang_pred for r in langid.predicted(odd, {}).collect()} == {"und"}
 
 
+def test_language_brute_force(spark, monkeypatch):
+    """Profiles, distances and predictions against plain Python, also of texts that are cut into pieces."""
+    rng = random.Random(11)
+    letters = {"aa": "abcdeé", "bb": "abxyzß", "cc": "你好吗abΣ"}
+    text = lambda k, n: " ".join("".join(rng.choice(letters[k]) for _ in range(rng.randint(1, 6))) for _ in range(n))
+    rows = [(text(k, rng.randint(1, 60)), k) for k in letters for _ in range(20)] + [("", "aa"), (None, "bb"), ("x1y_z", None)]
+
+    def count(t):
+        out = {}
+        for word in re.findall(r"[^\W\d_]+", t.lower()):
+            for n in (1, 2, 3):
+                m = f"_{word}_"
+                for i in range(len(m) - n + 1):
+                    if m[i : i + n].strip("_"):
+                        out[m[i : i + n]] = out.get(m[i : i + n], 0) + 1
+        return out
+
+    def top(c):
+        return sorted(c, key=lambda g: (-c[g], [ord(x) for x in g]))[:25]
+
+    known = {k: top(count(" ".join(t or "" for t, n in rows if n == k))) for k in letters}
+    asked = [*(t for t, _ in rows), text("aa", 500) + " " + text("bb", 400), "é" * 40]
+    want = []
+    for t in asked:
+        own = top(count(t or ""))
+        if not own:
+            want.append(("und", 0.0))
+            continue
+        far = {k: sum(abs(i - p.index(g)) if g in p else 25 for i, g in enumerate(own)) for k, p in known.items()}
+        best = min(far, key=lambda k: (far[k], k))
+        want.append((best, 1 - far[best] / (25 * len(own))))
+    for piece in (langid.PIECE, 16):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        found = langid.profiles(spark.createDataFrame(rows, "text string, lang string"), size=25)
+        assert {k: [langid.gram_text(g) for g in p] for k, p in found.items()} == known
+        ranker = langid.Ranker(found, 25)
+        assert [ranker.of(t) for t in asked] == [(k, pytest.approx(x)) for k, x in want]
+    out = langid.predicted(spark.createDataFrame([(t, i, 1.5) for i, t in enumerate(asked)] * 2, "text string, lang_pred long, score double"), found, size=25)
+    assert out.columns == ["text", "lang_pred", "score"] and sorted(r.lang_pred for r in out.collect()) == sorted(k for k, _ in want * 2)
+    assert langid.predicted(out.where("false"), found).count() == 0
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     rows = []
@@ -306,6 +443,57 @@ def test_similar_short_texts(spark):
     assert _left(spark, texts) == want
 
 
+def test_toxicity_exclusive_or():
+    """Two terms of which neither tells alone: one without the other is the label."""
+    rng = np.random.default_rng(16)
+    n = 3000
+    rude, folk = rng.random(n) < 0.5, rng.random(n) < 0.5
+    y = (rude ^ folk).astype(float)
+    rows = [np.unique(np.concatenate([10 + rng.integers(0, 400, 30), [1] * a, [2] * b])).astype(np.int64) for a, b in zip(rude.tolist(), folk.tolist())]
+    slots, offs = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    cut = 2000
+    machine = toxicity.fit(slots[: offs[cut]], offs[: cut + 1], y[:cut], np.ones(cut), bits=10)
+    assert (machine.v[1] != 0).all() and (machine.v[2] != 0).all()
+    said = machine.score(slots[offs[cut] :], offs[cut:] - offs[cut]) >= 0.5
+    assert (said == y[cut:]).mean() > 0.97
+
+
+def test_toxicity_brute_force(monkeypatch):
+    """Terms, margin and one step of learning against plain Python."""
+    texts = ["Ärger über DICH, dummkopf dummkopf!", "", "x", "né café"]
+    slots, offs = toxicity.terms(*utf8(pa.array(texts)))
+    for i, t in enumerate(texts):
+        w = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower()))
+        stems = {(k, x.encode()[:k]) for x in w for k in (4, 5, 6, 7) if len(x.encode()) > k}
+        assert offs[i + 1] - offs[i] == len(w) + len(stems)
+    rng = np.random.default_rng(1)
+    m = toxicity.Machine(0.3, rng.normal(size=16), rng.normal(size=(16, 3)))
+    slots, offs = np.array([1, 4, 7, 2, 15]), np.array([0, 3, 3, 5])
+    for i in range(3):
+        own = slots[offs[i] : offs[i + 1]]
+        want = 0.3 + sum(m.w[k] for k in own) + sum(float(m.v[a] @ m.v[b]) for x, a in enumerate(own) for b in own[:x])
+        assert m.margin(slots, offs)[i] == pytest.approx(want)
+    monkeypatch.setattr(toxicity, "CHANCE", 0.0)
+    y, weight = np.array([1.0, 0.0, 0.0]), np.array([0.5, 0.25, 0.25])
+    got = toxicity.fit(slots, offs, y, weight, bits=4, rounds=1, least_rows=1, l1=0.0, l2=0.0, factors=2)
+    p = 1 / (1 + np.exp(-np.log(0.5 / 0.5)))
+    g = {k: sum(w * (p - t) for i, (t, w) in enumerate(zip(y, weight)) if k in slots[offs[i] : offs[i + 1]]) for k in set(slots.tolist())}
+    first = {k: -x / np.sqrt(x * x + 1e-8) for k, x in g.items()}  # AdaGrad, the linear step; the second step moves on from it
+    assert all(np.sign(got.w[k]) == np.sign(v) for k, v in first.items()) and got.bias != 0
+    row = np.repeat(np.arange(3), np.diff(offs))
+    names, at = np.unique(slots, return_inverse=True)
+    e = np.array([0.5, -1.0, 2.0])
+    ratio = toxicity.in_pairs(at, row, e, len(names), 3)
+    both = np.zeros((5, 5))
+    for i in range(3):
+        for a in at[offs[i] : offs[i + 1]]:
+            for b in at[offs[i] : offs[i + 1]]:
+                both[a, b] += e[i] * (a != b)
+    plain = (both**2).sum(1) / np.array([e[i] ** 2 * (offs[i + 1] - offs[i] - 1) for i in row[np.argsort(at)]])
+    usual = np.array([np.mean([plain[b] for b in at[offs[i] : offs[i + 1]]]) for i in row[np.argsort(at)]])
+    assert ratio == pytest.approx(plain / np.maximum(usual, 1), rel=1.0)
+
+
 def test_toxicity_rare_label():
     """Insults of one text in twenty of a label of one in a hundred are learned."""
     rng = np.random.default_rng(15)
