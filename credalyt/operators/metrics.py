@@ -1,14 +1,15 @@
 """Classification metrics, curves, repeats and tests as aggregates and windows.
 
 Curves first reduce rows to one for each distinct score (map-side combined); running sums
-then go over score groups, so a window never holds all rows.
+then go over stretches of scores, so a window never holds all of them.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from credalyt.operators.ordered import running
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -55,10 +56,9 @@ def _by_score(rows: DataFrame, y: str, score: str) -> DataFrame:
 
 def curve(rows: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     """(score, pos, neg, tp, fp, p, n): totals at and above each distinct score."""
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     g = _by_score(rows, y, score)
     total = g.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    return g.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down)}).crossJoin(F.broadcast(total))
+    return running(g, "score", {"tp": "pos", "fp": "neg"}, descending=True).crossJoin(F.broadcast(total))  # one row
 
 
 def roc_curve(rows: DataFrame, y: str = "y", score: str = "score") -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from credalyt.operators.ordered import ranked
+
 
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
@@ -103,7 +105,7 @@ def label_encode(df: DataFrame, columns: list[str], fit_on: DataFrame | None = N
     out = df
     for c in columns:
         values = (df if fit_on is None else fit_on).select(F.col(c).cast("string").alias(f"v_{c}")).where(f"v_{c} is not null").distinct()
-        codes = values.withColumn(f"code_{c}", F.row_number().over(Window.orderBy(f"v_{c}")) - 1)
+        codes = ranked(values, f"v_{c}", f"code_{c}").withColumn(f"code_{c}", (F.col(f"code_{c}") - 1).cast("int"))
         out = out.join(codes, out[c].cast("string") == F.col(f"v_{c}"), "left").drop(c, f"v_{c}").withColumnRenamed(f"code_{c}", c)
     return out.select(*df.columns)
 
@@ -149,9 +151,7 @@ def sample_rows(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame
 def positional_split(df: DataFrame, order: str, share: float = 0.7) -> DataFrame:
     """``df`` with ``in_train``: the first floor(n * share) rows in the order of a unique column."""
     total = df.agg(F.count("*").alias("_n"))
-    cut = df.select(order).orderBy(order)
-    rank = cut.withColumn("_r", F.row_number().over(Window.orderBy(order)))
-    return df.join(rank, order).crossJoin(F.broadcast(total)).select(*df.columns, (F.col("_r") <= F.floor(F.col("_n") * F.lit(share))).alias("in_train"))
+    return ranked(df, order, "_r").crossJoin(F.broadcast(total)).select(*df.columns, (F.col("_r") <= F.floor(F.col("_n") * F.lit(share))).alias("in_train"))
 
 
 def minority_neighbours(df: DataFrame, id_col: str, vector_col: str, k: int = 5) -> DataFrame:
@@ -181,7 +181,7 @@ def oversample(minority: DataFrame, n_new: int, id_col: str, vector_col: str, k:
     n = rows.count()
     if not n or n_new <= 0:
         return rows.select(F.lit(0).cast("long").alias("new_id"), "base", F.lit(0).cast("long").alias("neighbour"), F.lit(0.0).alias("lambda"), F.col("v").cast("array<double>").alias("vector")).where("false")
-    order = rows.withColumn("place", F.row_number().over(Window.orderBy("base")) - 1)
+    order = ranked(rows, "base", "place").withColumn("place", F.col("place") - 1)
     times = order.withColumn("copies", F.floor((n_new - F.col("place") + n - 1) / n).cast("int")).where("copies > 0")
     new = times.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).withColumn("new_id", (F.col("c") * n + F.col("place")).cast("long"))
     new = new.withColumns({"rank": (F.floor(uniform(seed, "new_id") * min(k, max(n - 1, 1))) + 1).cast("int"), "lambda": uniform(seed + 1, "new_id")})

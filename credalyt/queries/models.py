@@ -66,13 +66,19 @@ def mlp_scores(spark: SparkSession, d: str) -> DataFrame:
     return _scores(spark, d, "mlp", layers=[64, 16, 2], maxIter=20)
 
 
-@query
+_UNIFORM = "(('0x' || substr(md5('{0}|' || c_custkey), 1, 8))::BIGINT)::DOUBLE / 4294967296"
+
+
+@query(oracle=f"""
+WITH u AS (SELECT c_custkey, {_UNIFORM.format(42)} AS u, {_UNIFORM.format(43)} AS v FROM customer),
+s AS (SELECT c_custkey, least(greatest(0.3::DOUBLE + 0.4::DOUBLE * u + 0.1::DOUBLE * (sqrt(-2.0::DOUBLE * ln(greatest(u, 1e-12::DOUBLE))) * cos(6.283185307179586::DOUBLE * v)), 0.0::DOUBLE), 1.0::DOUBLE) AS score FROM u)
+SELECT c_custkey, round(score, 9) AS score, CAST(score > 0.5 AS INT) AS label FROM s""")
 def mock_scores(spark: SparkSession, d: str) -> DataFrame:
     """The reproducible stand-in for a model."""
-    return table(spark, d, "customer").select("c_custkey", udf.mock_prediction("c_custkey").alias("p")).select("c_custkey", "p.*")
+    return table(spark, d, "customer").select("c_custkey", udf.mock_prediction("c_custkey").alias("p")).select("c_custkey", F.round("p.score", 9).alias("score"), "p.label")
 
 
-@query
+@query(oracle="SELECT conv_id, turn, md5(lower(regexp_replace(left(text, 8000), '^[\\s\\x{0B}\\x{85}\\p{Z}]+|[\\s\\x{0B}\\x{85}\\p{Z}]+$', '', 'g'))) AS cache_key, 64 AS dim FROM conversations")
 def udf_embed(spark: SparkSession, d: str) -> DataFrame:
     """Embeddings of conversations by the stand-in, through a cache."""
     c = table(spark, d, "conversations").select("conv_id", "turn", "text")
@@ -80,7 +86,11 @@ def udf_embed(spark: SparkSession, d: str) -> DataFrame:
     return udf.embed_with_cache(c, cache, udf.HashingEmbedder()).select("conv_id", "turn", "cache_key", F.size("embedding").alias("dim"))
 
 
-@query
+@query(oracle="""
+WITH m AS (SELECT conv_id, turn, text, (('0x' || substr(md5(text), 1, 8))::BIGINT) % 101 AS n FROM conversations),
+a AS (SELECT *, '风险等级：' || CASE WHEN n <= 30 THEN '低风险' WHEN n <= 70 THEN '中风险' ELSE '高风险' END || chr(10) || '风险评分：' || n || '分' || chr(10) || '风险因素：' || chr(10) || '1. 收入：收入不稳定' || chr(10) || '有利因素：' || chr(10) || '1. 储蓄：有储蓄' || chr(10)
+  || '审批建议：' || CASE WHEN n <= 30 THEN '批准' WHEN n <= 70 THEN '人工复核' ELSE '拒绝' END || chr(10) || '知识来源：[1] 风险案例' AS answer FROM m)
+SELECT conv_id, turn, answer AS text, CAST(length(text) // 4 AS BIGINT) AS input_tokens, CAST(length(answer) // 4 AS BIGINT) AS output_tokens, CAST(NULL AS VARCHAR) AS error FROM a""")
 def udf_generate(spark: SparkSession, d: str) -> DataFrame:
     """Answers of the stand-in."""
     return table(spark, d, "conversations").select("conv_id", "turn", udf.generate(F.col("text"), udf.EchoGenerator()).alias("a")).select("conv_id", "turn", "a.*")
@@ -145,7 +155,7 @@ def text_classifier(spark: SparkSession, d: str) -> DataFrame:
     return ml.predict(model, parts.where("in_test"), "features").select("doc_id", "label", F.round("score", 6).alias("score"), "pred")
 
 
-@query
+@query(oracle="""SELECT item_id, round(1.0::DOUBLE / (1.0::DOUBLE + exp(-len(list_intersect(list_distinct(string_split_regex(text, '\\s+')), ['the', 'of', 'and']))::DOUBLE)), 6) AS score FROM benchmark""")
 def rerank_udf(spark: SparkSession, d: str) -> DataFrame:
     """Pairs scored by a stand-in for a cross-encoder."""
     pairs = table(spark, d, "benchmark").select("item_id", "text")

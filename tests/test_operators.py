@@ -160,3 +160,40 @@ def test_knowledge_is_whole(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     got = {r.id: r.content for r in knowledge(spark, data).select("id", "content").collect()}
     assert got == {r.doc_id: r.text for r in docs.collect()}
+
+
+def test_running_over_stretches(spark):
+    from credalyt.operators.ordered import ranked, running
+
+    rng = random.Random(2)
+    rows = [(i, rng.choice([None, rng.random(), 0.5]), rng.randrange(9)) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, score double, n long").groupBy("score").agg(F.sum("n").alias("n")).repartition(5)
+    plain = sorted(((r.score, r.n) for r in df.collect()), key=lambda x: (x[0] is None, -(x[0] or 0)))
+    total, want = 0, {}
+    for score, n in plain:
+        total += n
+        want[score] = total
+    assert {r.score: r.t for r in running(df, "score", {"t": "n"}, descending=True).collect()} == want
+    names = spark.createDataFrame([(f"{chr(97 + i % 26)}{i}",) for i in range(300)], "v string")
+    got = {r.v: r.k for r in ranked(names, "v", "k").collect()}
+    assert [v for v, _ in sorted(got.items(), key=lambda x: x[1])] == sorted(got) and sorted(got.values()) == list(range(1, 301))
+    assert ranked(names.where("false"), "v").count() == 0
+
+
+def test_failed_embeddings_are_null(spark):
+    def client(texts):
+        if any("bad" in t for t in texts):
+            raise ValueError("no")
+        return [[float(len(t))] for t in texts]
+
+    rows = spark.createDataFrame([("a",), ("bad",), ("ccc",), (None,)], "t string").coalesce(1)
+    assert {r.t: r.e for r in rows.select("t", udf.embed(F.col("t"), client).alias("e")).collect()} == {"a": [1.0], "bad": None, "ccc": [3.0], None: [0.0]}
+
+
+def test_nothing_is_overwritten(spark, tmp_path):
+    path = str(tmp_path / "table")
+    (tmp_path / "table").mkdir()
+    (tmp_path / "table" / "part.parquet").write_text("half written")
+    with pytest.raises(Exception):
+        tables.scan_or_build(spark, path, lambda: spark.range(1)).count()
+    assert (tmp_path / "table" / "part.parquet").read_text() == "half written"
