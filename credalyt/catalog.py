@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("retrieval", "prep", "evaluation", "texts", "operations", "models", "answers", "storage")
+MODULES = ("retrieval", "prep", "evaluation", "texts", "operations", "models", "answers", "storage", "stored")
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _name in MODULES:
