@@ -28,7 +28,8 @@ A document then keeps exactly the windows that are first occurrences: these list
 sent to the documents, which shuffles positions of about the size of the anchors.
 Texts are shuffled twice, to meet their lists.
 
-Nulls and empty texts have no bytes.  Documents whose id is null come first; rows that
+Nulls and empty texts have no bytes; a text longer than a chunk is a chunk of its own, and
+an empty table gives an empty result.  Documents whose id is null come first; rows that
 share an id are ordered by their texts, and equal rows follow each other (such tables
 are renumbered first).  Other columns are not read.
 """
@@ -264,20 +265,22 @@ def repeated_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = docs.select("key", text)
 
     family = IndexFamily(scratch)
-    cuts = docs.stat.approxQuantile("key", [i / batches for i in range(1, batches)], 0.01)
-    cuts = sorted({int(c) for c in cuts or []})
-    for lo, hi in zip([None, *cuts], [*cuts, None]):
-        batch = texts if lo is None else texts.where(F.col("key") > lo)
-        batch = batch if hi is None else batch.where(F.col("key") <= hi)
-        family.add(batch.mapInArrow(_suffixes("key", text, bits), "gram long, run long, pos long"))
-
-    firsts = family.firsts()
-    several = firsts.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    flagged = firsts.join(several.withColumn("shared", F.lit(1)), "gram", "left")
-    place = F.col("pos").bitwiseAND((1 << bits) - 1).cast("int")
-    lists = flagged.select(F.shiftright("pos", bits).alias("key"), place.alias("x"), "shared").groupBy("key").agg(F.collect_list("x").alias("firsts"), F.collect_list(F.when(F.col("shared") == 1, F.col("x"))).alias("shared"))
-    lists = scratch.save(lists)
-    family.close()
+    try:
+        cuts = docs.stat.approxQuantile("key", [i / batches for i in range(1, batches)], 0.01)
+        cuts = sorted({int(c) for c in cuts or []})
+        for lo, hi in zip([None, *cuts], [*cuts, None]):
+            batch = texts if lo is None else texts.where(F.col("key") > lo)
+            batch = batch if hi is None else batch.where(F.col("key") <= hi)
+            family.add(batch.mapInArrow(_suffixes("key", text, bits), "gram long, run long, pos long"))
+
+        firsts = family.firsts()
+        several = firsts.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+        flagged = firsts.join(several.withColumn("shared", F.lit(1)), "gram", "left")
+        place = F.col("pos").bitwiseAND((1 << bits) - 1).cast("int")
+        lists = flagged.select(F.shiftright("pos", bits).alias("key"), place.alias("x"), "shared").groupBy("key").agg(F.collect_list("x").alias("firsts"), F.collect_list(F.when(F.col("shared") == 1, F.col("x"))).alias("shared"))
+        lists = scratch.save(lists)
+    finally:
+        family.close()  # its tables are in the catalog
 
     near = texts.join(lists.where(F.size("shared") > 0).select("key", "shared").hint("shuffle_hash"), "key")
     windows = near.mapInArrow(_windows("key", text, bits), "gram long, run long, pos long")

@@ -1,11 +1,16 @@
 """URL lists, vectors and the pipeline."""
 
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from credalyt.llm import ann, catalog, simhash, urlfilter
-from tests.compare import same
+from credalyt.llm import ann, catalog, mixing, simhash, toxicity, urlfilter
+from credalyt.llm.textkernel import utf8
+from tests.compare import duck, same
+from tests.llm.test_text import groups
 
 
 def test_url_filter_sql(spark, data):
@@ -85,18 +90,59 @@ def test_parts_are_balanced():
 
 
 def test_pipeline(spark, data):
+    """Each stage on what its predecessor kept, against a plain version of its decisions."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{data}/documents.parquet")
-    n, columns = docs.count(), docs.columns
-    kept = []
+    columns, stages = docs.columns, dict(corpus_pipeline.STAGES)
+    machine = toxicity.train(docs, spark.read.parquet(f"{data}/labels.parquet"))
+    rows = {r.doc_id: r for r in docs.collect()}
+    scores = {i: machine.score(*toxicity.terms(*utf8(pa.array([r.text]))))[0] for i, r in rows.items()}
+    out = stages["toxicity"](spark, docs, data)
+    assert out.columns == columns
+    kept = {r.doc_id for r in out.collect()}
+    assert kept == {i for i, p in scores.items() if p < 0.5}
+
+    docs = spark.createDataFrame(out.toArrow())
+    out = stages["near_duplicates"](spark, docs, data)
+    order = sorted(kept)
+    assert {r.doc_id for r in out.collect()} == {order[k] for k in groups([rows[i].text for i in order])}
+
+    docs = spark.createDataFrame(out.toArrow())
+    kept = {r.doc_id for r in docs.collect()}
+    out = stages["decontamination"](spark, docs, data)
+    names, digest = duck(data, catalog.OP1_SQL)
+    bad = {r[names.index("doc_id")] for r in digest if r[names.index("contaminated")]}
+    assert {r.doc_id for r in out.collect()} == kept - bad and bad
+
+    docs = spark.createDataFrame(out.toArrow())
+    out = stages["mixing"](spark, docs, data)
+    assert out.columns == columns
+    mixed = {r.doc_id: r for r in mixing.mix(docs).collect()}
+    times = Counter(r.doc_id for r in out.collect())
+    assert all(abs(times[i] * r["size"] - r.taken) <= r["size"] / 2 and times[i] <= 3 for i, r in mixed.items())
+
+    docs = spark.createDataFrame(out.toArrow())
+    last = stages["sharding"](spark, docs, data)
+    got = last.collect()
+    assert last.columns[: len(columns)] == columns and Counter(r.doc_id for r in got) == times
+    size = Counter(r.shard for r in got)
+    assert max(size.values()) - min(size[k] for k in range(24)) <= 1 and len({(r.shard, r.slot) for r in got}) == len(got)
+    assert sorted((r.doc_id, r.shard, r.slot) for r in corpus_pipeline.run(spark, data).collect()) == sorted((r.doc_id, r.shard, r.slot) for r in got)
+
+
+def test_pipeline_stages_on_odd_rows(spark, data):
+    """Null columns, empty and long texts, repeated rows, extra columns with clashing names, empty tables."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, key string, size string, fp string, shard string, score string, n_words string"
+    more = ("k", "s", "f", "h", "c", "w")
+    odd = [(1, "a b c d e f", "en", "x", 1, *more), (1, "a b c d e f", "en", "x", 1, *more), (2, None, None, None, None, *more), (None, "", None, None, None, *[None] * 6), (None, None, None, None, None, *more), (3, "long text " * 80_000, "en", "y", 2, *more), (4, "ä", "de", None, None, *more)]
+    df = spark.createDataFrame(odd, schema)
     for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, data)
-        assert out.columns[: len(columns)] == columns, name
-        docs = spark.createDataFrame(out.toArrow())
-        kept.append(docs.count())
-    assert n >= kept[0] >= kept[1] >= kept[2] > 0.7 * n
-    assert kept[4] == kept[3] == len({(r.shard, r.slot) for r in docs.collect()})
-    assert corpus_pipeline.run(spark, data).count() == kept[-1]
+        out = stage(spark, df, data)
+        n = len(out.collect())
+        assert n == {"toxicity": 7, "near_duplicates": 4, "decontamination": 7}.get(name, n), name
+        assert set(out.columns) >= set(df.columns)
+        assert stage(spark, df.where("false"), data).count() == 0, name
 
 
 def test_unknown_bits():

@@ -4,6 +4,7 @@ import binascii
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +83,34 @@ def test_simhash_long_lists(spark):
     assert got[0] == got[1] and got[0]
 
 
+def test_simhash_both_ways(spark):
+    """Whole texts, more than a list's limit of near fingerprints: long lists and short ones give the same components; clashing names."""
+    rng = random.Random(31)
+    base, rows = words(rng, 1500, 5000).split(), []
+    for i in range(60):
+        c = list(base)
+        for k in rng.sample(range(1500), i % 4):
+            c[k] = f"x{rng.random()}"
+        rows.append((i, " ".join(c), "mine", 1))
+    rows += [(None, None, "mine", 1), (100, "", "mine", 1), (101, "long " * 200_000, "mine", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp string, links long")
+    got = []
+    for limit in (1, 10**6):
+        out = simhash.near_duplicates(df, list_limit=limit)
+        assert out.columns == ["doc_id", "text", "fp", "fingerprint", "component_id", "links"]
+        got.append(sorted((str(r.doc_id), r.fp, r.fingerprint, str(r.component_id), r.links) for r in out.collect()))
+    assert got[0] == got[1] and len(got[0]) == 63
+    assert max(Counter(x[3] for x in got[0]).values()) > 32
+    assert {x[3] for x in got[0] if x[0] in ("None", "100")} == {"100"}
+
+
+def test_mixing_clash_and_long(spark):
+    df = spark.createDataFrame([(1, "w " * 300_000, "a", "t"), (2, "w", "a", "t"), (3, None, None, "t")], "doc_id long, text string, source string, target string")
+    out = mixing.mix(df)
+    assert out.columns == ["doc_id", "text", "source", *mixing.RESULT]
+    assert {r.doc_id: r["size"] for r in out.collect()} == {1: 300_000, 2: 1, 3: 0}
+
+
 def test_similar_documents(spark):
     rng = random.Random(8)
     rows, want, n = [], set(), 0
@@ -102,6 +131,17 @@ def test_similar_documents(spark):
     assert got == (want - {0}) | {None, n}
 
 
+def test_suffix_dedup_long(spark):
+    """A text of several chunks that repeats itself and another one; clashing names pass."""
+    rng = random.Random(21)
+    first = "".join(rng.choice("abcdefgh ") for _ in range(400_000))
+    long = first + "é" * 150 + first[100_000:350_000] + "".join(rng.choice("xyz") for _ in range(50_000))
+    df = spark.createDataFrame([(1, first[5000:5400], "g", 1), (2, long, "g", 2), (3, None, "g", 3)], "doc_id long, text string, gram string, n_bytes long")
+    found = {r.doc_id: r for r in suffixdedup.repeated_substrings(df).collect()}
+    assert [tuple(x) for x in found[2].removed_spans] == [(5000, 5400), (400_002, 400_300 + 250_000)]
+    assert found[2].gram == "g" and found[2].n_bytes == len(long.encode()) and found[3].n_bytes == 0 and found[1].n_removed == 0
+
+
 def test_suffix_dedup(spark, docs, plain):
     order = sorted(plain, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5((r[1] or "").encode()).hexdigest()))
     seen, want = set(), []
@@ -376,12 +416,12 @@ def test_empty_tables(spark, docs):
     assert langid.profiles(none.withColumn("lang", F.lit("x"))) == {}
 
 
-def _groups(texts, shingle=5, similarity=0.8):
+def groups(texts, shingle=5, similarity=0.8):
     """The first of each group of texts linked by the Jaccard similarity of their sets of shingles."""
     sets = []
     for t in texts:
-        w = t.lower().split()
-        sets.append({" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))})
+        w = t.translate(LOWER).encode().split()
+        sets.append({b" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))})
     root = list(range(len(texts)))
 
     def top(i):
@@ -411,7 +451,7 @@ def test_similar_large_group(spark):
         for i in rng.sample(range(200), rng.randint(2, 8)):
             c[i] = f"x{rng.randrange(10**9)}"
         texts.append(" ".join(c))
-    want = _groups(texts)
+    want = groups(texts)
     assert 1 < len(want) < 400
     assert _left(spark, texts) == want
 
@@ -426,7 +466,7 @@ def test_similar_sets_not_counts(spark):
     for _ in range(10):
         line = words(rng, 32, 5000)
         texts += [" ".join([line] * k + [words(rng, 2, 5000)]) for k in (5, 4)]
-    want = _groups(texts)
+    want = groups(texts)
     assert len(want) == 30
     assert _left(spark, texts) == want
 
@@ -438,7 +478,7 @@ def test_similar_short_texts(spark):
     for n in [8] * 40 + [16] * 40 + [304] * 10:  # 4 shingles of 5, 12 of 15, 300 of 375
         t = words(rng, n, 10**6)
         texts += [t, t + " " + words(rng, (n - 4) // 4, 10**6)]
-    want = _groups(texts)
+    want = groups(texts)
     assert len(want) == 90
     assert _left(spark, texts) == want
 
