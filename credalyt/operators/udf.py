@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import hashlib
 import time
+from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,6 +26,11 @@ Generator = Callable[[list[str]], list[str]]
 ANSWER = T.StructType([T.StructField("text", T.StringType()), T.StructField("input_tokens", T.LongType()), T.StructField("output_tokens", T.LongType()), T.StructField("error", T.StringType())])
 
 
+@lru_cache(maxsize=1 << 18)
+def _part_hash(part: str) -> int:
+    return int.from_bytes(hashlib.blake2b(part.encode(), digest_size=8).digest(), "little")
+
+
 class HashingEmbedder:
     """A stand-in: signed hashes of character pairs and triples, unit length."""
 
@@ -36,9 +43,9 @@ class HashingEmbedder:
             v = np.zeros(self.dim)
             t = (t or "").lower()
             for n in (2, 3):
-                for i in range(len(t) - n + 1):
-                    h = int.from_bytes(hashlib.blake2b(t[i : i + n].encode(), digest_size=8).digest(), "little")
-                    v[h % self.dim] += 1 if h >> 63 else -1
+                for part, times in Counter(map("".join, zip(*(t[k:] for k in range(n))))).items():
+                    h = _part_hash(part)
+                    v[h % self.dim] += times if h >> 63 else -times
             norm = np.linalg.norm(v)
             out.append((v / norm if norm else v).tolist())
         return out
