@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credalyt.llm import ann, decontaminate, langid, linededup, mixing, sharding, simhash, suffixdedup, toxicity, urlfilter
+from credalyt.llm import ann, ballkmeans, blobledger, decontaminate, langid, linededup, merkle, mixing, sharding, simhash, suffixdedup, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -206,5 +207,134 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontaminate": op1_decontaminate, "op2_url_filter": op2_url_filter, "op3_suffix_dedup": op3_suffix_dedup, "op4_line_dedup": op4_line_dedup, "op5_toxicity": op5_toxicity, "op6_mixing": op6_mixing, "op7_langid": op7_langid, "op8_simhash": op8_simhash, "op9_sharding": op9_sharding, "op10_ann": op10_ann}
-ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op2_url_filter": OP2_SQL, "op4_line_dedup": OP4_SQL, "op6_mixing": OP6_SQL}
+FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, and what each proof says of a row whose length may have been changed."""
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    shown = [F.when(tampered, F.col("n_chars") + 1).otherwise(F.col("n_chars")) if f == "n_chars" else F.col(f) for f in FIELDS]
+    rows = docs.withColumn("shown", F.when(tampered, merkle.leaf_digest(shown)))
+    found = merkle.manifest(rows, FIELDS, "doc_id", "lang", keep=["doc_id", "shown"])
+    found = found.withColumn("folded_root", merkle.folded(F.coalesce("shown", "leaf"), F.col("proof")))
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.siblings_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf_sql(length: str) -> str:
+    return "sha256(" + " || ".join(_field_sql(length if f == "n_chars" else f) for f in FIELDS) + ")"
+
+
+OP11_SQL = rf"""
+WITH RECURSIVE checked AS (
+  SELECT *, list_reduce(
+      flatten(list_transform(range(1, len(CAST(doc_id AS VARCHAR)) + 1), lambda i: [CAST(ascii(CAST(doc_id AS VARCHAR)[i]) AS BIGINT), 0, 0, 0, 0, 0, 0, 0])),
+      lambda c, e: xor(xor(c, e) >> 1, (xor(c, e) & 1) * 3988292384), CAST(4294967295 AS BIGINT)) AS crc
+  FROM documents),
+leaves AS (
+  SELECT doc_id, lang, {_leaf_sql("n_chars")} AS leaf, {_leaf_sql("(CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN n_chars + 1 ELSE n_chars END)")} AS shown,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, {_leaf_sql("n_chars")}) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM checked),
+nodes(lang, level, pos, n, digest) AS (
+  SELECT lang, 0, pos, n, leaf FROM leaves
+  UNION ALL SELECT lang, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY lang, level, pos // 2, n),
+subroots AS (
+  SELECT lang, level AS height, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops(level, pos, n, digest) AS (
+  SELECT 0, pos, n, subroot FROM subroots
+  UNION ALL SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY level, pos // 2, n),
+steps AS (
+  SELECT l.lang, l.pos AS leaf_at, k AS k, b.digest AS sibling, (l.pos >> k) % 2 = 1 AS before
+  FROM (SELECT l.lang, l.pos, unnest(range(0, height)) AS k FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang) l
+  LEFT JOIN nodes b ON b.lang IS NOT DISTINCT FROM l.lang AND b.level = l.k AND b.pos = xor(l.pos >> l.k, 1)
+  UNION ALL
+  SELECT l.lang, l.pos, 1000 + k, t.digest, (l.top >> k) % 2 = 1
+  FROM (SELECT l.lang, l.pos, s.pos AS top, unnest(range(0, (SELECT max(level) FROM tops))) AS k FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang) l
+  LEFT JOIN tops t ON t.level = l.k AND t.pos = xor(l.top >> l.k, 1)),
+proofs AS (
+  SELECT lang, leaf_at, coalesce(string_agg(sibling, '' ORDER BY k), '') AS siblings,
+    list(CASE WHEN sibling IS NULL THEN '' WHEN before THEN '<' || sibling ELSE '>' || sibling END ORDER BY k) AS way FROM steps GROUP BY lang, leaf_at),
+climbed AS (
+  SELECT l.*, coalesce(siblings, '') AS siblings,
+    list_reduce(coalesce(way, []), lambda d, s: CASE s[1] WHEN '<' THEN sha256(s[2:] || d) WHEN '>' THEN sha256(d || s[2:]) ELSE sha256(d) END, shown) AS folded_root
+  FROM leaves l LEFT JOIN proofs p ON p.lang IS NOT DISTINCT FROM l.lang AND p.leaf_at = l.pos)
+SELECT doc_id, leaf, subroot, root, sha256(siblings) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM climbed c JOIN subroots s ON c.lang IS NOT DISTINCT FROM s.lang, (SELECT digest AS root FROM tops WHERE n = 1)
+"""
+
+
+def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen clusters of all vectors, with the inertia of each and of all."""
+    found = ballkmeans.clusters(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), keep=["vec_id"])
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"))
+
+
+def _assigned_sql(turn: int) -> str:
+    return f"""
+a{turn} AS (
+  SELECT i, vec_id, v, arg_min(c, d * 64 + c) AS cluster, min(d) AS distance
+  FROM (SELECT i, vec_id, v, c, list_sum(list_transform(range(1, 65), lambda j: (v[j] - w[j]) * (v[j] - w[j]))) AS d FROM kept, c{turn}) GROUP BY i, vec_id, v)"""
+
+
+def _replaced_sql(turn: int) -> str:
+    return f"""
+s{turn} AS (
+  SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS w
+  FROM (SELECT cluster, j, sum(v[j]) AS s, count(*) AS n FROM (SELECT cluster, v, unnest(range(1, 65)) AS j FROM a{turn}) GROUP BY cluster, j) GROUP BY cluster),
+c{turn + 1} AS (SELECT c, coalesce(s.w, o.w) AS w FROM c{turn} o LEFT JOIN s{turn} s ON s.cluster = o.c)"""
+
+
+OP12_SQL = f"""
+WITH kept AS (
+  SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS w FROM (SELECT sha256('1:' || vec_id) AS h, v FROM kept WHERE vec_id IS NOT NULL) ORDER BY h, v LIMIT 16),
+{",".join(x for t in range(3) for x in (_assigned_sql(t), _replaced_sql(t)))},{_assigned_sql(3)}
+SELECT vec_id, CAST(cluster AS INT) AS cluster, CAST(distance AS BIGINT) AS distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(w, ',')) AS centroid_sha256
+FROM a3 JOIN c3 ON cluster = c
+"""
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents, through a new ledger."""
+    found = blobledger.secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+
+    def of(*kinds: str):
+        return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+
+    base = of(*[r.kind for r in blobledger.BASE])
+    counts = [F.size(of(r.kind)).cast("long").alias(f"n_{r.kind}") for r in blobledger.BASE]
+    return found.select("doc_id", *counts, F.sha2(blobledger.listed(base), 256).alias("base_sha256"), blobledger.listed(F.col("spans")).alias("spans"))
+
+
+def _kind_sql(place: int, rule: blobledger.Rule) -> str:
+    pattern = rule.pattern.replace("'", "''").replace("(?<![0-9a-f])", "").replace("\\x20", " ")
+    if rule.any_case:  # of ASCII letters only
+        pattern = re.sub("(password|passwd|secret|token|api|key)", lambda m: "".join(f"[{c.upper()}{c}]" for c in m[0]), pattern)
+    return f"""
+  SELECT doc_id, {place} AS place, '{rule.kind}' AS kind, until - len(m) AS start, until AS until FROM (
+    SELECT doc_id, unnest(found) AS m, unnest(said) AS said,
+      unnest(list_transform(range(1, len(upto) + 1), lambda i: CAST(list_sum(list_transform(upto[:i], lambda x: len(x))) AS BIGINT))) AS until
+    FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS found, regexp_extract_all(t, '{pattern}', {rule.group}) AS said, regexp_extract_all(t, '(?s).*?(?:{pattern})') AS upto FROM docs))
+  WHERE len(said) >= {rule.least}"""
+
+
+OP13_SQL = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+spans AS ({" UNION ALL ".join(_kind_sql(i, r) for i, r in enumerate(blobledger.RULES))}),
+joined AS (
+  SELECT doc_id, count_if(place = 0) AS n_assign, count_if(place = 1) AS n_access, count_if(place = 2) AS n_hex,
+    coalesce(string_agg(kind || ':' || start || ':' || until, ',' ORDER BY start, place) FILTER (place < 3), '') AS base,
+    string_agg(kind || ':' || start || ':' || until, ',' ORDER BY start, place) AS spans FROM spans GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN joined USING (doc_id)
+"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontaminate": op1_decontaminate, "op2_url_filter": op2_url_filter, "op3_suffix_dedup": op3_suffix_dedup, "op4_line_dedup": op4_line_dedup, "op5_toxicity": op5_toxicity, "op6_mixing": op6_mixing, "op7_langid": op7_langid, "op8_simhash": op8_simhash, "op9_sharding": op9_sharding, "op10_ann": op10_ann, "op11_merkle": op11_merkle, "op12_ball_kmeans": op12_ball_kmeans, "op13_secrets": op13_secrets}
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op2_url_filter": OP2_SQL, "op4_line_dedup": OP4_SQL, "op6_mixing": OP6_SQL, "op11_merkle": OP11_SQL, "op12_ball_kmeans": OP12_SQL, "op13_secrets": OP13_SQL}

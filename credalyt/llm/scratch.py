@@ -3,35 +3,24 @@
 Iterative operators cut their lineage by writing a Parquet table below
 ``spark.checkpoint.dir`` and reading it back, so a lost executor costs a re-read
 and not a recomputation.  A folder of our own is used only where that setting
-is missing (tests, notebooks).
+is missing (tests, notebooks).  Results are read lazily, so tables stay until
+``folders.release`` or the end of the driver's Python.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SETTING = "spark.checkpoint.dir"
+from credalyt.sources.folders import remove, work_folder
+
 #: Spark deletes a query's shuffle files once the query has ended
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, as the session names it; a local session without one gets its own."""
-    named = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING, None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"{SETTING} must name a folder that the driver and all executors share")
-        named = tempfile.mkdtemp(prefix="credalyt-")
-        spark.conf.set(SETTING, named)
-    return named.rstrip("/")
-
-
 @contextmanager
 def releasing(spark: SparkSession) -> Iterator[None]:
     """Inside, the shuffle files of each query go when the query ends."""
@@ -48,7 +37,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+        self.root = work_folder(spark, label)
         self._n = 0
 
     def __enter__(self) -> Scratch:
@@ -76,8 +65,7 @@ class Scratch:
                 self.delete(path)
 
     def delete(self, path: str) -> None:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        remove(self.spark, path)
 
 
 class Plain:
