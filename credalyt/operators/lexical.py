@@ -1,11 +1,9 @@
-"""BM25 in three variants over one plan.
+"""BM25 scores of all pairs in three variants, the k best, and TF-IDF.
 
 ``okapi``: idf = ln(N - df + 1/2) - ln(df + 1/2); negative ones become a quarter of the mean
 of all terms' idf.  ``smooth_floor``: ln((N - df + 1/2) / (df + 1/2) + 1), at least 0.1.
 ``smooth``: the same without floor.  Terms of a query count as often as they occur in it.
-
-Only postings of the queries' terms are shuffled; document lengths and frequencies are
-map-side combined.  The mean idf needs the vocabulary and is only computed for ``okapi``.
+The index, and the search that prunes, are in ``bm25index``.
 """
 
 from __future__ import annotations
@@ -15,65 +13,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from credalyt.functions.text import TOKENIZERS
+from credalyt.operators.bm25index import Index
 
 VARIANTS = {"okapi": "word", "smooth_floor": "cjk_ngram", "smooth": "space"}
 
 
-def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer: str) -> DataFrame:
-    """(doc_id, tokens, dl)"""
-    rows = docs.select(F.col(id_col).alias("doc_id"), TOKENIZERS[tokenizer](F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
-    return rows.withColumn("dl", F.size("tokens"))
-
-
-def postings(tokens: DataFrame) -> DataFrame:
-    """(doc_id, term, tf): the inverted index as a table."""
-    return tokens.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-
-
-def term_frequencies(tokens: DataFrame) -> DataFrame:
-    """(term, df)"""
-    return tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-
-
-def corpus_stats(tokens: DataFrame) -> DataFrame:
-    """One row: n documents and their mean length."""
-    return tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-
-
-def idf(n: Column, df: Column, variant: str) -> Column:
-    if variant == "okapi":
-        return F.log(n - df + 0.5) - F.log(df + 0.5)
-    smooth = F.log((n - df + 0.5) / (df + 0.5) + 1)
-    return F.greatest(smooth, F.lit(0.1)) if variant == "smooth_floor" else smooth
-
-
-def term_weights(tokens: DataFrame, variant: str = "okapi", terms: DataFrame | None = None) -> DataFrame:
-    """(term, df, idf), of ``terms`` only if given."""
-    freq = term_frequencies(tokens)
-    stats = corpus_stats(tokens)
-    if terms is not None and variant != "okapi":
-        freq = freq.join(F.broadcast(terms), "term", "left_semi")
-    rows = freq.crossJoin(F.broadcast(stats)).withColumn("idf", idf(F.col("n"), F.col("df"), variant))
-    if variant == "okapi":
-        floor = rows.agg((F.avg("idf") * 0.25).alias("floor"))
-        rows = rows.crossJoin(F.broadcast(floor)).withColumn("idf", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")))
-    return rows.select("term", "df", "idf")
-
-
 def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", variant: str = "okapi", tokenizer: str | None = None, k1: float = 1.5, b: float = 0.75, include_zero: bool = False) -> DataFrame:
-    """(query_id, doc_id, score) for queries (query_id, text).
+    """(query_id, doc_id, score) for queries (query_id, text): every document that shares a term.
 
-    ``include_zero`` also gives documents that share no term a score of zero."""
-    tokenizer = tokenizer or VARIANTS[variant]
-    tokens = tokenized(docs, id_col, text_col, tokenizer)
-    asked = queries.select("query_id", F.explode(TOKENIZERS[tokenizer](F.coalesce("text", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    terms = asked.select("term").distinct()
-    weights = term_weights(tokens, variant, terms).select("term", "idf")
-    # postings of queried terms only: filtered before the shuffle
-    hits = tokens.select("doc_id", "dl", F.explode("tokens").alias("term")).join(terms, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / (F.greatest("avgdl", F.lit(1.0)) if variant == "smooth_floor" else F.col("avgdl")))
-    part = F.col("times") * F.col("idf") * F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + norm)
-    scored = hits.join(asked, "term").join(weights, "term").crossJoin(F.broadcast(corpus_stats(tokens))).groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+    ``include_zero`` also gives a stated set of queries a score of zero for the others."""
+    scored = Index.build(docs, id_col, text_col, tokenizer or VARIANTS[variant]).scores(queries, variant, k1, b).drop("collection")
     if include_zero:
         every = queries.select("query_id").distinct().crossJoin(docs.select(F.col(id_col).alias("doc_id")))
         scored = every.join(scored, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))

@@ -1,8 +1,6 @@
-"""Exact vector retrieval: similarity, filters before and thresholds after the top k.
+"""Vector scores as expressions, and retrieval with filters before and thresholds after the top k.
 
-Queries are a stated set; they are broadcast up to ``BROADCAST_QUERIES`` and go through
-in blocks beyond that.  Each partition of the documents keeps its own k best of each
-query (partial top k of the rank window), so what is shuffled does not grow with pairs.
+The search itself is in ``matrix``: blocks of products, k best of each query in a task.
 """
 
 from __future__ import annotations
@@ -11,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BROADCAST_QUERIES = 10_000
+from credalyt.operators import matrix
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -46,27 +44,12 @@ def max_sim(query: Column, doc: Column) -> Column:
     return F.aggregate(query, F.lit(0.0), lambda s, q: s + F.array_max(F.transform(doc, lambda d: dot(q, d))))
 
 
-SCORES = {"cosine": cosine, "dot": dot, "l2": lambda a, b: similarity(l2_distance(a, b), "l2")}
-
-
 def knn(docs: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", where: Column | None = None, threshold: float | None = None, per: str | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, [per,] doc_id, score, rank): the k most similar documents of each query.
 
     ``where`` filters documents before the top k, ``threshold`` results after it (so fewer
-    than k may stay); ``per`` ranks inside each of its values.  Empty vectors are left out."""
-    d = docs if where is None else docs.where(where)
-    kept = [per] if per else []
-    d = d.where(F.size(vector_col) > 0).select(F.col(id_col).alias("doc_id"), F.col(vector_col).alias("v"), *kept)
-    asked = queries.select("query_id", F.col("embedding").alias("q"))
-    n = asked.count()
-    blocks = max(1, -(-n // BROADCAST_QUERIES))
-    out = None
-    for i in range(blocks):
-        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        pairs = d.crossJoin(F.broadcast(part)).select("query_id", "doc_id", *kept, SCORES[metric](F.col("q"), F.col("v")).alias("score"))
-        rank = F.row_number().over(Window.partitionBy("query_id", *kept).orderBy(F.desc("score"), "doc_id"))
-        best = pairs.withColumn("rank", rank).where(F.col("rank") <= k)
-        out = best if out is None else out.unionByName(best)
+    than k may stay); ``per`` ranks inside each of its values."""
+    out = matrix.knn(docs if where is None else docs.where(where), queries, k, metric, per, id_col, vector_col)
     return out if threshold is None else out.where(F.col("score") >= threshold)
 
 
@@ -86,5 +69,5 @@ def rerank_by_overlap(hits: DataFrame, k: int, query: str = "query", content: st
 
 
 def matrix_similarity(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(i, j, s): inner products of two small sets of vectors (i, v) and (j, w); the second is the stated query set."""
-    return a.crossJoin(F.broadcast(b)).select("i", "j", dot(F.col("v"), F.col("w")).alias("s"))
+    """(i, j, s): inner products of a stated set of vectors (i, v) with all others (j, w), in blocks."""
+    return matrix.products(a, b)

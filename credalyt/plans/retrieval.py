@@ -11,7 +11,8 @@ from pyspark.sql.window import Window
 
 from credalyt.functions import decode, parse
 
-from credalyt.operators import fusion, lexical, udf, vector
+from credalyt.operators import fusion, udf, vector
+from credalyt.operators.bm25index import Index
 
 # Fixed value: the default prompt.
 TEMPLATE = "客户信息：\n$customer_info\n\n参考知识：\n$knowledge_context\n\n请给出风险等级、风险评分、风险因素、有利因素和审批建议。"
@@ -36,28 +37,27 @@ class Config:
 ABLATION = (Config("full"), Config("llm_only", use_retrieval=False), Config("bm25_only", strategy="bm25"), Config("vector_only", strategy="vector"))
 
 
-def hybrid(docs: DataFrame, queries: DataFrame, k: int, method: str = "rrf", vector_k: int | None = None, bm25_k: int | None = None, threshold: float = 0.0) -> DataFrame:
-    """Fused top k for each query from 2k of either side; docs (id, content, embedding), queries (query_id, text, embedding)."""
-    v = vector.knn(docs, queries, vector_k or 2 * k, id_col="id")
-    b = lexical.top_k(lexical.bm25(docs, queries, "id", "content"), bm25_k or 2 * k)
-    return fusion.above(fusion.fuse(method, v, b, k), threshold)
+def hybrid(docs: DataFrame, queries: DataFrame, k: int, method: str = "rrf", vector_k: int | None = None, bm25_k: int | None = None, threshold: float = 0.0, index: Index | None = None) -> DataFrame:
+    """Fused top k for each query and collection from 2k of either side; docs (id, content, embedding,
+    collection), queries (query_id, text, embedding).  One scan of the texts and one of the vectors,
+    whatever the number of collections."""
+    v = vector.knn(docs, queries, vector_k or 2 * k, id_col="id", per="collection")
+    b, _ = (index or Index.build(docs, "id", "content", collection="collection")).search(queries, bm25_k or 2 * k, by_collection=True)
+    unit = F.struct("query_id", "collection")
+    fused = fusion.fuse(method, v.withColumn("query_id", unit), b.withColumn("query_id", unit), k)
+    return fusion.above(fused, threshold).withColumn("collection", F.col("query_id.collection")).withColumn("query_id", F.col("query_id.query_id"))
 
 
-def retrieve(docs: DataFrame, queries: DataFrame, config: Config) -> DataFrame:
+def retrieve(docs: DataFrame, queries: DataFrame, config: Config, index: Index | None = None) -> DataFrame:
     """(query_id, doc_id, collection, content, score, rank): the best of each collection, then the best of all."""
-    names = [r[0] for r in docs.select("collection").distinct().orderBy("collection").collect()]  # a catalog of collections
-    found = None
-    for name in names:
-        part = docs.where(F.col("collection") == name)
-        if config.strategy == "vector":
-            hits = vector.knn(part, queries, config.per_collection, id_col="id")
-        elif config.strategy == "bm25":
-            hits = lexical.top_k(lexical.bm25(part, queries, "id", "content"), config.per_collection)
-        else:
-            hits = hybrid(part, queries, config.per_collection, config.method, threshold=config.threshold)
-        hits = hits.select("query_id", "doc_id", "score").withColumn("collection", F.lit(name))
-        found = hits if found is None else found.unionByName(hits)
-    best = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "collection", "doc_id"))).where(F.col("rank") <= config.k)
+    if config.strategy == "vector":
+        hits = vector.knn(docs, queries, config.per_collection, id_col="id", per="collection")
+    elif config.strategy == "bm25":
+        hits, _ = (index or Index.build(docs, "id", "content", collection="collection")).search(queries, config.per_collection, by_collection=True)
+    else:
+        hits = hybrid(docs, queries, config.per_collection, config.method, threshold=config.threshold, index=index)
+    hits = hits.select("query_id", "doc_id", "collection", "score")
+    best = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "collection", "doc_id"))).where(F.col("rank") <= config.k)
     return best.join(docs.select(F.col("id").alias("doc_id"), "collection", "content", "metadata"), ["doc_id", "collection"])
 
 
@@ -91,13 +91,13 @@ def prompts(customers: DataFrame, hits: DataFrame | None, columns: list[str], co
     return rows.withColumn("prompt", text).drop("customer_info", "context")
 
 
-def analyze(customers: DataFrame, docs: DataFrame, columns: list[str], embedder: udf.Embedder, generator: Callable, config: Config = Config()) -> DataFrame:
+def analyze(customers: DataFrame, docs: DataFrame, columns: list[str], embedder: udf.Embedder, generator: Callable, config: Config = Config(), index: Index | None = None) -> DataFrame:
     """``customers`` with prompt, answer and its parsed fields (``analysis``)."""
     hits = None
     if config.use_retrieval:
         queries = customers.select("query_id", decode.build_query(columns).alias("text"))
         queries = queries.withColumn("embedding", udf.embed(F.col("text"), embedder))
-        hits = retrieve(docs, queries, config)
+        hits = retrieve(docs, queries, config, index)
     rows = prompts(customers, hits, columns, config).withColumn("answer", udf.generate(F.col("prompt"), generator))
     return rows.withColumn("analysis", parse.analysis(F.coalesce("answer.text", F.lit(""))))
 
@@ -105,8 +105,10 @@ def analyze(customers: DataFrame, docs: DataFrame, columns: list[str], embedder:
 def ablation(customers: DataFrame, docs: DataFrame, columns: list[str], embedder: udf.Embedder, generator: Callable, configs: tuple[Config, ...] = ABLATION) -> DataFrame:
     """Results of every config, one table: what ``batch.ablation_summary`` takes; customers have true_level."""
     out = None
+    lexical = any(c.use_retrieval and c.strategy != "vector" for c in configs)
+    index = Index.build(docs, "id", "content", collection="collection") if lexical else None  # one for all variants
     for c in configs:
-        rows = analyze(customers, docs, columns, embedder, generator, c)
+        rows = analyze(customers, docs, columns, embedder, generator, c, index)
         a = F.col("analysis")
         part = rows.select(
             F.lit(c.name).alias("config"), "query_id", "true_level", F.col("answer.error").isNull().alias("success"), parse.binary_label(a["risk_level"]).alias("level"), a["risk_score"].alias("score"), F.coalesce(a["approval"], F.lit(parse.PENDING)).alias("approval"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from credalyt.operators import batch, ml, prep, udf
 from credalyt.operators.vector import max_sim, sparse_dot
 from credalyt.plans import experiments, retrieval
+from credalyt.sources.folders import saved, work_folder
 from credalyt.sources.tables import applicants, card_transactions, table
 
 QUERIES: dict = {}
@@ -102,7 +103,8 @@ COLUMNS = ["checking_status", "duration", "credit_history", "purpose", "credit_a
 def knowledge(spark: SparkSession, d: str) -> DataFrame:
     """All documents, with their whole texts, stand for three knowledge collections."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.element_at(F.array(F.lit("risk_cases"), F.lit("regulations"), F.lit("industry_knowledge")), (F.col("doc_id") % 3 + 1).cast("int")).alias("collection"), F.create_map(F.lit("source"), F.col("source")).alias("metadata"))
-    return docs.withColumn("embedding", udf.embed(F.col("content"), udf.HashingEmbedder()))
+    # embedded once: every variant of the system reads the table
+    return saved(docs.withColumn("embedding", udf.embed(F.col("content"), udf.HashingEmbedder())), work_folder(spark, "knowledge"))
 
 
 def customers(spark: SparkSession, n: int = 20) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credalyt.operators import fusion, lexical, vector
+from credalyt.operators.bm25index import Index
 from credalyt.sources.tables import table
 
 QUERY = "the and ing that this"
@@ -34,7 +35,7 @@ def benchmark_queries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vector_queries(spark: SparkSession, d: str) -> DataFrame:
-    """Every hundredth vector asks."""
+    """Every twentieth vector asks."""
     return table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
@@ -68,33 +69,56 @@ ASCII_SQL = "list_transform(regexp_extract_all({0}, '[a-zA-Z0-9]+'), lambda x: l
 SPACE_SQL = "list_filter(regexp_split_to_array({0}, '[\\s\\x{{0B}}\\x{{1C}}-\\x{{1F}}\\x{{85}}\\p{{Z}}]+'), lambda x: x <> '')"
 
 
-def _top(scored: DataFrame, k: int) -> DataFrame:
-    # sums in another order differ in their last digits: equal documents shall tie
-    return lexical.top_k(scored.withColumn("score", F.round("score", 8)), k).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+def _index(spark: SparkSession, d: str, tokenizer: str = "word", collection: str | None = None) -> Index:
+    """The stored index of the documents; the first query that needs it builds it."""
+    return Index.stored(table(spark, d, "documents"), tokenizer=tokenizer, collection=collection)
+
+
+def _bm25(spark: SparkSession, d: str, queries: DataFrame, k: int, variant: str = "okapi") -> DataFrame:
+    return _index(spark, d, lexical.VARIANTS[variant]).search(queries, k, variant)[0].drop("collection")
+
+
+def _top(hits: DataFrame) -> DataFrame:
+    return hits.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(_bm25_sql(WORD_SQL, OKAPI, ONE, 10, floor=True))
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     """Okapi BM25 with the idf floor, one query."""
-    return _top(lexical.bm25(table(spark, d, "documents"), one_query(spark)), 10)
+    return _top(_bm25(spark, d, one_query(spark), 10))
 
 
 @query(_bm25_sql(WORD_SQL, OKAPI, MANY, 5, floor=True))
 def bm25_batch_topk(spark: SparkSession, d: str) -> DataFrame:
     """Okapi BM25 for all benchmark items."""
-    return _top(lexical.bm25(table(spark, d, "documents"), benchmark_queries(spark, d)), 5)
+    return _top(_bm25(spark, d, benchmark_queries(spark, d), 5))
 
 
 @query(_bm25_sql(ASCII_SQL, f"greatest({SMOOTH}, 0.1)", MANY, 5, avgdl="greatest(avgdl, 1)"))
 def bm25_floor_topk(spark: SparkSession, d: str) -> DataFrame:
     """Smooth idf of at least 0.1 over CJK n-grams and ASCII words."""
-    return _top(lexical.bm25(table(spark, d, "documents"), benchmark_queries(spark, d), variant="smooth_floor"), 5)
+    return _top(_bm25(spark, d, benchmark_queries(spark, d), 5, "smooth_floor"))
 
 
 @query(_bm25_sql(SPACE_SQL, SMOOTH, MANY, 5))
 def bm25_space_topk(spark: SparkSession, d: str) -> DataFrame:
     """Smooth idf over space-separated tokens."""
-    return _top(lexical.bm25(table(spark, d, "documents"), benchmark_queries(spark, d), variant="smooth"), 5)
+    return _top(_bm25(spark, d, benchmark_queries(spark, d), 5, "smooth"))
+
+
+@query(rf"""
+WITH docs AS (SELECT doc_id, {WORD_SQL.format("text")} AS t FROM documents),
+asked AS (SELECT DISTINCT item_id AS query_id, unnest({WORD_SQL.format("text")}) AS term FROM benchmark),
+post AS (SELECT DISTINCT doc_id, unnest(t) AS term FROM docs)
+SELECT query_id, least(5, count(DISTINCT doc_id)) AS n_hits, true AS same_as_all, true AS reads_a_part FROM asked JOIN post USING (term) GROUP BY query_id""")
+def bm25_pruning(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the pruned search of each benchmark item finds what scoring every document finds, and reads no more blocks than there are."""
+    index, asked = _index(spark, d), benchmark_queries(spark, d)
+    hits, took = index.search(asked, 5)
+    every = lexical.top_k(index.scores(asked).withColumn("score", F.round("score", 8)), 5)
+    digest = lambda rows: rows.groupBy("query_id").agg(F.count("*").alias("n_hits"), F.array_sort(F.collect_list(F.struct("rank", "doc_id"))).alias("list"))
+    both = digest(hits).join(digest(every).select("query_id", F.col("list").alias("full")), "query_id").join(took, "query_id")
+    return both.select("query_id", "n_hits", (F.col("list") == F.col("full")).alias("same_as_all"), (F.col("blocks_read") <= F.col("blocks")).alias("reads_a_part"))
 
 
 @query(rf"""
@@ -104,9 +128,7 @@ SELECT (SELECT count(*) FROM docs) AS n, (SELECT round(avg(len(t)), 6) FROM docs
   (SELECT count(DISTINCT term) FROM post) AS n_terms, (SELECT CAST(max(tf) AS BIGINT) FROM post) AS max_tf""")
 def bm25_index_stats(spark: SparkSession, d: str) -> DataFrame:
     """Size of the inverted index."""
-    tokens = lexical.tokenized(table(spark, d, "documents"), "doc_id", "text", "word")
-    post = lexical.postings(tokens).groupBy("term").agg(F.count("*").alias("c"), F.max("tf").alias("m")).agg(F.sum("c").alias("n_postings"), F.count("*").alias("n_terms"), F.max("m").alias("max_tf"))
-    return lexical.corpus_stats(tokens).withColumn("avgdl", F.round("avgdl", 6)).crossJoin(post)
+    return _index(spark, d).stats.select(F.col("n_docs").alias("n"), F.round("avgdl", 6).alias("avgdl"), "n_postings", "n_terms", F.col("max_tf").cast("long").alias("max_tf"))
 
 
 @query(rf"""
@@ -116,8 +138,7 @@ raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS w FROM dfs, (SELECT
 SELECT term, df, round(CASE WHEN w < 0 THEN 0.25 * avg(w) OVER () ELSE w END, 6) AS idf FROM raw""")
 def term_weights(spark: SparkSession, d: str) -> DataFrame:
     """Document frequency and floored idf of every term."""
-    tokens = lexical.tokenized(table(spark, d, "documents"), "doc_id", "text", "word")
-    return lexical.term_weights(tokens).select("term", "df", F.round("idf", 6).alias("idf"))
+    return _index(spark, d).weights("okapi").select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(rf"""
@@ -228,8 +249,7 @@ def matrix_similarity(spark: SparkSession, d: str) -> DataFrame:
 
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Vector and lexical hits of one query over documents with an embedding (doc_id = vec_id)."""
-    docs = table(spark, d, "documents")
-    b = lexical.top_k(lexical.bm25(docs, one_query(spark)).withColumn("score", F.round("score", 8)), 20)
+    b = _bm25(spark, d, one_query(spark), 20)
     v = vector.knn(table(spark, d, "embeddings"), _first(spark, d).withColumn("query_id", F.lit(0)), 20)
     return v, b
 
@@ -319,7 +339,7 @@ SELECT doc_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM ranked W
 def rerank_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Ten hits reranked by term overlap, five stay."""
     docs = table(spark, d, "documents")
-    hits = lexical.top_k(lexical.bm25(docs, one_query(spark)).withColumn("score", F.round("score", 8)), 10).join(docs.select("doc_id", F.col("text").alias("content")), "doc_id").withColumn("query", F.lit(QUERY))
+    hits = _bm25(spark, d, one_query(spark), 10).join(docs.select("doc_id", F.col("text").alias("content")), "doc_id").withColumn("query", F.lit(QUERY))
     return vector.rerank_by_overlap(hits, 5).select("doc_id", F.round("score", 6).alias("score"), "rank")
 
 

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 from py4j.protocol import Py4JError
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
@@ -37,6 +37,12 @@ def work_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
+def saved(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as a table at ``path``: what is read later does not run again."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration() if spark._sc._jsc is None else spark._sc._jsc.hadoopConfiguration()).delete(p, True)
