@@ -8,12 +8,12 @@ The index, and the search that prunes, are in ``bm25index``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from credalyt.functions.text import TOKENIZERS
 from credalyt.operators.bm25index import Index
+from credalyt.operators.tfidf import tfidf  # noqa: F401
 
 VARIANTS = {"okapi": "word", "smooth_floor": "cjk_ngram", "smooth": "space"}
 
@@ -33,25 +33,3 @@ def top_k(scored: DataFrame, k: int, by: str = "query_id", item: str = "doc_id",
     """The k best of each ``by`` with rank; ties go to the smaller item."""
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), item))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_features: int = 1000, max_df: float = 0.95, ngrams: tuple[int, int] = (1, 2)) -> DataFrame:
-    """(doc_id, term, weight): smooth idf ln((1 + n) / (1 + df)) + 1, rows of length one.
-
-    Terms are words and pairs of words in at most ``max_df`` of the documents; the most
-    frequent ``max_features`` stay (ties by term)."""
-    words = TOKENIZERS["word"](F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.filter(words, lambda w: F.length(w) >= 2).alias("w"))
-
-    def runs(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1)))
-        return F.when(F.size("w") >= n, F.transform(starts, lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>"))
-
-    grams = [runs(n) for n in range(ngrams[0], ngrams[1] + 1)]
-    tf = rows.select("doc_id", F.explode(F.flatten(F.array(*grams))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    n_docs = rows.agg(F.count("*").alias("n"))
-    vocabulary = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).crossJoin(F.broadcast(n_docs)).where(F.col("df") <= F.col("n") * max_df)
-    vocabulary = vocabulary.orderBy(F.desc("total"), "term").limit(max_features).withColumn("idf", F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
-    weighed = tf.join(F.broadcast(vocabulary.select("term", "idf")), "term").withColumn("w", F.col("tf") * F.col("idf"))
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
-    return weighed.select("doc_id", "term", (F.col("w") / length).alias("weight"))

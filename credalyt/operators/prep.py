@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from credalyt.operators.ordered import ranked
+from credalyt.operators.selection import quantiles
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -44,8 +45,11 @@ def integrity_report(df: DataFrame, expected: list[str], target: str | None = No
 
 def statistics(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, mean, std, min, q25, median, q75, max): deviation of the sample, exact quantiles."""
+    exact = quantiles(df, {c: [0.25, 0.5, 0.75] for c in columns})
+
     def one(c: str) -> list[Column]:
-        return [F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), F.percentile(c, 0.25).alias("q25"), F.percentile(c, 0.5).alias("median"), F.percentile(c, 0.75).alias("q75"), F.max(c).cast("double").alias("max")]
+        q25, median, q75 = (F.lit(q).cast("double") for q in exact[c])
+        return [F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), q25.alias("q25"), median.alias("median"), q75.alias("q75"), F.max(c).cast("double").alias("max")]
 
     aggs = [F.struct(*one(c)).alias(f"s{i}") for i, c in enumerate(columns)]
     each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"s{i}").alias("s")) for i, c in enumerate(columns)])
@@ -73,10 +77,11 @@ def impute(df: DataFrame, columns: list[str], strategy: str = "mean", value: obj
     """Nulls replaced by mean, median, most_frequent (ties: the smallest) or a constant."""
     if strategy == "constant":
         return df.fillna({c: value for c in columns})
-    how = {"mean": F.avg, "median": lambda c: F.percentile(c, 0.5)}
-    if strategy in how:
-        aggs = [how[strategy](c).alias(f"fill_{c}") for c in columns]
-        out = _fitted(df, fit_on, aggs)
+    if strategy == "mean":
+        out = _fitted(df, fit_on, [F.avg(c).alias(f"fill_{c}") for c in columns])
+    elif strategy == "median":
+        medians = quantiles(df if fit_on is None else fit_on, {c: [0.5] for c in columns})
+        out = df.withColumns({f"fill_{c}": F.lit(medians[c][0]).cast("double") for c in columns})
     else:
         out = df
         for c in columns:
