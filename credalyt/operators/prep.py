@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from credalyt.operators.neighbours import neighbours
 from credalyt.operators.ordered import ranked
 from credalyt.operators.selection import quantiles
 
@@ -160,15 +161,8 @@ def positional_split(df: DataFrame, order: str, share: float = 0.7) -> DataFrame
 
 
 def minority_neighbours(df: DataFrame, id_col: str, vector_col: str, k: int = 5) -> DataFrame:
-    """(id, neighbour, rank): the k nearest other rows by Euclidean distance; for minority classes,
-    whose rows are the stated query set against themselves."""
-    from credalyt.operators.vector import l2_distance
-
-    a = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
-    b = df.select(F.col(id_col).alias("neighbour"), F.col(vector_col).alias("w"))
-    pairs = a.join(b, F.col("id") != F.col("neighbour")).select("id", "neighbour", l2_distance(F.col("v"), F.col("w")).alias("d"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("d", "neighbour"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "neighbour", "rank", "d")
+    """(id, neighbour, rank, d): the k nearest other rows by Euclidean distance."""
+    return neighbours(df, id_col, vector_col, k)[0]
 
 
 def uniform(seed: int, *columns: str) -> Column:
@@ -197,6 +191,13 @@ def oversample(minority: DataFrame, n_new: int, id_col: str, vector_col: str, k:
     return full.select("new_id", "base", "neighbour", "lambda", vector.alias("vector"))
 
 
+def smote(df: DataFrame, label: str, minority: object, id_col: str, vector_col: str, k: int = 5, seed: int = 42) -> DataFrame:
+    """As many new points of the minority class as the other rows have more."""
+    few = F.col(label) == F.lit(minority)
+    sizes = df.agg(F.count_if(few).alias("few"), F.count_if(~few).alias("many")).first()
+    return oversample(df.where(few), sizes.many - sizes.few, id_col, vector_col, k, seed)
+
+
 def prepare_german(df: DataFrame, categorical: list[str], numerical: list[str], target: str = "class", id_col: str = "row_id", encoding: str = "label", share: float = 0.2, seed: int = 42, leaky: bool = False) -> DataFrame:
     """Shifted label, codes or 0/1 columns, scaled numbers and ``in_test``; statistics come from the training rows."""
     rows = split(shift_label(df, target), id_col, share, seed, stratify=target)

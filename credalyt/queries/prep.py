@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credalyt.operators import metrics, prep
+from credalyt.operators.neighbours import neighbours
 from credalyt.sources.tables import table
 
 QUERIES: dict = {}
@@ -155,20 +156,28 @@ def smote_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return prep.minority_neighbours(_minority(spark, d), "vec_id", "embedding").withColumn("d", F.round("d", 6))
 
 
+@query("SELECT count(DISTINCT embedding) AS vectors, CAST(count(DISTINCT embedding) * (count(DISTINCT embedding) - 1) AS DOUBLE) AS pairs, true AS no_more_than_all FROM embeddings WHERE label = 7")
+def smote_pruning(spark: SparkSession, d: str) -> DataFrame:
+    """What the neighbour search compares, of all pairs."""
+    took = neighbours(_minority(spark, d), "vec_id", "embedding")[1]
+    return took.select("vectors", F.col("pairs").cast("double").alias("pairs"), (F.col("compared") <= F.col("vectors") * F.col("vectors")).alias("no_more_than_all"))
+
+
 _UNIT = "(('0x' || substr(md5('{seed}|' || new_id), 1, 8))::BIGINT)::DOUBLE / 4294967296"
 
 
 @query(f"""
 WITH {_NEAR},
 base AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS place, count(*) OVER () AS n FROM m),
-new0 AS (SELECT vec_id AS base, c * n + place AS new_id FROM base, range(0, 100) t(c) WHERE c * n + place < 60),
+wanted AS (SELECT count_if(label <> 7) - count_if(label = 7) AS w FROM embeddings),
+new0 AS (SELECT vec_id AS base, c * n + place AS new_id FROM base, wanted, range(0, 100) t(c) WHERE c * n + place < w),
 new1 AS (SELECT *, CAST(floor({_UNIT.format(seed=42)} * 5) + 1 AS INT) AS rank, {_UNIT.format(seed=43)} AS l FROM new0)
 SELECT new_id, base, neighbour, round(l, 6) AS lambda,
   round(list_sum(list_transform(range(1, len(x.embedding) + 1), lambda i: x.embedding[i]::DOUBLE + l * (y.embedding[i]::DOUBLE - x.embedding[i]::DOUBLE))), 5) AS total
 FROM new1 JOIN near ON base = id AND new1.rank = near.rank JOIN m x ON x.vec_id = base JOIN m y ON y.vec_id = neighbour""")
 def smote_oversample(spark: SparkSession, d: str) -> DataFrame:
-    """Sixty new rows between neighbours."""
-    rows = prep.oversample(_minority(spark, d), 60, "vec_id", "embedding")
+    """New rows between neighbours, until the class has as many as all others."""
+    rows = prep.smote(table(spark, d, "embeddings"), "label", 7, "vec_id", "embedding")
     return rows.select("new_id", "base", "neighbour", F.round("lambda", 6).alias("lambda"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
 
 
