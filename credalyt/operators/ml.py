@@ -1,4 +1,4 @@
-"""Classifiers by name over MLlib; numeric parity with other libraries is not claimed."""
+"""Classifiers by name: MLlib's, and the networks of ``deep``; numeric parity with other libraries is not claimed."""
 
 from __future__ import annotations
 
@@ -6,9 +6,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import FMClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from credalyt.operators import deep
+
 # Settings of the compared models, by name and data set.
 CONFIGS: dict[str, dict[str, dict]] = {
     "logistic_regression": {"default": {"maxIter": 100, "regParam": 0.01, "standardization": False}},
@@ -17,18 +19,21 @@ CONFIGS: dict[str, dict[str, dict]] = {
     "factorization_machine": {"default": {"factorSize": 8, "maxIter": 100, "stepSize": 0.01, "seed": 42}},
     "multilayer_perceptron": {"default": {"maxIter": 100, "seed": 42}},
 }
-ALIASES = {"lr": "logistic_regression", "rf": "random_forest", "gbt": "gradient_boosting", "xgboost": "gradient_boosting", "fm": "factorization_machine", "deepfm": "factorization_machine", "mlp": "multilayer_perceptron"}
-DISPLAY = {"logistic_regression": "Logistic regression", "random_forest": "Random forest", "gradient_boosting": "Gradient boosting", "factorization_machine": "Factorization machine", "multilayer_perceptron": "Multilayer perceptron"}
+ALIASES = {"lr": "logistic_regression", "rf": "random_forest", "gbt": "gradient_boosting", "xgboost": "gradient_boosting", "fm": "factorization_machine", "tabnet": "attention", "mlp": "multilayer_perceptron"}
+DISPLAY = {"deepfm": "DeepFM", "attention": "Attention network", "logistic_regression": "Logistic regression", "random_forest": "Random forest", "gradient_boosting": "Gradient boosting", "factorization_machine": "Factorization machine", "multilayer_perceptron": "Multilayer perceptron"}
 _CLASSES = {"logistic_regression": LogisticRegression, "random_forest": RandomForestClassifier, "gradient_boosting": GBTClassifier, "factorization_machine": FMClassifier, "multilayer_perceptron": MultilayerPerceptronClassifier}
 
 
 def model_config(name: str, dataset: str = "default") -> dict:
-    found = CONFIGS[ALIASES.get(name, name)]
+    full = ALIASES.get(name, name)
+    if full in deep.MODELS:
+        return dict(deep.SETTINGS[full])
+    found = CONFIGS[full]
     return dict(found.get(dataset, found["default"]))
 
 
 def available_models() -> list[str]:
-    return sorted(CONFIGS)
+    return sorted([*CONFIGS, *deep.MODELS])
 
 
 def create_model(name: str, dataset: str = "default", **settings):
@@ -46,9 +51,12 @@ def balanced(df: DataFrame, label: str = "label") -> DataFrame:
     return df.join(F.broadcast(counts), label).crossJoin(F.broadcast(total)).withColumn("weight", F.col("_n") / (2 * F.col("_c"))).drop("_c", "_n")
 
 
-def train(df: DataFrame, name: str, features: list[str] | str, label: str = "label", balance: bool = True, **settings) -> PipelineModel:
-    """A fitted pipeline; ``features`` are columns or one array column."""
+def train(df: DataFrame, name: str, features: list[str] | str, label: str = "label", balance: bool = True, **settings) -> PipelineModel | deep.Network:
+    """A fitted pipeline or network; ``features`` are columns or one array column."""
     rows = df.withColumnRenamed(label, "label") if label != "label" else df
+    if ALIASES.get(name, name) in deep.MODELS:
+        rows = (balanced(rows) if balance else rows.withColumn("weight", F.lit(1.0))).withColumn("_features", _array(features))
+        return deep.train(rows, ALIASES.get(name, name), "_features", id_col="_features", weight="weight", **settings)
     model = create_model(name, **settings)
     stages = []
     if isinstance(features, str):
@@ -61,8 +69,14 @@ def train(df: DataFrame, name: str, features: list[str] | str, label: str = "lab
     return Pipeline(stages=[*stages, model]).fit(rows)
 
 
-def predict(model: PipelineModel, df: DataFrame, features: list[str] | str) -> DataFrame:
+def _array(features: list[str] | str) -> Column:
+    return F.col(features) if isinstance(features, str) else F.array(*[F.col(c).cast("double") for c in features])
+
+
+def predict(model: PipelineModel | deep.Network, df: DataFrame, features: list[str] | str) -> DataFrame:
     """``df`` with score (probability of class 1) and pred, in one pass."""
+    if isinstance(model, deep.Network):
+        return model.predict(df.withColumn("_features", _array(features)), "_features").drop("_features")
     rows = df.withColumn("features", array_to_vector(F.col(features))) if isinstance(features, str) else df
     out = model.transform(rows)
     return out.select(*df.columns, vector_to_array("probability")[1].alias("score"), F.col("prediction").cast("int").alias("pred"))

@@ -46,25 +46,45 @@ def lr_scores(spark: SparkSession, d: str) -> DataFrame:
 @query
 def rf_scores(spark: SparkSession, d: str) -> DataFrame:
     """Random forest."""
-    return _scores(spark, d, "rf", numTrees=20, maxDepth=5)
+    return _scores(spark, d, "rf")
 
 
 @query
 def gbt_scores(spark: SparkSession, d: str) -> DataFrame:
     """Gradient-boosted trees."""
-    return _scores(spark, d, "gbt", maxIter=5, maxDepth=3)
+    return _scores(spark, d, "gbt")
 
 
 @query
 def fm_scores(spark: SparkSession, d: str) -> DataFrame:
     """A factorization machine."""
-    return _scores(spark, d, "fm", maxIter=20)
+    return _scores(spark, d, "fm")
 
 
 @query
 def mlp_scores(spark: SparkSession, d: str) -> DataFrame:
     """A small neural network."""
-    return _scores(spark, d, "mlp", layers=[64, 16, 2], maxIter=20)
+    return _scores(spark, d, "mlp", layers=[64, 16, 2])
+
+
+@query
+def deepfm_scores(spark: SparkSession, d: str) -> DataFrame:
+    """A factorization machine beside a deep part, trained in barrier mode."""
+    return _scores(spark, d, "deepfm")
+
+
+@query
+def attention_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The network of sparse attention, trained in barrier mode."""
+    return _scores(spark, d, "tabnet")
+
+
+@query
+def attention_importances(spark: SparkSession, d: str) -> DataFrame:
+    """What share of the network's masks each component has."""
+    rows = vectors(spark, d)
+    model = ml.train(rows.where("not in_test"), "tabnet", "embedding")
+    return model.importances(rows, "embedding").select("feature", F.round("importance", 6).alias("importance"))
 
 
 _UNIFORM = "(('0x' || substr(md5('{0}|' || c_custkey), 1, 8))::BIGINT)::DOUBLE / 4294967296"
