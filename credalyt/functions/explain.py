@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from credalyt.functions.text import present, total_count
+from credalyt.functions.text import let, present, total_count
 
 # Words that the scores look for.
 CONNECTIVES = ["因此", "综上所述", "基于以上分析", "由此可见", "主要原因", "根本原因", "导致", "使得", "首先", "其次", "最后", "一方面", "另一方面"]
@@ -36,62 +36,75 @@ def _steps(value: Column, steps: list[tuple[float, int]], other: int) -> Column:
     return out.otherwise(other)
 
 
-def logic_clarity(text: Column) -> Column:
-    """Three, more for connectives and a first-second-last structure, less for hedges."""
-    links = _steps(total_count(text, CONNECTIVES), [(5, 2), (3, 1)], 0)
-    score = _within(F.lit(3) + links)
-    score = _within(score - (total_count(text, HEDGES) >= 3).cast("int"))
-    return _within(score + text.rlike("(?s)首先.*其次.*最后").cast("int"))
+def mean_sentence(text: Column) -> Column:
+    """Mean length of the sentences that are not blank."""
+    parts = F.filter(F.split(text, "[。！？\n]"), lambda s: s.rlike(r"(?U)\S"))
+    return let(parts, lambda p: F.aggregate(p, F.lit(0), lambda a, s: a + F.length(s)) / F.greatest(F.size(p), F.lit(1)))
 
 
-def evidence_sufficiency(text: Column) -> Column:
-    """By words of evidence, one more for a numbered citation."""
-    return _within(_steps(total_count(text, EVIDENCE), [(8, 5), (5, 4), (2, 3)], 2) + text.rlike(r"\[[0-9]+\]").cast("int"))
+def logic_clarity(links: Column, hedges: Column, structured: Column) -> Column:
+    """Three, more for connectives and a first-second-last structure, less for hedges."""
+    score = _within(F.lit(3) + _steps(links, [(5, 2), (3, 1)], 0))
+    return _within(_within(score - (hedges >= 3).cast("int")) + structured.cast("int"))
 
 
-def mean_sentence(text: Column) -> Column:
-    """Mean length of the sentences that are not blank."""
-    parts = F.filter(F.split(text, "[。！？\n]"), lambda s: s.rlike(r"(?U)\S"))
-    total = F.aggregate(parts, F.lit(0), lambda a, s: a + F.length(s))
-    return total / F.greatest(F.size(parts), F.lit(1))
+def evidence_sufficiency(words: Column, cited: Column) -> Column:
+    """By words of evidence, one more for a numbered citation."""
+    return _within(_steps(words, [(8, 5), (5, 4), (2, 3)], 2) + cited.cast("int"))
 
 
-def understandability(text: Column) -> Column:
+def understandability(plain: Column, mean: Column, headed: Column) -> Column:
     """Three, more for explaining words, short sentences and headings, less for long sentences."""
-    score = _within(F.lit(3) + (present(text, PLAIN_SPEECH) >= 3).cast("int"))
-    mean = mean_sentence(text)
-    score = _within(score + F.when(mean < 50, 1).when(mean > 100, -1).otherwise(0))
-    return _within(score + text.rlike(r"(?m)^#+\s").cast("int"))
+    score = _within(F.lit(3) + (plain >= 3).cast("int"))
+    return _within(_within(score + F.when(mean < 50, 1).when(mean > 100, -1).otherwise(0)) + headed.cast("int"))
 
 
-def completeness(text: Column) -> Column:
+def completeness(elements: Column) -> Column:
     """By the share of required elements."""
-    return _steps(present(text, REQUIRED) / F.lit(float(len(REQUIRED))), [(0.9, 5), (0.7, 4), (0.5, 3), (0.3, 2)], 1)
+    return _steps(elements / F.lit(float(len(REQUIRED))), [(0.9, 5), (0.7, 4), (0.5, 3), (0.3, 2)], 1)
 
 
-def professionalism(text: Column) -> Column:
+def professionalism(terms: Column, patterns: Column) -> Column:
     """By technical terms, one more for two patterns of reasoning."""
+    return _within(_steps(terms, [(8, 5), (5, 4), (3, 3)], 2) + (patterns >= 2).cast("int"))
+
+
+def counts(text: Column) -> Column:
+    """struct of all that the scores count in a text."""
     patterns = [text.rlike(p).cast("int") for p in REASONING]
-    return _within(_steps(present(text, TERMS), [(8, 5), (5, 4), (3, 3)], 2) + (sum(patterns[1:], patterns[0]) >= 2).cast("int"))
+    return F.struct(
+        total_count(text, CONNECTIVES).alias("links"), total_count(text, HEDGES).alias("hedges"), text.rlike("(?s)首先.*其次.*最后").alias("structured"),
+        total_count(text, EVIDENCE).alias("evidence"), text.rlike(r"\[[0-9]+\]").alias("cited"),
+        present(text, PLAIN_SPEECH).alias("plain"), mean_sentence(text).alias("mean"), text.rlike(r"(?m)^#+\s").alias("headed"),
+        present(text, REQUIRED).alias("elements"), present(text, TERMS).alias("terms"), sum(patterns[1:], patterns[0]).alias("patterns"),
+    )
+
+
+def _dimensions(c: Column) -> Column:
+    dims = [logic_clarity(c["links"], c["hedges"], c["structured"]), evidence_sufficiency(c["evidence"], c["cited"]), understandability(c["plain"], c["mean"], c["headed"]), completeness(c["elements"]), professionalism(c["terms"], c["patterns"])]
+    return F.struct(*[d.alias(n) for d, n in zip(dims, DIMENSIONS)], c["elements"].alias("elements"))
 
 
 def scores(text: Column) -> Column:
-    """struct of the five dimensions and their mean."""
-    dims = [logic_clarity(text), evidence_sufficiency(text), understandability(text), completeness(text), professionalism(text)]
-    return F.struct(*[d.alias(n) for d, n in zip(dims, DIMENSIONS)], (sum(dims[1:], dims[0]) / F.lit(5.0)).alias("average"))
+    """struct of the five dimensions and their mean; the text is counted once, the rest is arithmetic."""
+    whole = lambda d: F.struct(*[d[n].alias(n) for n in DIMENSIONS], (sum((d[n] for n in DIMENSIONS[1:]), d[DIMENSIONS[0]]) / F.lit(5.0)).alias("average"))
+    return let(counts(text), lambda c: let(_dimensions(c), whole))
 
 
 def comments(text: Column) -> Column:
     """struct of one remark for each dimension, for readers of a score."""
-    s = scores(text)
     said = lambda c, good, fair, poor: F.when(c >= 4, good).when(c == 3, fair).otherwise(poor)
-    return F.struct(
-        said(s["logic_clarity"], "逻辑连接充分", "逻辑基本合理", "逻辑不足").alias("logic_clarity"),
-        said(s["evidence_sufficiency"], "证据充分", "有一定证据", "证据不足").alias("evidence_sufficiency"),
-        said(s["understandability"], "易于理解", "基本清晰", "不易理解").alias("understandability"),
-        F.concat(said(s["completeness"], "要素完整", "要素基本齐全", "要素缺失"), F.format_string("（%d/%d）", present(text, REQUIRED), F.lit(len(REQUIRED)))).alias("completeness"),
-        said(s["professionalism"], "术语丰富", "术语基本", "术语不足").alias("professionalism"),
-    )
+
+    def remarks(s: Column) -> Column:
+        return F.struct(
+            said(s["logic_clarity"], "逻辑连接充分", "逻辑基本合理", "逻辑不足").alias("logic_clarity"),
+            said(s["evidence_sufficiency"], "证据充分", "有一定证据", "证据不足").alias("evidence_sufficiency"),
+            said(s["understandability"], "易于理解", "基本清晰", "不易理解").alias("understandability"),
+            F.concat(said(s["completeness"], "要素完整", "要素基本齐全", "要素缺失"), F.format_string("（%d/%d）", s["elements"], F.lit(len(REQUIRED)))).alias("completeness"),
+            said(s["professionalism"], "术语丰富", "术语基本", "术语不足").alias("professionalism"),
+        )
+
+    return let(counts(text), lambda c: let(_dimensions(c), remarks))
 
 
 def dimension_map(s: Column) -> Column:
@@ -106,13 +119,19 @@ def checked(score: Column) -> Column:
 
 def weighted(s: Column) -> Column:
     """The weighted composite of the five scores."""
-    parts = [s[d] * F.lit(w) for d, w in zip(DIMENSIONS, WEIGHTS)]
-    return sum(parts[1:], parts[0])
+    def total(x: Column) -> Column:
+        parts = [x[d] * F.lit(w) for d, w in zip(DIMENSIONS, WEIGHTS)]
+        return sum(parts[1:], parts[0])
+
+    return let(s, total)
 
 
 def keyword_risk(text: Column) -> Column:
     """struct<level, score, high, medium, low> by which keywords occur."""
-    h, m, low = present(text, HIGH), present(text, MEDIUM), present(text, LOW)
+    return let(F.struct(present(text, HIGH).alias("h"), present(text, MEDIUM).alias("m"), present(text, LOW).alias("low")), lambda c: _keyword_risk(c["h"], c["m"], c["low"]))
+
+
+def _keyword_risk(h: Column, m: Column, low: Column) -> Column:
     level = F.when(h >= 2, 2).when((h >= 1) | (m >= 3), 1).when(low >= 2, 0).otherwise(1)
     score = F.when(h >= 2, 70 + F.least(h * 5, F.lit(25))).when((h >= 1) | (m >= 3), 50 + F.least(m * 5, F.lit(20))).when(low >= 2, 20 + F.least(30 - low * 5, F.lit(30))).otherwise(50)
     return F.struct(level.alias("level"), score.alias("score"), h.alias("high"), m.alias("medium"), low.alias("low"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ WORD = r"[\p{L}\p{N}_]+"
 CJK_RUN = r"[\x{4e00}-\x{9fff}]+|[a-zA-Z0-9]+"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def word_tokens(text: Column) -> Column:
     """Lower-cased runs of word characters; a run of CJK is one token."""
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), 0)
@@ -36,9 +43,13 @@ def space_tokens(text: Column) -> Column:
 TOKENIZERS = {"word": word_tokens, "cjk_ngram": cjk_ngram_tokens, "space": space_tokens}
 
 
+#: The characters that Unicode calls white space.
+WHITE_SPACE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
     """Without white space of any script at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def cache_key(text: Column) -> Column:
@@ -82,7 +93,9 @@ def token_count(text: Column) -> Column:
 
 def count_of(text: Column, part: str) -> Column:
     """Occurrences of ``part``, not overlapping."""
-    return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / F.lit(len(part))).cast("int")
+    # lengths in bytes are at hand, lengths in characters are counted
+    gone = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(part), F.lit("")))
+    return F.when(~F.contains(text, F.lit(part)), 0).otherwise(F.call_function("div", gone, F.lit(len(part.encode()))).cast("int"))
 
 
 def total_count(text: Column, parts: list[str]) -> Column:

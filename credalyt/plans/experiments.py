@@ -60,9 +60,10 @@ def analyze_cases(cases: DataFrame) -> DataFrame:
     """``cases`` (loan_purpose_text, customer_appeal, transaction_remark) with level, score and used factors."""
     text = case_text(*[F.coalesce(c, F.lit("")) for c in ("loan_purpose_text", "customer_appeal", "transaction_remark")])
     rows = cases.withColumn("case_text", text)
-    k, f = explain.keyword_risk(F.col("case_text")), explain.keyword_factors(F.col("case_text"))
+    rows = rows.withColumns({"_k": explain.keyword_risk(F.col("case_text")), "_f": explain.keyword_factors(F.col("case_text"))})
+    k, f = F.col("_k"), F.col("_f")
     used = F.size(f["risk_factors"]) + F.size(f["favorable_factors"])
-    return rows.withColumns({"level": k["level"], "score": k["score"], "n_factors": used, "utilisation": explain.text_utilisation(F.col("case_text"), used)})
+    return rows.withColumns({"level": k["level"], "score": k["score"], "n_factors": used, "utilisation": explain.text_utilisation(F.col("case_text"), used)}).drop("_k", "_f")
 
 
 def interesting_cases(cases: DataFrame, first: DataFrame, second: DataFrame, most: int = 10) -> DataFrame:

@@ -63,8 +63,8 @@ def parse_favorable(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT o_orderkey, (o_orderkey % 50) || '万元' AS credit_limit, '还款记录|收入变化' AS monitoring, '' AS mitigation FROM orders")
 def parse_suggestions(spark: SparkSession, d: str) -> DataFrame:
     """Credit limit, monitoring and mitigation of answers."""
-    s = parse.suggestions(F.col("answer"))
-    return answers(spark, d).select("o_orderkey", s["credit_limit"].alias("credit_limit"), F.array_join(s["monitoring"], "|").alias("monitoring"), F.array_join(s["mitigation"], "|").alias("mitigation"))
+    s = F.col("s")
+    return answers(spark, d).select("o_orderkey", parse.suggestions(F.col("answer")).alias("s")).select("o_orderkey", s["credit_limit"].alias("credit_limit"), F.array_join(s["monitoring"], "|").alias("monitoring"), F.array_join(s["mitigation"], "|").alias("mitigation"))
 
 
 _PARSED = f"""WITH l AS ({TEXT_ORACLES['parse_level']}), p AS ({TEXT_ORACLES['parse_approval']}), s AS ({_WITH_ANSWER} SELECT o_orderkey, {_SCORE_SQL} AS score FROM a)
@@ -79,13 +79,13 @@ def _fields(parsed) -> list:
 def parse_fallback(spark: SparkSession, d: str) -> DataFrame:
     """Unknown fields of answers replaced by stated ones."""
     parsed = parse.with_fallback(parse.analysis(F.col("answer")), F.lit(1), F.lit(50), F.lit(parse.REVIEW))
-    return answers(spark, d).select("o_orderkey", *_fields(parsed))
+    return answers(spark, d).select("o_orderkey", parsed.alias("p")).select("o_orderkey", *_fields(F.col("p")))
 
 
 @query(_PARSED.replace("LEVEL_", "-1").replace("SCORE_", "-1").replace("ADVICE_", "'待定'"))
 def parse_sentinels(spark: SparkSession, d: str) -> DataFrame:
     """Unknown fields of answers as they leave the library."""
-    return answers(spark, d).select("o_orderkey", *_fields(parse.with_sentinels(parse.analysis(F.col("answer")))))
+    return answers(spark, d).select("o_orderkey", parse.with_sentinels(parse.analysis(F.col("answer"))).alias("p")).select("o_orderkey", *_fields(F.col("p")))
 
 
 @query("SELECT conv_id, turn, CAST(floor(length(text) / 4.0) AS BIGINT) AS tokens, round(CAST(floor(length(text) / 4.0) AS BIGINT) * (0.8 / 1000) + 500 * (2.0 / 1000), 6) AS cost FROM conversations")

@@ -208,10 +208,10 @@ WITH expected AS (SELECT o_orderkey, '收入|收入波动|高|' || (o_orderkey %
 SELECT * FROM expected""")
 def parse_factors(spark: SparkSession, d: str) -> DataFrame:
     """Factors and suggestions: a round trip of what the answers were made from."""
-    a = parse.analysis(F.col("answer"))
+    a = F.col("a")
     risk = F.array_join(F.transform(a["risk_factors"], lambda f: F.concat(f["name"], F.lit("|"), f["description"], F.lit("|"), f["weight"], F.lit("|"), F.coalesce(f["source_reference"], F.lit("")))), ";")
     favorable = F.array_join(F.transform(a["favorable_factors"], lambda f: F.concat_ws("|", f["name"], f["description"], f["risk_mitigation"])), ";")
-    return answers(spark, d).select("o_orderkey", risk.alias("risk"), favorable.alias("favorable"), a["suggestions"]["credit_limit"].alias("credit_limit"), F.array_join(a["suggestions"]["monitoring"], ",").alias("monitoring"))
+    return answers(spark, d).select("o_orderkey", parse.analysis(F.col("answer")).alias("a")).select("o_orderkey", risk.alias("risk"), favorable.alias("favorable"), a["suggestions"]["credit_limit"].alias("credit_limit"), F.array_join(a["suggestions"]["monitoring"], ",").alias("monitoring"))
 
 
 @query(f"""
