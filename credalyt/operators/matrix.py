@@ -160,6 +160,52 @@ def _search(shared, k: int, metric: str, per: str | None):
     return run
 
 
+def max_sim(docs: DataFrame, queries: DataFrame, k: int, digits: int = 8, numbers: int = SLICE_NUMBERS) -> DataFrame:
+    """(query_id, doc_id, score, rank): late interaction of queries (query_id, q) with documents (doc_id, v), both
+    arrays of vectors of one length: the sum over a query's vectors of the largest inner product with one of
+    the document's.  Scores that agree in ``digits`` tie, to the smaller id.  Rows without vectors take no part."""
+    spark, out = docs.sparkSession, None
+    whole = lambda v: (F.size(v) > 0) & ~F.exists(v, lambda x: ~usable(x))
+    asked = queries.where(F.coalesce(whole(F.col("q")), F.lit(False))).select("query_id", F.col("q").cast("array<array<double>>").alias("q"))
+    total = asked.agg(F.sum(F.aggregate("q", F.lit(0).cast("long"), lambda s, x: s + F.size(x)))).first()[0] or 0
+    parts = max(1, -(-total // numbers))
+    schema = StructType([StructField("query", IntegerType()), docs.schema["doc_id"], StructField("score", DoubleType())])
+    d = docs.where(F.coalesce(whole(F.col("v")), F.lit(False))).select("doc_id", F.col("v").cast("array<array<double>>").alias("v"))
+    for i in range(parts):
+        rows = (asked if parts == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)).collect()  # at most about `numbers` doubles
+        if not rows:
+            continue
+        shared = spark.sparkContext.broadcast((np.array([x for r in rows for x in r.q]), np.cumsum([0, *(len(r.q) for r in rows[:-1])]), len(rows)))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            q, starts, n = shared.value
+            best = None
+            for b in batches:
+                best = best or Best(n, k, b.schema.field(0).type)
+                sizes = pc.list_value_length(b.column(1)).to_numpy()
+                ends = np.r_[0, np.cumsum(sizes)]
+                x = b.column(1).flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, q.shape[1]) if b.num_rows else np.empty((0, q.shape[1]))
+                step = max(1, CELLS // (len(q) * int(sizes.max(initial=1))))
+                for a in range(0, b.num_rows, step):
+                    z = min(a + step, b.num_rows)
+                    each = np.maximum.reduceat(q @ x[ends[a] : ends[z]].T, ends[a:z] - ends[a], axis=1)
+                    score = np.round(np.add.reduceat(each, starts, axis=0), digits)
+                    cut = best.least if z - a < k else np.maximum(best.least, np.partition(score, z - a - k, axis=1)[:, z - a - k])
+                    i, j = np.nonzero(score >= cut[:, None])
+                    best.add(i, score[i, j], score[i, j], b.column(0).take(pa.array(a + j)))
+            if best:
+                yield pa.RecordBatch.from_arrays([pa.array(best.query, pa.int32()), best.ids, pa.array(best.score)], names=["query", "doc_id", "score"])
+
+        names = spark.createDataFrame([(i, r.query_id) for i, r in enumerate(rows)], StructType([StructField("query", IntegerType()), queries.schema["query_id"]]))
+        same = d.where(~F.exists("v", lambda x: F.size(x) != len(rows[0].q[0])))
+        found = same.mapInArrow(run, schema).join(F.broadcast(names), "query").select("query_id", "doc_id", "score")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = d.select(F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), "doc_id", F.lit(0.0).alias("score")).where("false")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
+    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def products(a: DataFrame, b: DataFrame, numbers: int = SLICE_NUMBERS) -> DataFrame:
     """(i, j, s): inner products of a stated set (i, v) with all rows (j, w)."""
     spark, out = a.sparkSession, None

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credalyt.operators import batch, ml, prep, udf
-from credalyt.operators.vector import max_sim, sparse_dot
+from credalyt.operators import batch, matrix, ml, prep, udf
+from credalyt.operators.vector import sparse_dot
 from credalyt.plans import experiments, retrieval
 from credalyt.sources.folders import saved, work_folder
 from credalyt.sources.tables import applicants, card_transactions, table
@@ -212,16 +212,17 @@ def sparse_similarity(spark: SparkSession, d: str) -> DataFrame:
 
 @query(oracle="""
 WITH v AS (SELECT vec_id, [embedding[k:k + 15] FOR k IN [1, 17, 33, 49]] AS p FROM embeddings),
-q AS (SELECT p FROM v WHERE vec_id = 0),
-x AS (SELECT v.vec_id, unnest(q.p) AS a, v.p AS b FROM v, q),
-y AS (SELECT vec_id, list_max(list_transform(b, lambda w: list_sum(list_transform(range(1, 17), lambda i: a[i]::DOUBLE * w[i]::DOUBLE)))) AS m FROM x)
-SELECT vec_id, round(sum(m), 6) AS s FROM y GROUP BY vec_id""")
+x AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, unnest(q.p) AS a, v.p AS b FROM v, v q WHERE q.vec_id % 20 = 0),
+y AS (SELECT query_id, doc_id, list_max(list_transform(b, lambda w: list_sum(list_transform(range(1, 17), lambda i: a[i]::DOUBLE * w[i]::DOUBLE)))) AS m FROM x),
+s AS (SELECT query_id, doc_id, round(sum(m), 8) AS score FROM y GROUP BY query_id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
+SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10""")
 def late_interaction(spark: SparkSession, d: str) -> DataFrame:
-    """Sums of best matches between the quarters of vectors."""
+    """Sums of best matches between the quarters of vectors: the ten best for every twentieth."""
     quarters = F.array(*[F.slice("embedding", 1 + 16 * k, 16) for k in range(4)])
-    v = table(spark, d, "embeddings").select("vec_id", quarters.alias("p"))
-    asked = v.where("vec_id = 0").select(F.col("p").alias("q"))
-    return v.crossJoin(F.broadcast(asked)).select("vec_id", F.round(max_sim(F.col("q"), F.col("p")), 6).alias("s"))
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), quarters.alias("v"))
+    asked = v.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
+    return matrix.max_sim(v, asked, 10).withColumn("score", F.round("score", 6))
 
 
 @query(oracle="""

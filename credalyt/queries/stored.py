@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from credalyt.operators import stored
 from credalyt.sources.folders import work_folder
+from credalyt.streaming.events import read_stream
+from credalyt.streaming.progress import run_observed
 from credalyt.sources.tables import table
 
 QUERIES: dict = {}
@@ -67,6 +69,17 @@ def batch_progress(spark: SparkSession, d: str) -> DataFrame:
     return stored.progress(rows, F.col("event_id") % 7 != 0, "job")
 
 
+@query("SELECT count(*) AS n_rows, CAST(count_if(event_id % 7 = 0) AS BIGINT) AS n_failed, count(*) AS n_done, 100.0::DOUBLE AS percent, true AS in_parts, true AS while_running FROM events")
+def live_progress(spark: SparkSession, d: str) -> DataFrame:
+    """Calls of a batch, observed part by part while it runs; the parts sum to the table."""
+    rows, path = table(spark, d, "events"), work_folder(spark, "progress")
+    rows.repartition(8, "event_id").write.parquet(f"{path}/calls")
+    stream = read_stream(spark, f"{path}/calls", rows.schema, files_each=2)
+    store = lambda part, number: part.write.mode("overwrite").parquet(f"{path}/done/part={number}")
+    parts = run_observed(stream, f"{path}/checkpoint", store, F.col("event_id") % 7 == 0, total=rows.count())
+    return parts.agg(F.sum("n_rows").alias("n_rows"), F.sum("n_failed").alias("n_failed"), F.max("n_done").alias("n_done"), F.max("percent").alias("percent"), (F.count("*") > 1).alias("in_parts"), F.bool_and("while_running").alias("while_running"))
+
+
 @query("SELECT doc_id AS sample_id, '### 样本 ' || doc_id || chr(10) || '**lang**: ' || coalesce(lang, 'N/A') || chr(10) || '**text**: ' || coalesce(text, 'N/A') || chr(10) || chr(10) || '| 评估维度 | 评分 (1-5) | 备注 |' || chr(10) || '|---|---|---|' || chr(10) || '| 逻辑清晰度 | | |' || chr(10) || '| 完整性 | | |' || chr(10) AS page FROM documents")
 def questionnaire_pages(spark: SparkSession, d: str) -> DataFrame:
     """A page of questions for each document."""
