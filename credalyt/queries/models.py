@@ -127,14 +127,16 @@ def knowledge(spark: SparkSession, d: str) -> DataFrame:
     return saved(docs.withColumn("embedding", udf.embed(F.col("content"), udf.HashingEmbedder())), work_folder(spark, "knowledge"))
 
 
-def customers(spark: SparkSession, n: int = 20) -> DataFrame:
-    return applicants(spark, n).withColumnRenamed("customer_id", "query_id").withColumnRenamed("true_risk_level", "true_level")
+def customers(spark: SparkSession, d: str) -> DataFrame:
+    """Applications of every twentieth customer, their fields made from the customer's number."""
+    ids = table(spark, d, "customer").where("c_custkey % 20 = 0").select(F.col("c_custkey").alias("id"))
+    return applicants(spark, 0, ids=ids).withColumnRenamed("customer_id", "query_id").withColumnRenamed("true_risk_level", "true_level")
 
 
 @query
 def rag_analyze(spark: SparkSession, d: str) -> DataFrame:
     """Retrieval, prompt, answer and fields for synthetic applicants."""
-    rows = retrieval.analyze(customers(spark), knowledge(spark, d), COLUMNS, udf.HashingEmbedder(), udf.EchoGenerator())
+    rows = retrieval.analyze(customers(spark, d), knowledge(spark, d), COLUMNS, udf.HashingEmbedder(), udf.EchoGenerator())
     return rows.select("query_id", "true_level", F.length("prompt").alias("prompt_length"), "analysis.risk_level", "analysis.risk_score", "analysis.approval")
 
 
@@ -142,20 +144,21 @@ def rag_analyze(spark: SparkSession, d: str) -> DataFrame:
 def rag_ablation(spark: SparkSession, d: str) -> DataFrame:
     """The variants of the system, summarised."""
     configs = retrieval.ABLATION
-    return batch.ablation_summary(retrieval.ablation(customers(spark), knowledge(spark, d), COLUMNS, udf.HashingEmbedder(), udf.EchoGenerator(), configs))
+    return batch.ablation_summary(retrieval.ablation(customers(spark, d), knowledge(spark, d), COLUMNS, udf.HashingEmbedder(), udf.EchoGenerator(), configs))
 
 
 @query
 def synthetic_card(spark: SparkSession, d: str) -> DataFrame:
-    """Prepared synthetic card transactions."""
-    rows = prep.prepare_card(card_transactions(spark, 2000, share=0.01).withColumnRenamed("id", "row_id"), ["Amount", "Time"])
+    """Prepared synthetic card transactions, one for each order."""
+    ids = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
+    rows = prep.prepare_card(card_transactions(spark, ids.count(), share=0.01, ids=ids).withColumnRenamed("id", "row_id"), ["Amount", "Time"])
     return rows.groupBy("Class", "in_test").agg(F.count("*").alias("n"), F.round(F.avg("Amount"), 4).alias("amount"))
 
 
 @query
 def synthetic_german(spark: SparkSession, d: str) -> DataFrame:
-    """Prepared synthetic applicants."""
-    rows = applicants(spark, 500).withColumn("class", (F.col("true_risk_level") == 2).cast("int") + 1).withColumnRenamed("customer_id", "row_id")
+    """Prepared synthetic applicants, one for each customer."""
+    rows = applicants(spark, 0, ids=table(spark, d, "customer").select(F.col("c_custkey").alias("id"))).withColumn("class", (F.col("true_risk_level") == 2).cast("int") + 1).withColumnRenamed("customer_id", "row_id")
     out = prep.prepare_german(rows, ["purpose", "job"], ["duration", "credit_amount", "age"])
     return out.groupBy("class", "in_test").agg(F.count("*").alias("n"), F.max("purpose").alias("purposes"))
 

@@ -34,14 +34,15 @@ _CJK = ("个人贷款risk管理", "逾期Loan 2024年", "好", "", "abc DEF", "
 
 
 @query("""
-WITH t AS (SELECT * FROM (VALUES """ + ", ".join(f"({i}, '{s}')" for i, s in enumerate(_CJK)) + """) v(id, s)),
+WITH t AS (SELECT c_custkey AS id, [""" + ", ".join(f"'{s}'" for s in _CJK) + """][c_custkey % 6 + 1] || c_mktsegment || c_custkey AS s FROM customer),
 runs AS (SELECT id, k, regexp_extract_all(s, '[\\x{4e00}-\\x{9fff}]+|[a-zA-Z0-9]+')[k] AS r FROM (SELECT id, s, unnest(range(1, len(regexp_extract_all(s, '[\\x{4e00}-\\x{9fff}]+|[a-zA-Z0-9]+')) + 1)) AS k FROM t)),
 cjk AS (SELECT id, k, i, n, substr(r, i, n) AS token FROM (SELECT id, k, r, i, unnest(range(2, 5)) AS n FROM (SELECT id, k, r, unnest(range(1, len(r) + 1)) AS i FROM runs WHERE regexp_matches(r, '^[\\x{4e00}-\\x{9fff}]'))) WHERE i + n - 1 <= len(r)),
 every AS (SELECT * FROM cjk UNION ALL SELECT id, k, 0, 0, lower(r) FROM runs WHERE NOT regexp_matches(r, '^[\\x{4e00}-\\x{9fff}]'))
-SELECT CAST(id AS INT) AS id, string_agg(token, '|' ORDER BY k, i, n) AS tokens FROM every GROUP BY id""")
+SELECT id, string_agg(token, '|' ORDER BY k, i, n) AS tokens FROM every GROUP BY id""")
 def cjk_ngram_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """CJK n-grams of literal texts (no table has CJK text)."""
-    rows = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({i}, '{s}')" for i, s in enumerate(_CJK)) + " AS v(id, s)")
+    """CJK n-grams of a phrase beside each customer's segment (no table has CJK text)."""
+    phrase = F.element_at(F.array(*map(F.lit, _CJK)), (F.col("c_custkey") % 6 + 1).cast("int"))
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat(phrase, "c_mktsegment", F.col("c_custkey").cast("string")).alias("s"))
     return rows.select("id", F.array_join(text.cjk_ngram_tokens(F.col("s")), "|").alias("tokens")).where("tokens <> ''")
 
 

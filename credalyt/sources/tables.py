@@ -111,9 +111,10 @@ def between(low: int, high: int, *key: Column) -> Column:
     return (F.floor(uniform(*key) * (high - low + 1)) + low).cast("int")
 
 
-def card_transactions(spark: SparkSession, n: int, seed: int = 42, share: float = 0.00172) -> DataFrame:
-    """Synthetic card data: uniform times, exponential amounts, normal features, int(n * share) positives."""
-    rows = spark.range(n)
+def card_transactions(spark: SparkSession, n: int, seed: int = 42, share: float = 0.00172, ids: DataFrame | None = None) -> DataFrame:
+    """Synthetic card data: uniform times, exponential amounts, normal features, int(n * share) positives;
+    ``ids``, n unique numbers in a column id, may come from a table."""
+    rows = spark.range(n) if ids is None else ids.select("id")
     i = F.col("id")
     u = lambda name: F.greatest(uniform(F.lit(f"{seed}{name}"), i), F.lit(1e-12))
     normal = lambda k: F.sqrt(-2.0 * F.log(u(f"a{k}"))) * F.cos(F.lit(6.283185307179586) * u(f"b{k}"))
@@ -131,8 +132,9 @@ APPLICANTS = {
 }
 
 
-def applicants(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
-    """Synthetic applicants with their true level (0.3, 0.4 and 0.3 of them low, medium and high)."""
+def applicants(spark: SparkSession, n: int, seed: int = 42, ids: DataFrame | None = None) -> DataFrame:
+    """Synthetic applicants with their true level (0.3, 0.4 and 0.3 of them low, medium and high); for
+    numbers below n, or for those in column id of ``ids``."""
     i, s = F.col("id"), F.lit(str(seed))
     u = uniform(s, F.lit("level"), i)
     level = F.when(u < 0.3, 0).when(u < 0.7, 1).otherwise(2)
@@ -142,7 +144,7 @@ def applicants(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
 
     k = lambda name: (s, F.lit(name), i)
     codes = lambda c, drop=(): pick([x for x in CODES[c] if x not in drop], *k(c)).alias(c)
-    rows = spark.range(n).withColumn("true_risk_level", level)
+    rows = (spark.range(n) if ids is None else ids.select("id")).withColumn("true_risk_level", level)
     return rows.select(
         F.format_string("CUST_%04d", i).alias("customer_id"),
         by_level(lambda a: pick(a[4], *k("checking"))).alias("checking_status"),
