@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from credalyt.functions.text import token_estimate
 
@@ -152,3 +153,25 @@ def entry(title: Column, content: Column, metadata: Column) -> Column:
     return F.struct(title.alias("title"), content.alias("content"), metadata.alias("metadata"))
 
 
+
+
+def batch_records(records: DataFrame, columns: list[str], batch: str, order: str) -> DataFrame:
+    """(batch, text): the records of each batch, numbered from 1 in their order, each under its heading.
+
+    A batch is what one prompt holds, so its size is that of a prompt."""
+    place = F.row_number().over(Window.partitionBy(batch).orderBy(order))
+    one = records.select(batch, place.alias("i"), format_record(columns).alias("record"))
+    items = F.array_sort(F.collect_list(F.struct("i", "record")))
+    return one.groupBy(batch).agg(items.alias("items")).select(batch, F.array_join(F.transform("items", lambda x: F.concat(F.format_string("\n### 申请 %d\n", x["i"]), x["record"])), "\n").alias("text"))
+
+
+# Fixed value: the fields of the answer that the plain prompt asks for.
+ANSWER_FIELDS = ("risk_level", "risk_score", "risk_factors", "favorable_factors", "recommendation", "knowledge_sources")
+PLAIN_TEMPLATE = "你是金融风控专家。请根据客户特征和专业知识评估风险。\n\n## 客户特征\n$features\n\n## 相关专业知识\n$knowledge\n\n请只输出JSON，字段：" + "、".join(ANSWER_FIELDS)
+
+
+def plain_prompt(names: list[str], knowledge: Column | None = None, template: str = PLAIN_TEMPLATE) -> Column:
+    """The prompt for a JSON answer: '- name: value' for each feature, '[i] text' for each piece of knowledge."""
+    features = F.concat_ws("\n", *[F.concat(F.lit(f"- {n}: "), F.coalesce(F.col(n).cast("string"), F.lit("None"))) for n in names])
+    pieces = F.lit("") if knowledge is None else F.array_join(F.transform(knowledge, lambda x, i: F.concat(F.format_string("[%d] ", i + 1), x)), "\n")
+    return fill_template(template, features=features, knowledge=pieces)

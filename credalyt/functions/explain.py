@@ -155,14 +155,42 @@ def explanation_points(success: Column, factors: Column, sources: Column, parsed
     return F.when(success, points).otherwise(0)
 
 
-def render_explanation(record_id: Column, level_text: Column, risk: Column, favorable: Column, approval: Column) -> Column:
-    """A report in Markdown from arrays of struct<name, description>."""
-    part = lambda items, none: F.when(F.size(items) > 0, F.array_join(F.transform(items, lambda x, i: F.format_string("\n**%d. %s**\n   %s\n", i + 1, x["name"], x["description"])), "")).otherwise(none)
-    limit = F.when(level_text == "低风险", "申请金额的100%").when(level_text == "中风险", "申请金额的75%").otherwise("不建议授信")
+# What a report says where nothing was found, of the limit by level, and its sources.
+NO_RISK, NO_FAVORABLE = "\n暂未识别到明显风险因素。\n", "\n暂未识别到明显有利因素。\n"
+LIMITS = {"低风险": "可给予较高授信额度，建议额度为申请金额的100%。", "中风险": "建议适度控制授信额度，可给予申请金额的70%-80%。"}
+OTHER_LIMIT = "建议严格控制授信额度或拒绝申请。"
+SOURCES = ("风险案例: 类似客户违约案例分析", "监管法规: 个人贷款管理暂行办法", "行业知识: 信贷风险评估最佳实践")
+
+
+def _optional(lead: str, value: Column, end: str) -> Column:
+    return F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(lead), value, F.lit(end))).otherwise("")
+
+
+def render_explanation(record_id: Column, level_text: Column, risk: Column, favorable: Column, approval: Column, at: Column, monitoring: Column | None = None, mitigation: Column | None = None) -> Column:
+    """A report in Markdown: level, factors with weight, description and source (struct<name, description, weight,
+    source_reference>), favourable ones with their mitigation (struct<name, description, risk_mitigation>), advice,
+    limit, what to watch and how to mitigate (arrays of text), and sources.  ``at`` is the time of the analysis."""
+
+    def listed(items: Column, one, none: str) -> Column:
+        return F.when(F.size(items) > 0, F.array_join(F.transform(items, one), "")).otherwise(none)
+
+    def harm(x: Column, i: Column) -> Column:
+        head = F.concat(F.format_string("\n**%d. ", i + 1), x["name"], F.lit("** (权重: "), F.coalesce(x["weight"], F.lit("中")), F.lit(")\n   "), x["description"], F.lit("\n"))
+        return F.concat(head, _optional("   *参考来源: [", x["source_reference"], "]*\n"))
+
+    def help_(x: Column, i: Column) -> Column:
+        head = F.concat(F.format_string("\n**%d. ", i + 1), x["name"], F.lit("**\n   "), x["description"], F.lit("\n"))
+        return F.concat(head, _optional("   *风险缓释作用: ", x["risk_mitigation"], "*\n"))
+
+    points = lambda items: F.lit("") if items is None else F.array_join(F.transform(F.coalesce(items, F.array().cast("array<string>")), lambda x: F.concat(F.lit("- "), x, F.lit("\n"))), "")
+    limit = F.lit(OTHER_LIMIT)
+    for level, text in LIMITS.items():
+        limit = F.when(level_text == level, text).otherwise(limit)
     return F.concat(
-        F.lit("## 风险分析报告\n**客户ID**: "), record_id,
-        F.lit("\n\n### 一、风险等级判定\n根据综合评估，风险等级：**"), level_text, F.lit("**\n\n### 二、风险因素\n"), part(risk, "\n暂未识别到明显风险因素。\n"),
-        F.lit("\n### 三、有利因素\n"), part(favorable, "\n暂未识别到明显有利因素。\n"),
-        F.lit("\n### 四、决策建议\n**审批建议**: "), approval, F.lit("\n授信额度: "), limit,
-        F.lit("\n\n### 五、知识来源\n- [1] 风险案例\n- [2] 监管法规\n- [3] 行业知识\n"),
+        F.lit("## 风险分析报告\n**客户ID**: "), F.coalesce(record_id, F.lit("N/A")), F.lit("\n**分析时间**: "), F.date_format(at, "yyyy-MM-dd HH:mm:ss"),
+        F.lit("\n\n### 一、风险等级判定\n根据综合评估，该客户的风险等级为**"), level_text, F.lit("**。\n"),
+        F.lit("\n### 二、风险因素分析\n"), listed(risk, harm, NO_RISK), F.lit("\n### 三、有利因素分析\n"), listed(favorable, help_, NO_FAVORABLE),
+        F.lit("\n### 四、决策建议\n**审批建议**: "), approval, F.lit("\n\n**授信额度建议**: "), limit,
+        F.lit("\n\n### 五、风险监控指标\n"), points(monitoring), F.lit("\n### 六、风险缓释措施\n"), points(mitigation),
+        F.lit("\n### 七、知识来源引用\n" + "".join(f"- [{i}] {x}\n" for i, x in enumerate(SOURCES, 1))),
     )

@@ -119,6 +119,50 @@ def generate(prompt: Column, client: Generator) -> Column:
     return run(prompt)
 
 
+TRIED = "text string, attempts int, error string"
+
+
+def generate_with_attempts(prompt: Column, client: Generator, tries: int = 3, delay: float = 1.0, factor: float = 2.0, most: float = 30.0) -> Column:
+    """struct<text, attempts, error>: each prompt on its own, called again after an error, each time later."""
+
+    def one(text: str) -> tuple[str | None, int, str | None]:
+        wait = delay
+        for attempt in range(1, tries + 1):
+            try:
+                return client([text])[0], attempt, None
+            except Exception as e:
+                error = str(e)
+            if attempt < tries:
+                time.sleep(min(wait, most))
+                wait *= factor
+        return None, tries, error
+
+    @F.pandas_udf(TRIED)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            yield pd.DataFrame([one(t) for t in s.fillna("")], columns=["text", "attempts", "error"])
+
+    return run(prompt)
+
+
+class FlakyGenerator:
+    """A stand-in that fails for a prompt as often as its MD5 says (0 to 4 times), then answers."""
+
+    def __init__(self) -> None:
+        self.calls: Counter = Counter()
+
+    def __call__(self, prompts: list[str]) -> list[str]:
+        out = []
+        for p in prompts:
+            fails = int(hashlib.md5(p.encode()).hexdigest()[:8], 16) % 5
+            self.calls[p] += 1
+            if self.calls[p] <= fails:
+                raise RuntimeError(f"busy {self.calls[p]}")
+            del self.calls[p]
+            out.append(f"{len(p)}")
+        return out
+
+
 def embed_with_cache(docs: DataFrame, cache: DataFrame, client: Embedder, text: str = "text", most: int = 8000) -> DataFrame:
     """``docs`` with embedding: from the cache (cache_key, embedding) or the client, one call for each distinct text."""
     cut = F.left(F.coalesce(F.col(text), F.lit("")), F.lit(most))

@@ -177,3 +177,45 @@ def numeric_features(spark: SparkSession, d: str) -> DataFrame:
     rows, target = prep.features_and_target(table(spark, d, "orders"), "o_orderstatus")
     assert target.columns == ["o_orderstatus"]
     return rows.select(*prep.numeric_columns(rows))
+
+
+_RISK_TEXT = "[{'n': '收入', 'd': '收入波动 ' || o_orderkey, 'w': '高', 's': '1'}, {'n': '负债', 'd': '负债偏高', 'w': NULL, 's': NULL}]"
+
+
+@query(f"""
+WITH o AS (SELECT o_orderkey, ['低风险', '中风险', '高风险'][o_orderkey % 3 + 1] AS level, CASE WHEN o_orderkey % 2 = 0 THEN {_RISK_TEXT} ELSE [] END AS risk, o_orderkey % 5 = 0 AS good, o_orderdate FROM orders),
+r AS (SELECT *, coalesce(list_reduce([''] || list_transform(range(1, len(risk) + 1), lambda i: chr(10) || '**' || i || '. ' || risk[i].n || '** (权重: ' || coalesce(risk[i].w, '中') || ')' || chr(10) || '   ' || risk[i].d || chr(10) || CASE WHEN risk[i].s IS NOT NULL THEN '   *参考来源: [' || risk[i].s || ']*' || chr(10) ELSE '' END), lambda a, b: a || b), '') AS harm FROM o)
+SELECT o_orderkey, md5('## 风险分析报告' || chr(10) || '**客户ID**: ' || o_orderkey || chr(10) || '**分析时间**: ' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')
+  || chr(10) || chr(10) || '### 一、风险等级判定' || chr(10) || '根据综合评估，该客户的风险等级为**' || level || '**。' || chr(10)
+  || chr(10) || '### 二、风险因素分析' || chr(10) || CASE WHEN harm <> '' THEN harm ELSE chr(10) || '暂未识别到明显风险因素。' || chr(10) END
+  || chr(10) || '### 三、有利因素分析' || chr(10) || CASE WHEN good THEN chr(10) || '**1. 储蓄**' || chr(10) || '   有储蓄' || chr(10) || '   *风险缓释作用: 可降低损失*' || chr(10) ELSE chr(10) || '暂未识别到明显有利因素。' || chr(10) END
+  || chr(10) || '### 四、决策建议' || chr(10) || '**审批建议**: 人工复核' || chr(10) || chr(10) || '**授信额度建议**: ' || CASE level WHEN '低风险' THEN '可给予较高授信额度，建议额度为申请金额的100%。' WHEN '中风险' THEN '建议适度控制授信额度，可给予申请金额的70%-80%。' ELSE '建议严格控制授信额度或拒绝申请。' END
+  || chr(10) || chr(10) || '### 五、风险监控指标' || chr(10) || '- 还款记录' || chr(10) || chr(10) || '### 六、风险缓释措施' || chr(10)
+  || chr(10) || '### 七、知识来源引用' || chr(10) || '- [1] 风险案例: 类似客户违约案例分析' || chr(10) || '- [2] 监管法规: 个人贷款管理暂行办法' || chr(10) || '- [3] 行业知识: 信贷风险评估最佳实践' || chr(10)) AS report FROM r""")
+def rendered_explanations(spark: SparkSession, d: str) -> DataFrame:
+    """Reports of applications, digested."""
+    key = F.col("o_orderkey")
+    kind = "array<struct<name string, description string, weight string, source_reference string>>"
+    harm = F.array(F.struct(F.lit("收入").alias("name"), F.concat(F.lit("收入波动 "), key.cast("string")).alias("description"), F.lit("高").alias("weight"), F.lit("1").alias("source_reference")), F.struct(F.lit("负债").alias("name"), F.lit("负债偏高").alias("description"), F.lit(None).cast("string").alias("weight"), F.lit(None).cast("string").alias("source_reference")))
+    good = F.array(F.struct(F.lit("储蓄").alias("name"), F.lit("有储蓄").alias("description"), F.lit("可降低损失").alias("risk_mitigation")))
+    level = F.element_at(F.array(*[F.lit(parse.LEVEL_NAMES[i]) for i in range(3)]), (key % 3 + 1).cast("int"))
+    t_kind = "array<struct<name string, description string, risk_mitigation string>>"
+    report = explain.render_explanation(key.cast("string"), level, F.when(key % 2 == 0, harm.cast(kind)).otherwise(F.array().cast(kind)), F.when(key % 5 == 0, good.cast(t_kind)).otherwise(F.array().cast(t_kind)), F.lit("人工复核"), F.col("o_orderdate"), monitoring=F.array(F.lit("还款记录")))
+    return table(spark, d, "orders").select("o_orderkey", F.md5(report.cast("binary")).alias("report"))
+
+
+@query("""
+WITH o AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, '- credit_amount_total：' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) || chr(10) || '- priority：' || o_orderpriority AS record FROM orders)
+SELECT o_custkey, string_agg(chr(10) || '### 申请 ' || i || chr(10) || record, chr(10) ORDER BY i) AS text FROM o GROUP BY o_custkey""")
+def batch_prompt_records(spark: SparkSession, d: str) -> DataFrame:
+    """The orders of each customer as one batch of applications."""
+    rows = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.floor("o_totalprice").alias("credit_amount_total"), F.col("o_orderpriority").alias("priority"))
+    return decode.batch_records(rows, ["credit_amount_total", "priority"], "o_custkey", "o_orderkey")
+
+
+@query(f"""
+SELECT c_custkey, replace(replace('{decode.PLAIN_TEMPLATE}', '$features', '- c_mktsegment: ' || coalesce(c_mktsegment, 'None') || chr(10) || '- c_nationkey: ' || coalesce(CAST(c_nationkey AS VARCHAR), 'None')), '$knowledge', '[1] ' || c_name || chr(10) || '[2] ' || c_mktsegment) AS prompt FROM customer""")
+def plain_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts for JSON answers, with features and knowledge."""
+    prompt = decode.plain_prompt(["c_mktsegment", "c_nationkey"], F.array("c_name", "c_mktsegment"))
+    return table(spark, d, "customer").select("c_custkey", prompt.alias("prompt"))

@@ -117,6 +117,26 @@ def udf_generate(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", udf.generate(F.col("text"), udf.EchoGenerator()).alias("a")).select("conv_id", "turn", "a.*")
 
 
+@query(oracle="""
+WITH t AS (SELECT DISTINCT text, (('0x' || substr(md5(text), 1, 8))::BIGINT) % 5 AS fails FROM conversations)
+SELECT md5(text) AS key, CASE WHEN fails < 3 THEN CAST(length(text) AS VARCHAR) END AS answer, CAST(least(fails + 1, 3) AS INT) AS attempts, CASE WHEN fails >= 3 THEN 'busy 3' END AS error FROM t""")
+def udf_retries(spark: SparkSession, d: str) -> DataFrame:
+    """Calls of a client that is busy at first: answers, attempts and last errors."""
+    texts = table(spark, d, "conversations").select("text").distinct()
+    return texts.select(F.md5(F.col("text").cast("binary")).alias("key"), udf.generate_with_attempts(F.col("text"), udf.FlakyGenerator(), delay=0.0).alias("a")).select("key", F.col("a.text").alias("answer"), "a.attempts", "a.error")
+
+
+@query
+def model_importances(spark: SparkSession, d: str) -> DataFrame:
+    """Components by importance for a forest that was saved and loaded again."""
+    rows = vectors(spark, d)
+    path = work_folder(spark, "forest")
+    ml.load_or_train(path, lambda: ml.train(rows.where("not in_test"), "rf", "embedding"))
+    loaded = ml.load_or_train(path, lambda: None)
+    found = ml.importances(loaded, [str(i) for i in range(64)])
+    return spark.createDataFrame([(i + 1, int(n), v) for i, (n, v) in enumerate(found)], "place int, feature int, importance double")
+
+
 COLUMNS = ["checking_status", "duration", "credit_history", "purpose", "credit_amount", "savings_status", "employment", "age", "housing", "job"]
 
 

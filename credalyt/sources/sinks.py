@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credalyt.sources.folders import exists
+from credalyt.sources.folders import exists, saved, work_folder
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -43,8 +43,10 @@ def write_matrix(df: DataFrame, path: str, info: dict) -> None:
 
 
 def numbered(df: DataFrame, start: int = 0) -> DataFrame:
-    """``df`` with _place: its rows counted on from ``start``, partition by partition (one count for each)."""
-    rows = df.withColumn("_place", F.monotonically_increasing_id())
+    """``df`` with _place: its rows counted on from ``start``, partition by partition (one count for each).
+
+    The rows are written before they are numbered, so the counts and the numbers see the same partitions."""
+    rows = saved(df.withColumn("_place", F.monotonically_increasing_id()), work_folder(df.sparkSession, "numbered"))
     part, offset, offsets = F.shiftright("_place", 33), start, []
     for r in rows.groupBy(part.alias("p")).count().orderBy("p").collect():
         offsets.append(F.struct(F.lit(r.p).alias("p"), F.lit(offset).cast("long").alias("o")))
