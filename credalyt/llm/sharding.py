@@ -16,7 +16,7 @@ as many as ``block_rows`` asks for, and places are offsets of ranges plus ranks
 
 Law ``rows``: counts of shards are at most one apart.  Given the same rows and seed the
 result is the same on every cluster; rows that are equal in id, length and checksum are
-interchangeable.  A null text has size 8 and checksum 0, as the empty text; long texts
+interchangeable, and where many of them crowd a block they are numbered and dealt out one by one.  A null text has size 8 and checksum 0, as the empty text; long texts
 count whole.  Rows without id and repeated rows are dealt like others.  With fewer rows
 than shards some shards are empty, and an empty table gives an empty result.  Extra columns pass through; where one has the
 name of a result column, the result's stays.  DataFrame functions only.
@@ -36,6 +36,8 @@ from credalyt.llm.scratch import Plain, Scratch
 SHARDS, SEED = 24, 20240
 #: rows of a block or a range of a shard, the least number of blocks and of ranges, and blocks whose matrix is broadcast
 BLOCK_ROWS, MIN_BLOCKS, MIN_RANGES, BROADCAST_BLOCKS = 200_000, 256, 64, 1 << 16
+#: more rows of one id, size and checksum than this are dealt out one by one where they crowd a block
+COPIES = 100
 RESULT = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
 
 
@@ -80,8 +82,33 @@ def communication_matrix(block_rows: list[int], shard_rows: list[int], seed: int
     return out
 
 
-def _spread(seed: int) -> Column:
-    return F.xxhash64("key", "size", "text_crc32", F.lit(seed))
+def _spread(seed: int, dealt: bool = False) -> Column:
+    own = F.xxhash64("key", "size", "text_crc32", F.lit(seed))
+    return F.when(F.col("copy").isNull(), own).otherwise(F.xxhash64("key", "size", "text_crc32", F.lit(seed), "copy")) if dealt else own
+
+
+def _crowded(counts: dict[int, int], total: int) -> list[int]:
+    """Blocks that have far more rows than blocks have by chance: rows of one key, size and checksum are in them."""
+    mean = total / max(len(counts), 1)
+    return [b for b, n in counts.items() if n > 2 * mean + 1000]
+
+
+def _with_copies(rows: DataFrame, crowded: list[int], scratch: Scratch) -> DataFrame:
+    """``rows`` with ``copy``: the rows of a large group that no hash can tell apart are counted from 0, in any
+    order, as they are interchangeable; null for others.  Counts of the group's rows in each partition are summed
+    first, so no task sees a whole group; the rows are written before, so all passes see the same partitions."""
+    same = ["key", "size", "text_crc32"]
+    groups = rows.where(F.col("block").isin(crowded)).groupBy(*same).agg(F.count("*").alias("copies")).where(F.col("copies") > COPIES)
+    groups = scratch.save(groups.withColumn("group", F.monotonically_increasing_id())).select(*[F.col(c).alias(f"g_{c}") for c in same], "group")
+    on = F.col("key").eqNullSafe(F.col("g_key")) & (F.col("size") == F.col("g_size")) & (F.col("text_crc32") == F.col("g_text_crc32"))
+    tagged = scratch.save(rows.withColumn("at", F.monotonically_increasing_id()).join(groups, on, "left").drop(*[f"g_{c}" for c in same]).withColumn("part", F.shiftright("at", 33)))
+    counts = tagged.where("group is not null").groupBy("group", "part").agg(F.count("*").alias("n"))
+    before = counts.select(F.col("group").alias("o_group"), F.col("part").alias("o_part"), (F.sum("n").over(Window.partitionBy("group").orderBy("part")) - F.col("n")).alias("offset"))
+    rank = F.row_number().over(Window.partitionBy("group", "part").orderBy("at"))
+    copies = tagged.where("group is not null").withColumn("rank", rank).join(before, (F.col("group") == F.col("o_group")) & (F.col("part") == F.col("o_part")))
+    held = [c for c in tagged.columns if c not in ("at", "group", "part")]
+    others = tagged.where("group is null").select(*held, F.lit(None).cast("long").alias("copy"))
+    return others.unionByName(copies.select(*held, (F.col("offset") + F.col("rank") - 1).alias("copy")))
 
 
 def _power(n: int, least: int) -> int:
@@ -97,13 +124,18 @@ def shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shar
     held = [plain[c] for c in keep]
     text = F.coalesce(F.col(plain[text_col]).cast("string"), F.lit(""))
     rows = plain.df.select(*held, F.col(plain[id_col]).cast("string").alias("key"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    scratch = Scratch(spark, "shards")
     if text_col not in keep:  # texts are read once
-        rows = Scratch(spark, "shards").save(rows)
+        rows = scratch.save(rows)
     total = rows.count()
     blocks, ranges = _power(total // block_rows, MIN_BLOCKS), _power(total // n_shards // block_rows, MIN_RANGES)
     rows = rows.withColumn("block", F.pmod(_spread(seed), F.lit(blocks)).cast("int"))
 
     counted = {r.block: r["count"] for r in rows.groupBy("block").count().collect()}  # one number for each block
+    dealt = bool(crowded := _crowded(counted, total))
+    if dealt:
+        rows = _with_copies(rows, crowded, scratch).withColumn("block", F.pmod(_spread(seed, True), F.lit(blocks)).cast("int"))
+        counted = {r.block: r["count"] for r in rows.groupBy("block").count().collect()}
     n = [counted.get(b, 0) for b in range(blocks)]
     wanted = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
     ends = []
@@ -112,15 +144,16 @@ def shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shar
         ends.append(",".join(str(at := at + x) for x in row))
     matrix = spark.range(1).select(F.posexplode(F.split(F.lit(";".join(ends)), ";")).alias("block", "ends")).select("block", F.split("ends", ",").cast("array<bigint>").alias("cuts"))
     matrix = F.broadcast(matrix) if blocks <= BROADCAST_BLOCKS else matrix
-    local = Window.partitionBy("block").orderBy(_spread(seed + 1), "key", "size", "text_crc32")
+    last = ["key", "size", "text_crc32", *(["copy"] if dealt else [])]
+    local = Window.partitionBy("block").orderBy(_spread(seed + 1, dealt), *last)
     sent = rows.withColumn("rank", F.row_number().over(local)).join(matrix, "block")
     sent = sent.withColumn("shard", F.size(F.filter("cuts", lambda c: c < F.col("rank"))).cast("int")).drop("cuts", "rank", "block")
 
-    sent = sent.withColumn("mix", _spread(seed + 2))
+    sent = sent.withColumn("mix", _spread(seed + 2, dealt))
     sent = sent.withColumn("range", F.shiftrightunsigned("mix", 64 - int(math.log2(ranges))).cast("int"))
     sizes = sent.groupBy("shard", "range").agg(F.count("*").alias("n"))
     offsets = sizes.withColumn("offset", F.sum("n").over(Window.partitionBy("shard").orderBy("range")) - F.col("n")).drop("n")
-    final = Window.partitionBy("shard", "range").orderBy(F.shiftrightunsigned("mix", 1), "mix", "key", "size", "text_crc32")
+    final = Window.partitionBy("shard", "range").orderBy(F.shiftrightunsigned("mix", 1), "mix", *last)
     placed = sent.withColumn("place", F.row_number().over(final)).join(offsets, ["shard", "range"])
     out = placed.withColumns({"slot": (F.col("offset") + F.col("place") - 1).cast("long"), "law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
     return plain.back(out, keep, RESULT)

@@ -320,6 +320,21 @@ def test_sharding_brute_force(spark):
     assert {r.doc_id: (r.shard, r.slot) for r in sharding.shards(df, n_shards=5).collect()} == want
 
 
+def test_many_equal_rows_are_dealt_out(spark):
+    """Half of the rows have no id and no text: they spread over all blocks, and layouts agree."""
+    df = spark.range(20_000).select(F.col("id").cast("long").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    df = df.unionByName(spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text")))
+    seen, deal = [], sharding.communication_matrix
+    sharding.communication_matrix = lambda n, *a: seen.append(n) or deal(n, *a)
+    try:
+        every = [sharding.shards(df.repartition(p), keep=k).collect() for p, k in ((3, ["doc_id"]), (7, ["doc_id"]), (5, ["doc_id", "text"]))]
+    finally:
+        sharding.communication_matrix = deal
+    got = [Counter((r.doc_id, r.shard) for r in rows) for rows in every]
+    assert got[0] == got[1] == got[2] and all(max(n) < 300 and sum(n) == 40_000 for n in seen)
+    assert all(len({(r.shard, r.slot) for r in rows}) == 40_000 and max(r.slot for r in rows) == 40_000 // 24 for rows in every)
+
+
 def test_hypergeometric_law():
     rng = random.Random(2)
     draws = [sharding.hypergeometric(rng, 30, 70, 20) for _ in range(4000)]
