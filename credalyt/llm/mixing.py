@@ -38,6 +38,8 @@ from pyspark.sql.window import Window
 from credalyt.llm.scratch import Plain, Scratch
 
 MOST_REPEATS = 3
+#: a bucket's rows on average at most: the hex digits of buckets, three at least, grow with the rows
+BUCKET_ROWS = 50_000
 WEIGHTS = (1, 2, 3)
 #: slope of a weight's schedule, by weight
 SLOPES = {1: -0.5, 2: 0.0, 3: 0.5}
@@ -84,7 +86,10 @@ def _sized(plain: Plain, id_col: str, text_col: str, source_col: str) -> DataFra
     src = F.col(plain[source_col]).cast("string")
     rows = plain.df.withColumns({"size": text_size(plain[text_col]), "source": F.coalesce(F.concat(F.lit("s"), src), F.lit("~")), "spread": spread})
     hashed = [c for c in plain.cols() if "map<" not in plain.df.schema[c].dataType.simpleString() and "variant" not in plain.df.schema[c].dataType.simpleString()]
-    return rows.withColumns({"bucket": F.substring("spread", 1, 3), "tie": F.xxhash64(*hashed)})
+    total, digits = plain.df.count(), 3
+    while total > BUCKET_ROWS * 16**digits:
+        digits += 1
+    return rows.withColumns({"bucket": F.substring("spread", 1, digits), "tie": F.xxhash64(*hashed)})
 
 
 def _placed(rows: DataFrame, most_repeats: int) -> DataFrame:
