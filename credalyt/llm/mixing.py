@@ -18,9 +18,9 @@ starts at a share f of its source's demand happens when that integral is f; the
 position is the number of words that all sources together have used by then.  Draws
 are range-sorted by position.
 
-Running sums inside a source go by bucket (the first three hex digits of the MD5):
-bucket totals first, then within buckets, so a source with a third of all rows is
-dealt to 4,096 groups.
+Running sums inside a source go by bucket (the first hex digits of the MD5, three
+and more as the rows grow): bucket totals first, then within buckets, so a source with a third
+of all rows is dealt to 4,096 groups and more.
 
 Null or empty texts have size 0 and are taken 0 words; long texts are read whole.  Rows
 that share an id, or have none, stand where their texts' hashes put them; rows of one id
