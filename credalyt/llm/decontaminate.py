@@ -3,21 +3,21 @@
 A window is ``window`` consecutive words of a benchmark item (an item of fewer, but
 not none, is one window).  A document contains a window only if it contains all of
 the window's shingles, so with shingles in one fixed order a prefix of a single
-shingle is enough to find every occurrence.  The order is by rarity: occurrences of
-the items' shingles are first counted over all documents, and each window is looked
-up by its rarest.
-
-1. ``shingle_counts`` counts, over all documents and in one pass, how often each shingle
-   of the items occurs.
-2. Every document looks up its shingles in the windows' prefixes.  The shingle's
-   place in the window gives the only possible start, which must lie inside the
-   document with the whole window (positional and length bound).
-3. The bytes of the item-sized window are compared.
-
-Items are small beside documents but not bounded, so they are dealt into blocks of
-about ``block_windows`` windows, kept as arrays of some 60 bytes each.  A block is sent
-to the executors; documents flow through the blocks one after another in the same
-tasks, with no shuffle of texts.
+shingle is enough to find every occurrence.  The order is by rarity over all documents.
+
+1. The items' distinct windows become a table, each with the hashes of its shingles.
+2. One pass over the documents counts how often each of these shingles occurs.  A window
+   that has one which never occurs goes; each other is filed under its rarest.
+3. A second pass posts the places of filed shingles with the bytes around them, and
+   posts meet windows by an equi-join on the shingle.  Where the shingle stands
+   in the window gives the only possible start, which must lie inside the document with
+   the whole window (place and length bounds); then the bytes of the window are compared.
+
+Nothing has the size of the benchmark on the driver or in a task: windows, counts and posts
+are tables, and documents are screened by a bit filter of at most ``2**FILTER_BITS`` bits (a
+full one lets more shingles through to the joins and changes no result).  A shingle with more
+than a 1,024th of all places is salted: its places are dealt out, its windows repeated.  Texts
+are never shuffled to find hits; these are filed by the digest of the text, so copies share them.
 
 Null or empty documents and documents without words have n_words 0 and no hits; very
 long ones are read whole, one chunk each.  Items without words have no windows; those of an
@@ -28,119 +28,30 @@ Extra columns pass through; where one has the name of a result column, the resul
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from credalyt.llm.scratch import Plain
+from credalyt.llm.scratch import Plain, Scratch
 from credalyt.llm.textkernel import ALNUM, Rolling, chunks, joined, words
 
 WINDOW, SHINGLE = 13, 5
-BLOCK_WINDOWS = 1 << 21
+#: bits of the filter that screens the documents' shingles (16 megabytes of them at most)
+FILTER_BITS = 27
+#: places of a shingle that are not worth salting
+FEW_PLACES = 50_000
+#: rows of a batch that a task gives back
+BATCH = 10_000
 RESULT = ("n_words", "hit_spans", "item_ids")
+WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _ROLL = Rolling(20240)
 
 
-class Block:
-    """The windows of some items, arranged for lookup by one shingle each.
-
-    A window is the place of its first word in the items' joined text and its number of words."""
-
-    def __init__(self, items: pa.Table, window: int = WINDOW, shingle: int = SHINGLE):
-        ids = items.column(0).to_pylist()
-        self.items = sorted({i for i in ids if i is not None})
-        at = {i: n for n, i in enumerate(self.items)} | {None: -1}
-        own = np.array([at[i] for i in ids], np.int64)
-        words_, texts, done, length = 0, [], 0, 0
-        parts: dict[str, list[np.ndarray]] = {c: [] for c in ("starts", "ends", "first", "size", "item", "hash")}
-        by_size: dict[int, list[np.ndarray]] = {s: [] for s in range(1, shingle + 1)}
-        for part, raw, offs in chunks(items.to_batches(), items.schema.names[1]):  # hashing takes memory by its text
-            w = _Words(raw, offs)
-            n = np.diff(w.of_row)
-            many = np.where(n > 0, np.maximum(n - window + 1, 1), 0)
-            row = np.repeat(np.arange(len(n)), many)
-            first = w.of_row[:-1][row] + np.arange(len(row)) - (np.cumsum(many) - many)[row]
-            size = np.minimum(n[row], window)
-            found = _ROLL.spans(w.prefix, w.starts[first], w.ends[first + size - 1]) if len(row) else np.empty(0, np.uint64)
-            for name, x in zip(parts, (w.starts + length, w.ends + length, first + words_, size, own[done + row], found)):
-                parts[name].append(x)
-            for s in by_size:
-                h = w.shingles(s) if s == shingle or (n == s).any() else np.empty(0, np.uint64)
-                by_size[s].append(np.concatenate([h, np.zeros(len(w.starts) - len(h), np.uint64)]))
-            texts.append(w.text)
-            done, words_, length = done + part.num_rows, words_ + len(w.starts), length + len(w.text)
-        join = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
-        self.text = join(texts, np.uint8)
-        self.starts, self.ends, first, size, item = (join(parts[c], np.int64).astype(np.int32) for c in ("starts", "ends", "first", "size", "item"))
-        hashes = join(parts["hash"], np.uint64)
-        del parts, texts
-        order = np.argsort(hashes, kind="stable")
-        hashes, first, size, item = hashes[order], first[order], size[order], item[order]
-        new, text = np.ones(len(order), bool), memoryview(self.text.tobytes())
-        for k in (np.flatnonzero(hashes[1:] == hashes[:-1]) + 1).tolist():  # windows that occur again
-            a, b = k - 1, k
-            new[k] = text[self.starts[first[a]] : self.ends[first[a] + size[a] - 1]] != text[self.starts[first[b]] : self.ends[first[b] + size[b] - 1]]
-        of = np.cumsum(new) - 1
-        self.first, self.size = first[new], size[new]
-        #: items of window k: of_item[cuts[k] : cuts[k + 1]]
-        pairs = np.unique(of[item >= 0] * (len(self.items) + 1) + item[item >= 0])
-        self.of_item = (pairs % (len(self.items) + 1)).astype(np.int32)
-        self.cuts = np.searchsorted(pairs // (len(self.items) + 1), np.arange(len(self.first) + 1))
-        self.shingle = np.minimum(shingle, self.size)
-        self.hashes = {s: join(by_size[s], np.uint64) for s in np.unique(self.shingle).tolist()}
-        self.wanted = {s: np.unique(np.concatenate([h[a : a + k - s + 1] for a, k in self._places(s)])) for s, h in self.hashes.items()}
-
-    def _places(self, s: int) -> Iterator[tuple[int, int]]:
-        """Disjoint stretches (first word, words) that windows with shingles of ``s`` words cover."""
-        mine = np.flatnonzero(self.shingle == s)
-        a, b = self.first[mine].astype(np.int64), (self.first[mine] + self.size[mine]).astype(np.int64)
-        order = np.argsort(a, kind="stable")
-        a, b = a[order], np.maximum.accumulate(b[order])
-        cut = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1] - s]))  # beyond: no shingle is shared
-        return zip(a[cut].tolist(), (b[np.append(cut[1:], len(a)) - 1] - a[cut]).tolist())
-
-    def by_rarity(self, counts: dict[int, tuple[np.ndarray, np.ndarray]]) -> None:
-        """Choose each window's prefix: its rarest shingle (ties: the least hash, then the first)."""
-        self.offset = np.zeros(len(self.first), np.int32)
-        #: for each size of shingles: sorted prefixes, and the windows of each
-        self.keys, self.windows, self.at = {}, {}, {}
-        for s, h in self.hashes.items():
-            known, n = counts.get(s, (np.empty(0, np.uint64), np.empty(0, np.int64)))
-            mine = np.flatnonzero(self.shingle == s)
-            rare, least = np.full(len(mine), np.iinfo(np.int64).max), np.full(len(mine), np.iinfo(np.uint64).max, np.uint64)
-            for k in range(int((self.size[mine] - s).max()) + 1):
-                inside = self.size[mine] - s >= k
-                x = h[np.minimum(self.first[mine] + k, len(h) - 1)]
-                c = np.zeros(len(mine), np.int64)
-                if len(known):
-                    p = np.minimum(np.searchsorted(known, x), len(known) - 1)
-                    c = np.where(known[p] == x, n[p], 0)
-                better = inside & ((c < rare) | ((c == rare) & (x < least)))
-                rare, least = np.where(better, c, rare), np.where(better, x, least)
-                self.offset[mine[better]] = k
-            order = np.argsort(least, kind="stable")
-            self.windows[s] = mine[order].astype(np.int32)
-            self.keys[s], self.at[s] = np.unique(least[order], return_index=True)
-            self.at[s] = np.append(self.at[s], len(mine))
-        del self.hashes, self.wanted  # not needed to match
-
-
-def _among(h: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Places in ``h`` whose value is among the sorted ``keys``."""
-    if not len(keys) or not len(h):
-        return np.empty(0, np.int64)
-    # two low-cost bits of evidence first: almost all values are absent
-    seen = np.zeros(1 << 16, bool)
-    seen[(keys >> np.uint64(48)).astype(np.int64)] = True
-    maybe = np.flatnonzero(seen[(h >> np.uint64(48)).astype(np.int64)])
-    at = np.minimum(np.searchsorted(keys, h[maybe]), len(keys) - 1)
-    return maybe[keys[at] == h[maybe]]
-
-
 class _Words:
     """Words of a chunk, their joined text and its hash prefix."""
 
@@ -156,138 +67,166 @@ class _Words:
         return _ROLL.spans(self.prefix, self.starts[:n], self.ends[size - 1 :]) if n > 0 else np.empty(0, np.uint64)
 
 
-def shingle_counts(docs: DataFrame, wanted: dict[int, np.ndarray], text_col: str = "text") -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Occurrences over all documents of shingles (sorted hashes by size): at most one number for each."""
-    sent = docs.sparkSession.sparkContext.broadcast(wanted)
+def item_windows(items: DataFrame, id_col: str, text_col: str, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """(item, w, text, size, s, hashes): each window of each item, the digest of its text (words, each
+    followed by a space), its words, the words of its shingles and their hashes."""
+    plain = Plain(items)
+    rows = plain.df.select(F.col(plain[id_col]).cast("string").alias("item"), F.col(plain[text_col]).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {s: np.zeros(len(k), np.int64) for s, k in sent.value.items()}
-        for _, raw, offs in chunks(batches, text_col):
+        for part, raw, offs in chunks(batches, "t"):
             w = _Words(raw, offs)
-            for s, keys in sent.value.items():
-                h = w.shingles(s)
-                hit = _among(h, keys)
-                hit = hit[hit + s <= w.row_end[hit]]
-                np.add.at(total[s], np.searchsorted(keys, h[hit]), 1)
-        for s, n in total.items():
-            some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), s, np.int32)), pa.array(sent.value[s][some].view(np.int64)), pa.array(n[some])], names=["size", "hash", "n"])
-
-    found = docs.select(text_col).mapInArrow(run, "size int, hash long, n long").groupBy("size", "hash").agg(F.sum("n").alias("n")).toArrow()
-    size, h, n = (found[c].to_numpy() for c in ("size", "hash", "n"))
-    out = {}
-    for s in wanted:
-        mine = size == s
-        order = np.argsort(h[mine].view(np.uint64))
-        out[s] = (h[mine].view(np.uint64)[order], n[mine][order])
-    return out
-
-
-def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
-def _match(sent, text_col: str, keep: list[str]):
-    """``sent``: the broadcast block."""
-    span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+            text, ids = w.text.tobytes(), part.column(0).to_pylist()
+            n = np.diff(w.of_row)
+            many = np.where(n > 0, np.maximum(n - window + 1, 1), 0)
+            row = np.repeat(np.arange(len(n)), many)
+            first = w.of_row[:-1][row] + np.arange(len(row)) - (np.cumsum(many) - many)[row]
+            size = np.minimum(n[row], window)
+            by_size = {s: w.shingles(s).view(np.int64) for s in np.unique(np.minimum(size, shingle)).tolist()}
+            for at in range(0, len(row), BATCH):
+                out: dict[str, list] = {c: [] for c in ("item", "w", "text", "size", "s", "hashes")}
+                for r, a, k in zip(*(x[at : at + BATCH].tolist() for x in (row, first, size))):
+                    s = min(k, shingle)
+                    own = text[w.starts[a] : w.ends[a + k - 1]] + b" "
+                    for c, x in zip(out, (ids[r], hashlib.sha256(own).digest(), own, k, s, by_size[s][a : a + k - s + 1])):
+                        out[c].append(x)
+                kinds = (pa.string(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out.values(), kinds)], names=list(out))
+
+    return rows.mapInArrow(run, "item string, w binary, text binary, size int, s int, hashes array<long>")
+
+
+class Filter:
+    """Bits that say which hashes may be in a table; built by Spark, of bounded size."""
+
+    def __init__(self, hashes: DataFrame, expected: int):
+        """``hashes``: one long column."""
+        self.shift = 64 - min(FILTER_BITS, max(16, (16 * expected).bit_length()))
+        slot = hashes.select(F.shiftrightunsigned(hashes.columns[0], self.shift).alias("slot"))
+        bits = slot.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 AS int)))").alias("bits")).toArrow()
+        self.bits = np.zeros(1 << (64 - self.shift - 6), np.uint64)
+        self.bits[bits["at"].to_numpy()] = bits["bits"].to_numpy().view(np.uint64)
+
+    def passing(self, h: np.ndarray) -> np.ndarray:
+        """Places in ``h`` whose hash may be in the table."""
+        slot = h >> np.uint64(self.shift)
+        return np.flatnonzero(self.bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1))
+
+
+def _passing(w: _Words, sizes: list[int], screen: Filter) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each size of shingles: the places in a chunk that pass, inside their row, and the hashes there."""
+    for s in sizes:
+        h = w.shingles(s)
+        at = screen.passing(h)
+        at = at[at + s <= w.row_end[at]]
+        yield s, at, h[at]
+
+
+def shingle_counts(docs: DataFrame, text: str, sizes: list[int], screen: Filter) -> DataFrame:
+    """(s, h, places): how often each shingle that passes the filter occurs in all documents."""
+    sent = docs.sparkSession.sparkContext.broadcast(screen)  # at most 2**FILTER_BITS bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = sent.value
-        known = block.text.tobytes()
-        for part, raw, offs in chunks(batches, text_col):
-            w = _Words(raw, offs)
-            text, of_row = None, w.of_row
-            spans: dict[int, list[tuple[int, int]]] = {}
-            items: dict[int, set[str]] = {}
-            for s, keys in block.keys.items():
-                h = w.shingles(s)
-                for p in _among(h, keys).tolist():
-                    row = int(np.searchsorted(of_row, p, "right")) - 1
-                    at = int(np.searchsorted(keys, h[p]))
-                    for n in block.windows[s][block.at[s][at] : block.at[s][at + 1]].tolist():
-                        a = p - int(block.offset[n])
-                        b = a + int(block.size[n])
-                        if a < of_row[row] or b > of_row[row + 1]:
-                            continue
-                        text = w.text.tobytes() if text is None else text
-                        first = int(block.first[n])
-                        if text[w.starts[a] : w.ends[b - 1]] == known[block.starts[first] : block.ends[first + b - a - 1]]:
-                            spans.setdefault(row, []).append((a - int(of_row[row]), b - int(of_row[row])))
-                            items.setdefault(row, set()).update(block.items[i] for i in block.of_item[block.cuts[n] : block.cuts[n + 1]])
-            n = part.num_rows
-            merged = [_merge(spans[i]) if i in spans else [] for i in range(n)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(part.column(part.schema.get_field_index(c)) for c in keep),
-                    pa.array(np.diff(of_row)),
-                    pa.array([[{"start": a, "end": b} for a, b in x] for x in merged], span_type),
-                    pa.array([sorted(items.get(i, ())) for i in range(n)], pa.list_(pa.string())),
-                ],
-                names=[*keep, *RESULT],
-            )
-
-    return run
-
-
-def item_blocks(items: DataFrame, id_col: str, text_col: str, block_windows: int, window: int, shingle: int) -> Iterator[Block]:
-    """The items, dealt into blocks of about ``block_windows`` windows; each is read and built when it is asked for."""
-    plain = Plain(items)
-    rows = plain.df.select(F.col(plain[id_col]).cast("string").alias("i"), F.col(plain[text_col]).alias("t"))
-    total = rows.agg(F.sum(F.regexp_count("t", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))).first()[0] or 0
-    n = max(1, -(-total // block_windows))
-    for k in range(n):
-        yield Block(rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).toArrow(), window, shingle)
-
+        for _, raw, offs in chunks(batches, text):
+            for s, _, h in _passing(_Words(raw, offs), sizes, sent.value):
+                h, n = np.unique(h, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), s, np.int32)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["s", "h", "n"])
+
+    return docs.select(text).mapInArrow(run, "s int, h long, n long").groupBy("s", "h").agg(F.sum("n").alias("places"))
+
+
+def by_rarity(windows: DataFrame, counts: DataFrame) -> DataFrame:
+    """(w, size, s, h, places, before, pre, post): windows all of whose shingles occur, filed under the
+    rarest (ties: the least hash, then the first), and their text in front of it and from it on."""
+    each = windows.select("w", "s", F.posexplode("hashes").alias("before", "h"))
+    rarest = each.join(counts, ["s", "h"], "left").groupBy("w").agg(F.min(F.struct(F.coalesce("places", F.lit(0)).alias("places"), "h", "before")).alias("r")).where("r.places > 0")
+    filed = windows.join(rarest, "w").select("w", "size", "s", "r.h", "r.places", "r.before", "text")
+    # a space stands behind each word and in front of the text, so words are compared whole
+    cut = F.expr("octet_length(substring_index(CAST(text AS string), ' ', before))") + F.when(F.col("before") > 0, 1).otherwise(0)
+    text = F.concat(F.lit(b" "), "text")
+    filed = filed.withColumn("cut", cut + 1)
+    return filed.select("w", "size", "s", "h", "places", "before", F.substring(text, F.lit(1), F.col("cut")).alias("pre"), F.substring(text, F.col("cut") + 1, F.octet_length(text)).alias("post"))
+
+
+def posts(docs: DataFrame, text: str, sizes: list[int], screen: Filter, salts: dict[tuple[int, int], int], window: int, most: tuple[int, int]) -> DataFrame:
+    """(s, h, salt, key, n, at, left, right): places of shingles that pass the filter, with the bytes of the
+    words in front of them and from them on, as far as a window (``most`` bytes) can reach."""
+    sent = docs.sparkSession.sparkContext.broadcast((screen, salts))  # salts: at most 1,024
+    names = ("s", "h", "salt", "key", "n", "at", "left", "right")
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
 
-def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, block_windows: int = BLOCK_WINDOWS, keep: list[str] | None = None) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        screen, salts = sent.value
+        for _, raw, offs in chunks(batches, text):
+            w = _Words(raw, offs)
+            own: tuple[int, bytes] = (-1, b"")
+            for s, places, hashes in _passing(w, sizes, screen):
+                rows = np.searchsorted(w.of_row, places, "right") - 1
+                for start in range(0, len(places), BATCH):
+                    out: dict[str, list] = {c: [] for c in names}
+                    part = slice(start, start + BATCH)
+                    for p, h, row in zip(places[part].tolist(), hashes[part].view(np.int64).tolist(), rows[part].tolist()):
+                        if own[0] != row:
+                            own = (row, hashlib.sha256(raw[offs[row] : offs[row + 1]]).digest())
+                        head, end = int(w.of_row[row]), int(w.of_row[row + 1])
+                        a, z, here = max(head, p - window + 1), min(end, p + window), int(w.starts[p])
+                        left = b" " + w.text[max(int(w.starts[a]), here - most[0]) : here].tobytes()
+                        right = w.text[here : min(int(w.ends[z - 1]), here + most[1])].tobytes() + b" "
+                        salt = (int.from_bytes(own[1][:6], "big") + p - head) % salts.get((s, h), 1)
+                        for c, x in zip(names, (s, h, salt, own[1], end - head, p - head, left[-most[0] :], right[: most[1]])):
+                            out[c].append(x)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out.values(), kinds)], names=list(names))
+
+    return docs.select(text).mapInArrow(run, "s int, h long, salt int, key binary, n long, at int, left binary, right binary")
+
+
+def _hits(docs: DataFrame, text: str, items: DataFrame, id_col: str, item_text: str, window: int, shingle: int, few: int) -> DataFrame:
+    """(key, n_words, hit_spans, item_ids) of each distinct text with an occurrence of a window; key is the text's digest."""
+    with Scratch(docs.sparkSession, "decontaminate") as scratch:
+        raw = item_windows(items, id_col, item_text, window, shingle)
+        windows = scratch.save(raw.drop("item").distinct())
+        links = scratch.save(raw.where("item IS NOT NULL").select("w", "item").distinct())
+        total, sizes = windows.agg(F.count("*"), F.sort_array(F.collect_set("s"))).first()  # at most ``shingle`` sizes
+        wanted = windows.select(F.explode("hashes").alias("h"))
+        filed = scratch.save(by_rarity(windows, shingle_counts(docs, text, sizes, Filter(wanted, total))))
+        kept, sizes, pre, post = filed.agg(F.count("*"), F.sort_array(F.collect_set("s")), F.max(F.octet_length("pre")), F.max(F.octet_length("post"))).first()
+
+        used = filed.select("s", "h", "places").distinct()
+        share = max(few, -(-(used.agg(F.sum("places")).first()[0] or 0) // 1024))
+        hot = {(r.s, r.h): -(-r.places // share) for r in used.where(F.col("places") > share).collect()}  # fewer than 1,024
+        dealt = filed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("places") / share).cast("int") - 1))))
+        dealt = dealt.withColumnRenamed("size", "words")
+        there = posts(docs, text, sizes, Filter(filed.select("h"), kept), hot, window, (pre or 1, post or 1))
+        first = F.col("at") - F.col("before")
+        met = there.join(dealt, ["s", "h", "salt"]).where((first >= 0) & (first + F.col("words") <= F.col("n")) & F.endswith("left", "pre") & F.startswith("right", "post"))
+        met = scratch.save(met.select("key", "n", first.alias("a"), (first + F.col("words")).alias("b"), "w").distinct())
+
+        # disjoint spans: a new one starts beyond all that started before
+        before = Window.partitionBy("key").orderBy("a", "b")
+        span = met.select("key", "n", "a", "b").distinct().withColumn("far", F.max("b").over(before.rowsBetween(Window.unboundedPreceding, -1)))
+        span = span.withColumn("run", F.count(F.when(F.col("far").isNull() | (F.col("a") > F.col("far")), 1)).over(before.rowsBetween(Window.unboundedPreceding, 0)))
+        span = span.groupBy("key", "run").agg(F.max("n").alias("n"), F.min("a").alias("start"), F.max("b").alias("end"))
+        span = span.groupBy("key").agg(F.max("n").alias("n_words"), F.sort_array(F.collect_list(F.struct("start", "end"))).alias("hit_spans"))
+        ids = met.select("key", "w").distinct().join(links, "w").select("key", "item").distinct().groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("item_ids"))
+        found = scratch.save(span.join(ids, "key", "left").withColumn("item_ids", F.coalesce("item_ids", F.array().cast("array<string>"))))
+        scratch.drop(windows, links, filed, met)
+        return found
+
+
+def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, keep: list[str] | None = None, few: int = FEW_PLACES) -> DataFrame:
     """``docs`` (or its columns ``keep``) with n_words (long), hit_spans (disjoint word
     ranges covered by windows, start inclusive and end exclusive) and item_ids (sorted
-    ids, as strings, of the items with a window in the text)."""
+    ids, as strings, of the items with a window in the text).
+
+    Spark broadcasts the table of hits if it is small; else the columns kept are shuffled by the text's digest."""
     keep = docs.columns if keep is None else keep
     plain = Plain(docs)
-    found = _found(plain.df, plain[text_col], [plain[c] for c in keep], list(item_blocks(items, item_id, item_text, block_windows, window, shingle)))
-    return plain.back(found, keep, [*RESULT])
-
-
-def _found(docs: DataFrame, text: str, keep: list[str], blocks: list[Block]) -> DataFrame:
-    result = [T.StructField("n_words", T.LongType()), T.StructField("hit_spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))), T.StructField("item_ids", T.ArrayType(T.StringType()))]
-    out = docs.select(*dict.fromkeys([*keep, text]))
-    before: list[str] = []
-    sizes = sorted({s for b in blocks for s in b.wanted})
-    counts = shingle_counts(docs, {s: np.unique(np.concatenate([b.wanted[s] for b in blocks if s in b.wanted])) for s in sizes}, text) if sizes else {}
-    for block in blocks:
-        block.by_rarity(counts)
-        sent = docs.sparkSession.sparkContext.broadcast(block)
-        passed = [*keep, *before]
-        if block is not blocks[-1] and text not in keep:
-            passed.append(text)
-        out = out.mapInArrow(_match(sent, text, passed), T.StructType([*(out.schema[c] for c in passed), *result]))
-        if before:
-            spans, ids = F.sort_array(F.concat("old_hit_spans", "hit_spans")), F.array_sort(F.array_union("old_item_ids", "item_ids"))
-            out = out.withColumns({"hit_spans": spans, "item_ids": ids}).drop(*before)
-        if block is not blocks[-1]:
-            before = [f"old_{c}" for c in RESULT]
-            out = out.withColumnsRenamed(dict(zip(RESULT, before)))
-    if len(blocks) > 1:  # spans of several blocks may overlap
-        out = out.withColumn("hit_spans", _merged_spans())
-    return out.select(*keep, *RESULT)
-
-
-def _merged_spans():
-    """Disjoint spans from sorted ones that may overlap."""
-    last = lambda acc: F.element_at(acc, -1)
-    grown = lambda acc, s: F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], s["end"]).alias("end")))
-    return F.aggregate(
-        "hit_spans",
-        F.array().cast("array<struct<start:int,end:int>>"),
-        lambda acc, s: F.when((F.size(acc) > 0) & (s["start"] <= last(acc)["end"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), grown(acc, s))).otherwise(F.concat(acc, F.array(s))),
-    )
+    text = plain[text_col]
+    found = _hits(plain.df, text, items, item_id, item_text, window, shingle, few).drop("n_words")
+    counted = F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
+    out = plain.df.select(*dict.fromkeys(plain[c] for c in keep), counted.alias("n_words"), F.unhex(F.sha2(text, 256)).alias("key")).join(found, "key", "left")
+    spans, ids = (F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("hit_spans", "array<struct<start:int,end:int>>"), ("item_ids", "array<string>")))
+    return plain.back(out.select(*dict.fromkeys(plain[c] for c in keep), "n_words", spans, ids), keep, [*RESULT])
 
 
 def n_hit():
@@ -300,8 +239,10 @@ def contaminated():
     return (n_hit() > 0) & (20 * n_hit() >= F.col("n_words"))
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+def decontaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, few: int = FEW_PLACES) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with the columns of ``docs``."""
     plain = Plain(docs)
-    found = _found(plain.df, plain[text_col], plain.cols(), list(item_blocks(items, item_id, item_text, block_windows, window, shingle)))
-    return found.where(~contaminated()).select(*plain.cols()).toDF(*plain.names)
+    text = plain[text_col]
+    found = _hits(plain.df, text, items, item_id, item_text, window, shingle, few)
+    out = plain.df.withColumn("key", F.unhex(F.sha2(text, 256))).join(found.where(contaminated()).select("key"), "key", "left_anti")
+    return out.select(*plain.cols()).toDF(*plain.names)

@@ -224,7 +224,7 @@ def test_decontamination_sql(spark, data):
     same(catalog.op1_decontaminate(spark, data), data, catalog.OP1_SQL)
 
 
-def test_decontamination_blocks(spark, docs, plain):
+def test_decontamination_blocks(spark, docs, plain, monkeypatch):
     rng = random.Random(9)
     items = [(1, "W1 w2"), (2, None), (3, ""), (None, "w1"), (4, "w3"), (5, "no such words at all"), (1, "w5 w6"), (6, " ".join(plain[5][1].split()[20:60])), (7, words(rng, 13)), (None, "ä你好")]
     df = spark.createDataFrame(items, "item_id int, text string")
@@ -241,8 +241,9 @@ def test_decontamination_blocks(spark, docs, plain):
                         hit |= set(range(a, a + len(g)))
                         ids |= {str(i)} - {"None"}
         want.append((str(d), len(w), len(hit), sorted(ids)))
-    for size in (decontaminate.BLOCK_WINDOWS, 4):
-        found = decontaminate.contamination(docs, df, keep=["doc_id"], block_windows=size)
+    for few, bits in ((decontaminate.FEW_PLACES, decontaminate.FILTER_BITS), (1, decontaminate.FILTER_BITS), (1, 6)):  # salted; a filter that passes all
+        monkeypatch.setattr(decontaminate, "FILTER_BITS", bits)
+        found = decontaminate.contamination(docs, df, keep=["doc_id"], few=few)
         assert sorted((str(r.doc_id), r.n_words, sum(x.end - x.start for x in r.hit_spans), r.item_ids) for r in found.collect()) == sorted(want)
     left = decontaminate.decontaminated(docs.withColumn("n_words", F.lit("mine")), df)
     assert left.columns == [*docs.columns, "n_words"] and {r.n_words for r in left.collect()} == {"mine"}
