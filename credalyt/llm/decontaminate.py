@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from credalyt.llm.scratch import Plain, Scratch
@@ -48,7 +49,6 @@ FEW_PLACES = 50_000
 #: rows of a batch that a task gives back
 BATCH = 10_000
 RESULT = ("n_words", "hit_spans", "item_ids")
-WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _ROLL = Rolling(20240)
 
 
@@ -101,7 +101,7 @@ class Filter:
 
     def __init__(self, hashes: DataFrame, expected: int):
         """``hashes``: one long column."""
-        self.shift = 64 - min(FILTER_BITS, max(16, (16 * expected).bit_length()))
+        self.shift = 64 - min(FILTER_BITS, max(16, (64 * expected).bit_length()))
         slot = hashes.select(F.shiftrightunsigned(hashes.columns[0], self.shift).alias("slot"))
         bits = slot.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 AS int)))").alias("bits")).toArrow()
         self.bits = np.zeros(1 << (64 - self.shift - 6), np.uint64)
@@ -180,22 +180,36 @@ def posts(docs: DataFrame, text: str, sizes: list[int], screen: Filter, salts: d
     return docs.select(text).mapInArrow(run, "s int, h long, salt int, key binary, n long, at int, left binary, right binary")
 
 
+def counted(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of ``docs`` and n_words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, raw, offs in chunks(batches, text):
+            n = np.diff(words(raw, offs, ALNUM)[2]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in keep), pa.array(n)], names=[*keep, "n_words"])
+
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("n_words", T.LongType())])
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+
+
 def _hits(docs: DataFrame, text: str, items: DataFrame, id_col: str, item_text: str, window: int, shingle: int, few: int) -> DataFrame:
     """(key, n_words, hit_spans, item_ids) of each distinct text with an occurrence of a window; key is the text's digest."""
     with Scratch(docs.sparkSession, "decontaminate") as scratch:
         raw = item_windows(items, id_col, item_text, window, shingle)
         windows = scratch.save(raw.drop("item").distinct())
-        links = scratch.save(raw.where("item IS NOT NULL").select("w", "item").distinct())
+        links = raw.where("item IS NOT NULL").select("w", "item").distinct()
         total, sizes = windows.agg(F.count("*"), F.sort_array(F.collect_set("s"))).first()  # at most ``shingle`` sizes
         wanted = windows.select(F.explode("hashes").alias("h"))
         filed = scratch.save(by_rarity(windows, shingle_counts(docs, text, sizes, Filter(wanted, total))))
-        kept, sizes, pre, post = filed.agg(F.count("*"), F.sort_array(F.collect_set("s")), F.max(F.octet_length("pre")), F.max(F.octet_length("post"))).first()
+        kept, sizes, pre, post, places = filed.agg(F.count("*"), F.sort_array(F.collect_set("s")), F.max(F.octet_length("pre")), F.max(F.octet_length("post")), F.max("places")).first()
 
-        used = filed.select("s", "h", "places").distinct()
-        share = max(few, -(-(used.agg(F.sum("places")).first()[0] or 0) // 1024))
-        hot = {(r.s, r.h): -(-r.places // share) for r in used.where(F.col("places") > share).collect()}  # fewer than 1,024
+        share, hot = few, {}
+        if (places or 0) > few:
+            used = filed.select("s", "h", "places").distinct()
+            share = max(few, -(-used.agg(F.sum("places")).first()[0] // 1024))
+            hot = {(r.s, r.h): -(-r.places // share) for r in used.where(F.col("places") > share).collect()}  # fewer than 1,024
         dealt = filed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("places") / share).cast("int") - 1))))
-        dealt = dealt.withColumnRenamed("size", "words")
+        dealt = scratch.save(dealt.withColumnRenamed("size", "words"))
         there = posts(docs, text, sizes, Filter(filed.select("h"), kept), hot, window, (pre or 1, post or 1))
         first = F.col("at") - F.col("before")
         met = there.join(dealt, ["s", "h", "salt"]).where((first >= 0) & (first + F.col("words") <= F.col("n")) & F.endswith("left", "pre") & F.startswith("right", "post"))
@@ -209,7 +223,7 @@ def _hits(docs: DataFrame, text: str, items: DataFrame, id_col: str, item_text:
         span = span.groupBy("key").agg(F.max("n").alias("n_words"), F.sort_array(F.collect_list(F.struct("start", "end"))).alias("hit_spans"))
         ids = met.select("key", "w").distinct().join(links, "w").select("key", "item").distinct().groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("item_ids"))
         found = scratch.save(span.join(ids, "key", "left").withColumn("item_ids", F.coalesce("item_ids", F.array().cast("array<string>"))))
-        scratch.drop(windows, links, filed, met)
+        scratch.drop(windows, filed, dealt, met)
         return found
 
 
@@ -223,8 +237,7 @@ def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     plain = Plain(docs)
     text = plain[text_col]
     found = _hits(plain.df, text, items, item_id, item_text, window, shingle, few).drop("n_words")
-    counted = F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
-    out = plain.df.select(*dict.fromkeys(plain[c] for c in keep), counted.alias("n_words"), F.unhex(F.sha2(text, 256)).alias("key")).join(found, "key", "left")
+    out = counted(plain.df.withColumn("key", F.unhex(F.sha2(text, 256))), text, [*dict.fromkeys(plain[c] for c in keep), "key"]).join(found, "key", "left")
     spans, ids = (F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("hit_spans", "array<struct<start:int,end:int>>"), ("item_ids", "array<string>")))
     return plain.back(out.select(*dict.fromkeys(plain[c] for c in keep), "n_words", spans, ids), keep, [*RESULT])
 
