@@ -9,6 +9,8 @@ Pass two counts the candidates, and only these, exactly: one row a document with
 and frequencies, written as a table.  If a term that is no candidate could still have as large a
 total as the last one chosen, the passes run again with more candidates and counters; so the
 vocabulary is exact.  Pairs of words that occur once or twice are never shuffled.
+
+Both passes work on pieces of at most ``PIECE_TOKENS`` tokens (or one document).
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from credalyt.functions.text import TOKENIZERS
+from credalyt.operators.pieces import pieces
 from credalyt.sources.folders import saved, work_folder
 
 COUNTERS = 200_000
@@ -56,7 +59,7 @@ def grams(tokens: pa.ListArray, ngrams: tuple[int, int], least: int = 2) -> tupl
 def _summaries(ngrams: tuple[int, int], counters: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, error = pa.table({"term": pa.array([], pa.string()), "n": pa.array([], pa.int64())}), 0
-        for b in batches:
+        for b in pieces(batches):
             _, code, terms = grams(b.column(0), ngrams)
             names = pa.concat_arrays(terms)
             n = np.bincount(code, minlength=len(names))
@@ -76,7 +79,7 @@ def _summaries(ngrams: tuple[int, int], counters: int):
 def _counted(ngrams: tuple[int, int], candidates):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = pa.array(candidates.value, pa.string())
-        for b in batches:
+        for b in pieces(batches):
             doc, code, terms = grams(b.column(1), ngrams)
             place = pc.fill_null(pc.index_in(pa.concat_arrays(terms), wanted), -1).to_numpy().astype(np.int64)[code]
             doc, place = doc[place >= 0], place[place >= 0]

@@ -7,11 +7,13 @@ from collections import Counter
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from credalyt.operators import matrix, neighbours, rules, selection, tfidf, vector
 from credalyt.operators.bm25index import Index
+from credalyt.operators.pieces import PIECE_TOKENS, pieces
 
 
 def plan(df):
@@ -104,6 +106,24 @@ def test_texts_are_read_once(spark, corpus):
     assert seen.value <= 2 * len(corpus[0])  # the texts, and the count of documents
 
 
+def test_pieces_hold_few_tokens():
+    sizes = [0, 3, None, 9, 1, 1, 1, 4, 0]
+    batch = pa.record_batch({"id": list(range(9)), "tokens": pa.array([None if n is None else ["w"] * n for n in sizes], pa.list_(pa.string()))})
+    parts = list(pieces(iter([batch, batch.slice(0, 0), batch.slice(4)]), most=4))
+    assert [i for p in parts for i in p["id"].to_pylist()] == [*range(9), *range(4, 9)]
+    assert all(p.num_rows == 1 or len(p["tokens"].flatten()) <= 4 for p in parts) and all(p.num_rows for p in parts)
+
+
+def test_vocabulary_is_counted_in_pieces(monkeypatch):
+    seen, grams = [], tfidf.grams
+    monkeypatch.setattr(tfidf, "grams", lambda tokens, *more: seen.append(len(tokens.flatten())) or grams(tokens, *more))
+    batch = pa.record_batch({"tokens": [["ab", "cd"] * (PIECE_TOKENS // 8)] * 10})
+    found = pa.Table.from_batches(tfidf._summaries((1, 2), 100)(iter([batch]))).to_pylist()
+    n = 10 * PIECE_TOKENS // 8
+    assert {r["term"]: r["n"] for r in found} == {"ab": n, "cd": n, "ab cd": n, "cd ab": n - 10, None: 0}
+    assert max(seen) <= PIECE_TOKENS and sum(seen) == 2 * n
+
+
 # ---- vectors
 
 
