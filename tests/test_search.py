@@ -124,6 +124,14 @@ def test_vocabulary_is_counted_in_pieces(monkeypatch):
     assert max(seen) <= PIECE_TOKENS and sum(seen) == 2 * n
 
 
+def test_long_texts_are_packed_in_pieces(spark):
+    text = "w " * (PIECE_TOKENS // 2 + 1)
+    index = Index.build(spark.createDataFrame([(i, text) for i in range(3)], "doc_id int, text string").coalesce(1))
+    assert index.entries.select("block").distinct().count() == 3  # two of them have more tokens than a piece
+    hits = index.search(spark.createDataFrame([(0, "w")], "query_id int, text string"), 2, "smooth")[0].orderBy("rank").collect()
+    assert [r.doc_id for r in hits] == [0, 1]
+
+
 # ---- vectors
 
 
