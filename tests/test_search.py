@@ -132,6 +132,14 @@ def test_long_texts_are_packed_in_pieces(spark):
     assert [r.doc_id for r in hits] == [0, 1]
 
 
+def test_scores_are_summed_in_their_blocks(spark, corpus):
+    d = spark.createDataFrame(corpus[0], "doc_id int, text string, c string")
+    scores = Index.build(d, collection="c").scores(spark.createDataFrame(corpus[1], "query_id int, text string"), "smooth")
+    moved = [x for x in plan(scores).split("== Physical Plan ==")[1].splitlines() if "Exchange hashpartitioning" in x]
+    assert moved and not any("query_id" in x.split("Exchange")[1] for x in moved)  # packed entries only
+    assert {(r.query_id, r.collection, r.doc_id): round(r.score, 8) for r in scores.collect()} == pytest.approx(bm25(*corpus, "smooth"))
+
+
 # ---- vectors
 
 
