@@ -125,20 +125,34 @@ class Machine:
 
 
 def in_pairs(at: np.ndarray, row: np.ndarray, residual: np.ndarray, n: int, seed: int) -> np.ndarray:
-    """Of each of ``n`` terms (``at``, in rows ``row``) the square of its row of residual-weighted
+    """Of each of ``n`` terms (``at``, in rows ``row``, ascending) the square of its row of residual-weighted
     co-occurrences, relative to what independent residuals give and, where that is more, to
-    the mean of the terms in its rows."""
-    rng, found = np.random.default_rng(seed), np.zeros(n)
-    length = np.bincount(row, minlength=len(residual))
+    the mean of the terms in its rows.  Blocks of whole rows are taken one at a time."""
+    rng, found, length = np.random.default_rng(seed), np.zeros(n), np.bincount(row, minlength=len(residual))
+    ends = np.concatenate([[0], np.cumsum(length)])
+    cuts = np.unique(np.concatenate([np.searchsorted(ends, np.arange(0, ends[-1], BLOCK_TERMS)), [0, len(length)]]))
+
+    def each() -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            yield slice(lo, hi), at[ends[lo] : ends[hi]], row[ends[lo] : ends[hi]] - lo
+
     for _ in range(PROJECTIONS):
-        g = rng.normal(size=n)
-        z = np.bincount(row, g[at], len(residual))
-        found += (np.bincount(at, (residual * z)[row], n) - g * np.bincount(at, residual[row], n)) ** 2
-    chance = np.bincount(at, (residual**2 * np.maximum(length - 1, 0))[row], n)
+        g, with_others, own = rng.normal(size=n), np.zeros(n), np.zeros(n)
+        for rows, i, r in each():
+            e = residual[rows]
+            z = np.bincount(r, g[i], len(e))
+            with_others += np.bincount(i, (e * z)[r], n)
+            own += np.bincount(i, e[r], n)
+        found += (with_others - g * own) ** 2
+    chance, usual, count = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
+    for rows, i, r in each():
+        chance += np.bincount(i, (residual[rows] ** 2 * np.maximum(length[rows] - 1, 0))[r], n)
+        count += np.bincount(i, minlength=n)
     ratio = found / PROJECTIONS / np.maximum(chance, 1e-300)
-    beside = np.bincount(row, ratio[at], len(residual)) / np.maximum(length, 1)
-    usual = np.bincount(at, beside[row], n) / np.maximum(np.bincount(at, minlength=n), 1)
-    return ratio / np.maximum(usual, 1)
+    for rows, i, r in each():
+        beside = np.bincount(r, ratio[i], rows.stop - rows.start) / np.maximum(length[rows], 1)
+        usual += np.bincount(i, beside[r], n)
+    return ratio / np.maximum(usual / np.maximum(count, 1), 1)
 
 
 def fit(slots: np.ndarray, offs: np.ndarray, y: np.ndarray, weight: np.ndarray, bits: int = BITS, factors: int = FACTORS, rounds: int = 60, l1: float = 1e-3, l2: float = 1e-3, rate: float = 1.0, least_rows: int = LEAST_ROWS, seed: int = 7) -> Machine:
@@ -154,35 +168,45 @@ def fit(slots: np.ndarray, offs: np.ndarray, y: np.ndarray, weight: np.ndarray,
         p = min(max(share if len(y) else 0.5, 1e-6), 1 - 1e-6)
         return Machine(float(np.log(p / (1 - p))), np.zeros(size, np.float32), np.zeros((size, factors), np.float32))
     weight = weight / (2 * min(share, 1 - share))  # penalties are for a rarer label that weighs a half, however rare it is
-    rows = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(offs))
+    cuts = np.unique(np.concatenate([np.searchsorted(offs, np.arange(0, offs[-1], BLOCK_TERMS)), [0, len(y)]]))
+    blocks = list(zip(cuts[:-1], cuts[1:]))
 
-    def part(used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def part(used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places among ``used`` of all slots that are there, row by row, and where each row ends."""
         place = np.full(size, -1, np.int32)
         place[used] = np.arange(len(used))
-        at = place[slots]
-        here = at >= 0
-        return at[here], rows[here], np.concatenate([[0], np.cumsum(np.bincount(rows[here], minlength=len(y)))])
-
-    cuts = np.unique(np.concatenate([np.searchsorted(offs, np.arange(0, offs[-1], BLOCK_TERMS)), [0, len(y)]]))
-    used = np.flatnonzero(np.bincount(slots, minlength=size) >= least_rows)
-    at, row, ends = part(used)
+        kept, n = [], [np.zeros(1, np.int64)]
+        for lo, hi in blocks:
+            at = place[slots[offs[lo] : offs[hi]]]
+            here = at >= 0
+            kept.append(at[here])
+            n.append(np.bincount(np.repeat(np.arange(hi - lo), np.diff(offs[lo : hi + 1]))[here], minlength=hi - lo))
+        return np.concatenate(kept), np.cumsum(np.concatenate(n))
+
+    seen = np.zeros(size, np.int64)
+    for lo, hi in blocks:
+        seen += np.bincount(slots[offs[lo] : offs[hi]], minlength=size)
+    used = np.flatnonzero(seen >= least_rows)
+    at, ends = part(used)
     w, v = np.zeros(len(used)), np.zeros((len(used), factors))
     # neutral terms: their gradients at the start are no more than chance gives
-    start = weight * (share - y)
-    chance = np.sqrt(np.bincount(at, minlength=len(used)) * np.mean(start**2))
-    telling = np.abs(np.bincount(at, start[row], len(used))) >= CHANCE * chance
+    start, pull = weight * (share - y), np.zeros(len(used))
+    for lo, hi in blocks:
+        pull += np.bincount(at[ends[lo] : ends[hi]], np.repeat(start[lo:hi], np.diff(ends[lo : hi + 1])), len(used))
+    telling = np.abs(pull) >= CHANCE * np.sqrt(seen[used] * np.mean(start**2))
     bias, gb, gw, gv = float(np.log(share / (1 - share))), 1e-8, np.full(len(used), 1e-8), np.full(v.shape, 1e-8)
     for step in range(5 * rounds):  # factors are few, and start near a saddle
         if step == rounds:
-            z = bias + _sums(w[at], ends)
-            alive = np.flatnonzero((w != 0) | (in_pairs(at, row, weight * (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y), len(used), seed) >= SURPRISE))
+            z = bias + np.concatenate([_sums(w[at[ends[lo] : ends[hi]]], ends[lo : hi + 1] - ends[lo]) for lo, hi in blocks])
+            alive = np.flatnonzero((w != 0) | (in_pairs(at, np.repeat(np.arange(len(y), dtype=np.int32), np.diff(ends)), weight * (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y), len(used), seed) >= SURPRISE))
             used, w, gw, telling, gv = used[alive], w[alive], gw[alive], np.ones(len(alive), bool), np.full((len(alive), factors), 1e-8)
             v = np.random.default_rng(seed).normal(0, 0.01, (len(used), factors))
-            at, row, ends = part(used)
+            at, ends = part(used)
         pairs = step >= rounds
         g, gf, ge = np.zeros(len(used)), l2 * v, 0.0
-        for lo, hi in zip(cuts[:-1], cuts[1:]):  # rows in blocks, so memory does not grow with living terms
-            i, r, off = at[ends[lo] : ends[hi]], row[ends[lo] : ends[hi]] - lo, ends[lo : hi + 1] - ends[lo]
+        for lo, hi in blocks:  # rows in blocks, so memory does not grow with living terms
+            i, off = at[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo]
+            r = np.repeat(np.arange(hi - lo), np.diff(off))
             z = bias + _sums(w[i], off)
             if pairs:
                 vs = v[i]
@@ -227,6 +251,19 @@ def _sampled_terms(text: str, label: str, weight: str, bits: int, among: np.ndar
     return run
 
 
+def _merged(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Slots, offsets, labels and weights of the distinct rows, in one order (the cluster may return rows in any,
+    and sums in floating point want one)."""
+    weights: dict[tuple[int, bytes], float] = {}
+    for b in rows.to_batches(max_chunksize=256):
+        for x, y, w in zip(*(b.column(c).to_pylist() for c in ("slots", "y", "w"))):
+            weights[y, x] = weights.get((y, x), 0.0) + w
+    order = sorted(weights, key=lambda k: (k[0], len(k[1]), hashlib.md5(k[1]).digest()))
+    flat = np.frombuffer(b"".join(x for _, x in order), np.int32)
+    offs = np.concatenate([[0], np.cumsum([len(x) // 4 for _, x in order])]).astype(np.int64)
+    return flat, offs, np.array([y for y, _ in order], float), np.array([weights[k] for k in order])
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, bits: int = BITS) -> Machine:
     """A machine learned from a bounded sample of the labelled rows that are not held out."""
     d, lab = Plain(docs), Plain(labels)
@@ -243,17 +280,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         seen = chosen.mapInArrow(_sampled_terms("text", "y", "w", bits, None), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
         among = np.zeros(1 << bits, bool)
         among[seen.where(F.col("n") >= LEAST_ROWS).select("slot").toArrow()["slot"].to_numpy()] = True  # at most 2**bits
-        rows = chosen.mapInArrow(_sampled_terms("text", "y", "w", bits, among), "slots binary, y int, w double").toArrow()
+        learned = _merged(chosen.mapInArrow(_sampled_terms("text", "y", "w", bits, among), "slots binary, y int, w double").toArrow())
         scratch.drop(chosen)
-    # equal rows are one; the cluster may return rows in any order, and sums in floating point want one
-    weights: dict[tuple[int, bytes], float] = {}
-    for x, y, w in zip(rows["slots"].to_pylist(), rows["y"].to_pylist(), rows["w"].to_pylist()):
-        weights[y, x] = weights.get((y, x), 0.0) + w
-    order = sorted(weights, key=lambda k: (k[0], len(k[1]), hashlib.md5(k[1]).digest()))
-    slots = [np.frombuffer(x, np.int32) for _, x in order]
-    offs = np.concatenate([[0], np.cumsum([len(s) for s in slots])]).astype(np.int64)
-    flat = np.concatenate(slots) if slots else np.empty(0, np.int32)
-    return fit(flat, offs, np.array([y for y, _ in order], float), np.array([weights[k] for k in order]), bits)
+    return fit(*learned, bits)
 
 
 def scored(df: DataFrame, machine: Machine, text_col: str = "text", keep: list[str] | None = None, bits: int = BITS) -> DataFrame:

@@ -559,3 +559,17 @@ def test_toxicity_rare_label():
     machine = toxicity.fit(slots, offs, y, np.ones(len(y)), bits=10)
     said = machine.score(slots, offs) >= 0.5
     assert said[y == 1].mean() > 0.8 and said[y == 0].mean() < 0.01
+
+
+def test_learning_takes_few_copies_of_the_terms(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(toxicity, "BLOCK_TERMS", 1 << 14)
+    rng, n = np.random.default_rng(4), 1500
+    slots, offs = np.concatenate([np.sort(rng.choice(4096, 600, replace=False)) for _ in range(n)]).astype(np.int32), np.arange(n + 1) * 600
+    y = (rng.random(n) < 0.5).astype(float)
+    tracemalloc.start()
+    toxicity.fit(slots, offs, y, np.ones(n), bits=12, rounds=1)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 24 * len(slots)  # it was 37 bytes a term
