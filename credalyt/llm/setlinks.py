@@ -3,7 +3,7 @@
 *Sets.*  A shingle is ``shingle`` consecutive words, hashed to 64 bits; a text of fewer words
 is one shingle, a text without words the empty set.
 
-*Prefixes.*  In one order of all shingles (rare ones first) sets of size n at a Jaccard
+*Prefixes.*  In one order of all shingles (by counts over all texts, rare ones first) sets of size n at a Jaccard
 similarity of s share one of their first n - ceil(s n) + 1 members, so only these are indexed;
 the place in it bounds what two sets can still share, and sizes must allow the similarity.
 
@@ -37,8 +37,8 @@ from credalyt.llm.textkernel import CHUNK_BYTES, LOWER, chunks, mixed, utf8
 SEED = 42
 #: words that a worker remembers the hash of, and the longest such word
 MEMO, MEMO_BYTES = 1 << 16, 64
-#: documents sampled for common shingles, and the most of these that are kept
-SAMPLE, COMMON = 4096, 1 << 17
+#: shingles are ordered by how many there are in their bucket, over all texts
+BUCKET_BITS = 18
 #: lists up to this length emit their pairs; members of a block of longer ones
 SHORT, BLOCK = 4, 4096
 #: products of a similarity and a whole number are rounded
@@ -85,29 +85,35 @@ def shingle_sets(raw: np.ndarray, offs: np.ndarray, shingle: int) -> tuple[np.nd
     return (np.concatenate(parts) if parts else np.empty(0, np.uint64)).view(np.int64), ends
 
 
-def common_shingles(docs: DataFrame, text: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) of shingles that a sample of texts repeats, and in how many of its texts each is.
+def shingle_order(docs: DataFrame, text: str, shingle: int) -> np.ndarray:
+    """Places of the 2**``BUCKET_BITS`` buckets of shingles, those with fewest members first.
 
-    They order the shingles and decide nothing else."""
-    every = max(1, docs.count() // SAMPLE)
+    Every text is counted, once for each of its shingles; a bucket's count is at least that of any
+    shingle in it, so one that many texts share comes late.  Places order the shingles and decide nothing else."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << BUCKET_BITS, np.int64)
         for _, raw, offs in chunks(batches, text):
-            yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(raw, offs, shingle)[0])], names=["h"])
+            total += np.bincount(bucket(shingle_sets(raw, offs, shingle)[0]), minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["bucket", "n"])
 
-    sample = docs.where(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).select(text).mapInArrow(run, "h long")
-    rows = sample.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(COMMON).orderBy("h").toArrow()
-    return rows["h"].to_numpy(), rows["n"].to_numpy()
+    rows = docs.select(text).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # a row for each bucket
+    total = np.zeros(1 << BUCKET_BITS, np.int64)
+    total[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
+    place = np.empty(len(total), np.int32)
+    place[np.argsort(total, kind="stable")] = np.arange(len(total), dtype=np.int32)
+    return place
 
 
-def prefixes(h: np.ndarray, offs: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def bucket(h: np.ndarray) -> np.ndarray:
+    return (h.view(np.uint64) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def prefixes(h: np.ndarray, offs: np.ndarray, place: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Of each set (sorted) its first members in the order of all shingles, as many as sets need
     for that similarity to share one, and the sets' offsets in them."""
-    known, count = common
-    rank = h.view(np.uint64) >> np.uint64(16)  # sets are sorted, so a stable sort breaks ties by the rest
-    if len(known):
-        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-        rank |= np.where(known[at] == h, count[at], 0).astype(np.uint64) << np.uint64(48)
+    rank = place[bucket(h)]  # sets are sorted, so a stable sort breaks ties by the hash
     n = np.diff(offs)
     size = np.minimum(n, n - np.ceil(similarity * n - SLACK).astype(np.int64) + 1)
     parts = [h[a:b][np.argsort(rank[a:b], kind="stable")[:k]] for a, b, k in zip(offs[:-1].tolist(), offs[1:].tolist(), size.tolist())]
@@ -134,7 +140,7 @@ def most_bits(nx: np.ndarray, ny: np.ndarray, similarity: float) -> np.ndarray:
 def indexed(docs: DataFrame, text: str, shingle: int, similarity: float, bits_of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """(key, copies, n, fp, wide, first) of every row of ``docs`` (key, text): copies is a digest
     of the set, n its size, fp a 64-bit fingerprint, wide the wide one, first the prefix."""
-    sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text, shingle))  # at most COMMON
+    sent = docs.sparkSession.sparkContext.broadcast(shingle_order(docs, text, shingle))  # 2**BUCKET_BITS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, raw, offs in chunks(batches, text):

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from credalyt.llm import catalog, decontaminate, langid, linededup, mixing, sharding, simhash, suffixdedup, toxicity
+from credalyt.llm import catalog, decontaminate, langid, linededup, mixing, setlinks, sharding, simhash, suffixdedup, toxicity
 from credalyt.llm.textkernel import utf8
 from tests.compare import same
 
@@ -561,6 +561,19 @@ def test_toxicity_rare_label():
     assert said[y == 1].mean() > 0.8 and said[y == 0].mean() < 0.01
 
 
+def test_shingles_are_ordered_by_all_texts(spark):
+    rng = random.Random(8)
+    texts = [words(rng, 30, 3000) + (" a b c d e f" if i in (3, 5, 4090) else "") for i in range(300)] + [None, ""]
+    place = setlinks.shingle_order(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5), "text", 5)
+    every = setlinks.bucket(setlinks.shingle_sets(*utf8(pa.array([t or "" for t in texts])), 5)[0])
+    total = np.bincount(every, minlength=1 << setlinks.BUCKET_BITS)
+    assert sorted(place) == list(range(len(total))) and (np.diff(total[np.argsort(place)]) >= 0).all()
+    h, offs = setlinks.shingle_sets(*utf8(pa.array([texts[3]])), 5)
+    first, _ = setlinks.prefixes(h, offs, place, 0.8)
+    twice = set(setlinks.shingle_sets(*utf8(pa.array(["a b c d e f"])), 5)[0].tolist())
+    assert len(first) == 7 and not twice & set(first.tolist())  # in two texts, so late in the order
+
+
 def test_learning_takes_few_copies_of_the_terms(monkeypatch):
     import tracemalloc
 
