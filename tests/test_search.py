@@ -305,3 +305,29 @@ def test_many_rules_without_a_nested_loop(spark):
     for i in range(0, 2000, 97):
         age = i * 50
         assert got[i] == [x for x in range(max(0, age - 7), min(age, 99_999) + 1) if x <= age <= x + x % 7 and (x % 2 == 1 or i % 2 == 0) and i % 3 <= x % 3]
+
+
+def test_customers_of_one_question_share_a_search(spark, monkeypatch):
+    from credalyt.operators import udf
+    from credalyt.plans import retrieval
+    from credalyt.sources.tables import applicants
+
+    columns = ["duration", "purpose", "credit_amount", "age"]
+    docs = spark.createDataFrame([(i, f"购买新车 {i} 教育 短期贷款 " + "长" * (i * 300), c) for i in range(12) for c in ("a", "b")], "id long, content string, collection string")
+    docs = docs.withColumns({"metadata": F.expr("map('source', 's')"), "embedding": udf.embed(F.col("content"), udf.HashingEmbedder())})
+    people = applicants(spark, 60).withColumnRenamed("customer_id", "query_id").withColumnRenamed("true_risk_level", "true_level").cache()
+    people = people.withColumn("purpose", F.when(people.age % 2 == 0, "A40").otherwise("A46"))
+    knn, search, asked = vector.knn, Index.search, []
+    monkeypatch.setattr(vector, "knn", lambda docs, queries, *a, **b: asked.append(queries.count()) or knn(docs, queries, *a, **b))
+    monkeypatch.setattr(Index, "search", lambda self, queries, *a, **b: asked.append(queries.count()) or search(self, queries, *a, **b))
+    found = retrieval.ablation(people, docs, columns, udf.HashingEmbedder(), udf.EchoGenerator()).collect()
+    texts = people.select(retrieval.decode.build_query(columns)).distinct().count()
+    assert asked == [texts, texts] and texts < 60  # one search a side, whatever the customers and variants
+    # the same as with a search and a context for every customer
+    queries = people.select("query_id", retrieval.decode.build_query(columns).alias("text")).withColumn("embedding", udf.embed(F.col("text"), udf.HashingEmbedder()))
+    for c in retrieval.ABLATION:
+        hits = retrieval.retrieve(docs, queries, c) if c.use_retrieval else None
+        each = retrieval.prompts(people, hits, columns, c).select("query_id", F.length("prompt").alias("n"), udf.generate(F.col("prompt"), udf.EchoGenerator()).alias("a"))
+        want = {(r.query_id, int(r.score)) for r in each.select("query_id", F.regexp_extract("a.text", "风险评分：([0-9]+)", 1).alias("score")).collect()}
+        assert {(r.query_id, r.score) for r in found if r.config == c.name} == want
+        assert len(want) == 60
