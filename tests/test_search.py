@@ -331,3 +331,26 @@ def test_customers_of_one_question_share_a_search(spark, monkeypatch):
         want = {(r.query_id, int(r.score)) for r in each.select("query_id", F.regexp_extract("a.text", "风险评分：([0-9]+)", 1).alias("score")).collect()}
         assert {(r.query_id, r.score) for r in found if r.config == c.name} == want
         assert len(want) == 60
+
+
+def test_embeddings_by_parts_in_pieces(monkeypatch):
+    import hashlib
+
+    from credalyt.operators import udf
+
+    def plain(t: str) -> list[float]:
+        v = np.zeros(64)
+        for n in (2, 3):
+            for part, times in Counter(t.lower()[i : i + n] for i in range(len(t.lower()) - n + 1)).items():
+                h = int.from_bytes(hashlib.blake2b(part.encode(), digest_size=8).digest(), "little")
+                v[h % 64] += times if h >> 63 else -times
+        return (v / np.linalg.norm(v) if np.linalg.norm(v) else v).tolist()
+
+    calls = []
+    hashed = udf._part_hash
+    monkeypatch.setattr(udf, "_part_hash", lambda code, n: calls.append(code) or hashed(code, n))
+    texts = ["", "a", "ab", "İstanbul ẞ 😀😀😀", "\0\0a\0\0", "贷款目的: 购买新车"] + ["abc" * 100] * 50
+    assert udf.HashingEmbedder()(texts) == [plain(t) for t in texts]
+    assert len(calls) < 100  # a part is hashed once, however many texts have it
+    monkeypatch.setattr(udf, "PIECE_CHARACTERS", 10)
+    assert udf.HashingEmbedder()(texts) == [plain(t) for t in texts]
