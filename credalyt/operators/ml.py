@@ -51,6 +51,17 @@ def balanced(df: DataFrame, label: str = "label") -> DataFrame:
     return df.join(F.broadcast(counts), label).crossJoin(F.broadcast(total)).withColumn("weight", F.col("_n") / (2 * F.col("_c"))).drop("_c", "_n")
 
 
+#: Rows of a partition of ``dealt``, at most
+DEALT_ROWS = 500_000
+
+
+def dealt(df: DataFrame, rows: int = DEALT_ROWS) -> DataFrame:
+    """``df`` in equal partitions, as many for each core: what an iterative learner passes over again and again
+    takes one wave of tasks of one length, however few or uneven partitions the rows came in."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores * max(1, -(-df.count() // (cores * rows))))
+
+
 def train(df: DataFrame, name: str, features: list[str] | str, label: str = "label", balance: bool = True, **settings) -> PipelineModel | deep.Network:
     """A fitted pipeline or network; ``features`` are columns or one array column."""
     rows = df.withColumnRenamed(label, "label") if label != "label" else df
@@ -58,6 +69,8 @@ def train(df: DataFrame, name: str, features: list[str] | str, label: str = "lab
         rows = (balanced(rows) if balance else rows.withColumn("weight", F.lit(1.0))).withColumn("_features", _array(features))
         return deep.train(rows, ALIASES.get(name, name), "_features", id_col="_features", weight="weight", **settings)
     model = create_model(name, **settings)
+    if isinstance(model, FMClassifier):  # passes over the rows once a step
+        rows = dealt(rows.select("label", *([features] if isinstance(features, str) else features)))
     stages = []
     if isinstance(features, str):
         rows = rows.withColumn("features", array_to_vector(F.col(features)))

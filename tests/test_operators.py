@@ -197,3 +197,15 @@ def test_nothing_is_overwritten(spark, tmp_path):
     with pytest.raises(Exception):
         tables.scan_or_build(spark, path, lambda: spark.range(1)).count()
     assert (tmp_path / "table" / "part.parquet").read_text() == "half written"
+
+
+def test_factorization_machine_learns_on_all_cores(spark, monkeypatch):
+    from credalyt.operators import ml
+
+    rows = spark.range(400).select((F.col("id") % 2).cast("int").alias("label"), F.array(F.rand(1), F.rand(2)).alias("v")).coalesce(1)
+    seen, fit = [], ml.Pipeline.fit
+    monkeypatch.setattr(ml.Pipeline, "fit", lambda self, df: seen.append(df) or fit(self, df))
+    ml.train(rows, "fm", "v", maxIter=2)
+    sizes = [r["count"] for r in seen[0].groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == spark.sparkContext.defaultParallelism and max(sizes) <= 2 * min(sizes)
+    assert ml.dealt(rows, 20).rdd.getNumPartitions() == 20  # and no partition grows with the rows
