@@ -187,6 +187,17 @@ def test_products(spark):
         assert got == {(i, j): float(x[i] @ x[j]) for i in range(0, 10, 3) for j in range(10)}
 
 
+def test_products_are_dealt_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr(matrix, "CELLS", 50)
+    monkeypatch.setattr(matrix, "TASK_PRODUCTS", 100, raising=False)
+    x = np.arange(400.0).reshape(100, 4)
+    b = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "j int, w array<float>").coalesce(1)
+    got = matrix.products(b.where("j % 10 = 0").toDF("i", "v"), b).withColumn("task", F.spark_partition_id()).collect()
+    assert {(r.i, r.j): r.s for r in got} == {(i, j): float(x[i] @ x[j]) for i in range(0, 100, 10) for j in range(100)}
+    sizes = Counter(r.task for r in got).values()
+    assert len(got) == 1000 and len(sizes) == 10 and max(sizes) <= 2 * min(sizes)
+
+
 @pytest.mark.parametrize("pivots", [None, 1, 7])
 def test_neighbours_against_plain(spark, pivots):
     rng = np.random.default_rng(6)
