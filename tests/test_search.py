@@ -1,11 +1,13 @@
 """Index, blocked search, selection, summaries, pivots and rules against plain Python."""
 
 import math
+import os
 import random
 import re
 from collections import Counter
 from functools import reduce
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 from credalyt.operators import matrix, neighbours, rules, selection, tfidf, vector
 from credalyt.operators.bm25index import Index
 from credalyt.operators.pieces import PIECE_TOKENS, pieces
+from credalyt.queries import retrieval
+from tests.compare import same
 
 
 def plan(df):
@@ -132,6 +136,18 @@ def test_long_texts_are_packed_in_pieces(spark):
     assert [r.doc_id for r in hits] == [0, 1]
 
 
+@pytest.mark.parametrize("name", ["hybrid_rrf"])
+def test_fusion_over_an_index_of_pieces(spark, data, tmp_path, name):
+    for t in os.listdir(data):
+        if t != "documents.parquet":
+            os.symlink(f"{data}/{t}", tmp_path / t)
+    long = f"repeat('the and ', {PIECE_TOKENS // 4} + 1000 * doc_id::INT)"
+    duckdb.sql(f"COPY (SELECT * REPLACE (CASE WHEN doc_id IN (1, 2, 3) THEN {long} ELSE text END AS text) FROM '{data}/documents.parquet') TO '{tmp_path}/documents.parquet'")
+    same(retrieval.QUERIES[name](spark, str(tmp_path)), tmp_path, retrieval.ORACLES[name])
+    entries = retrieval._index(spark, str(tmp_path)).entries.where("term = 'the'").select("block", F.explode("ids").alias("id"))
+    assert entries.where("id in (1, 2, 3)").select("block").distinct().count() == 3  # alike in length, but more tokens than a piece
+
+
 def test_scores_are_summed_in_their_blocks(spark, corpus):
     d = spark.createDataFrame(corpus[0], "doc_id int, text string, c string")
     scores = Index.build(d, collection="c").scores(spark.createDataFrame(corpus[1], "query_id int, text string"), "smooth")
