@@ -136,7 +136,7 @@ def test_long_texts_are_packed_in_pieces(spark):
     assert [r.doc_id for r in hits] == [0, 1]
 
 
-@pytest.mark.parametrize("name", ["hybrid_rrf", "fusion_by_text"])
+@pytest.mark.parametrize("name", ["hybrid_rrf", "fusion_by_text", "weighted_fusion"])
 def test_fusion_over_an_index_of_pieces(spark, data, tmp_path, name):
     for t in os.listdir(data):
         if t != "documents.parquet":
