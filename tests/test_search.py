@@ -10,6 +10,7 @@ from functools import reduce
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -214,6 +215,57 @@ def test_products_are_dealt_to_tasks(spark, monkeypatch):
     assert len(got) == 1000 and len(sizes) == 10 and max(sizes) <= 2 * min(sizes)
 
 
+def _rounded(q, x, digits):
+    """As SQL: the sum in the order of the components, halves away from zero."""
+    total = 0.0
+    for a, b in zip(q, x):
+        total += float(a) * float(b)
+    y = total * 10.0**digits
+    return math.copysign(math.floor(abs(y)) + (abs(y) - math.floor(abs(y)) >= 0.5), y) / 10.0**digits + 0.0
+
+
+@pytest.mark.parametrize("case", ["unit", "halves", "large", "huge"])
+def test_rounded_products(spark, case):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(90, 8))
+    x = {"unit": x / np.linalg.norm(x, axis=1)[:, None], "halves": np.round(x * 4) / 4 + 0.0, "large": x * 1e4, "huge": x * 1e9}[case]
+    digits = 1 if case == "halves" else 6
+    b = spark.createDataFrame([(f"é{i}", v.tolist()) for i, v in enumerate(x)], "j string, w array<double>").coalesce(1)
+    a = b.where("j like '%7'").toDF("i", "v")
+    want = {(f"é{i}", f"é{j}"): _rounded(x[j], x[i], digits) for i in range(7, 90, 10) for j in range(90)}
+    for numbers in (4_000_000, 30):  # one slice, some
+        rows = matrix.products(a, b, numbers, digits).collect()
+        assert len(rows) == len(want) and {(r.i, r.j): r.s for r in rows} == want
+    assert matrix.products(a.where("false"), b, digits=6).count() == 0 == matrix.products(a, b.where("false"), digits=6).count()
+
+
+def test_rounded_products_too_large_for_a_number():
+    x = np.random.default_rng(3).normal(size=(9, 8))
+    for odd, finite in ((1e150, True), (1e200, False)):
+        with np.errstate(all="ignore"):
+            got = list(matrix.by_size(x[:3] * odd, x * odd, 6))
+        row, place, s = (np.concatenate(c) for c in zip(*got))
+        assert len(set(zip(row.tolist(), place.tolist()))) == len(s) == 27 and np.isfinite(s).all() == np.isfinite(s).any() == finite
+        assert not finite or np.allclose(s, np.einsum("nd,nd->n", x[row] * odd, x[place] * odd), rtol=1e-9)
+
+
+def test_equal_similarities_stand_together(spark, data):
+    """Every pair is a row, so the bytes of a row are what the query needs of the disk (8.65 when rows came vector by vector)."""
+    rows = retrieval.matrix_similarity(spark, data).withColumn("task", F.spark_partition_id()).collect()
+    for task in {r.task for r in rows}:
+        s = [r.s for r in rows if r.task == task]
+        assert sum(a != b for a, b in zip(s, s[1:])) + 1 == len(set(s))
+
+
+def test_bytes_of_a_pair(spark, tmp_path):
+    x = np.random.default_rng(4).normal(size=(8_000, 64))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    pq.write_table(pa.table({"vec_id": np.arange(8_000), "embedding": list(x), "label": np.zeros(8_000, np.int32)}), tmp_path / "embeddings.parquet")
+    retrieval.matrix_similarity(spark, str(tmp_path)).coalesce(1).write.parquet(out := str(tmp_path / "out"))
+    assert spark.read.parquet(out).count() == 3_200_000
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 6.5 * 3_200_000
+
+
 @pytest.mark.parametrize("pivots", [None, 1, 7])
 def test_neighbours_against_plain(spark, pivots):
     rng = np.random.default_rng(6)
